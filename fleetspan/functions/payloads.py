@@ -14,9 +14,8 @@ WRONG_WIDTH = "Every row must have {} values."
 def windows_from_payload(df: DataFrame, value="value") -> DataFrame:
     """Decode request bodies: adds ``x`` and ``feature_names``."""
     body = F.from_json(F.col(value).cast("string"), PAYLOAD_SCHEMA)
-    return df.withColumn("_body", body).withColumns(
-        {"x": F.col("_body.data"), "feature_names": F.col("_body.feature_names")}
-    ).drop("_body")
+    # Generated, so that filters further up do not parse the body again.
+    return df.select("*", F.inline(F.array(body)).alias("x", "feature_names"))
 
 
 def reorder_features(df: DataFrame, features, names="feature_names") -> DataFrame:

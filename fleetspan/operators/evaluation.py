@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetspan.functions.formulas import TINY, prediction_grade, ratio_or_zero
 from fleetspan.operators.profiling import histogram
-from fleetspan.operators.quantiles import percentiles
-from fleetspan.operators.series import ROWS_PER_TASK
+from fleetspan.operators.quantiles import ROWS_PER_TASK, percentiles
 from fleetspan.schema import ALERT_THRESHOLD
 from fleetspan.shared import match
 

@@ -14,7 +14,7 @@ from fleetspan.operators.series import (
     split_long,
 )
 from fleetspan.schema import KEYS, TIME, feature_columns
-from fleetspan.shared import match, settle
+from fleetspan.shared import attach, match, settle
 
 STRATEGIES = ("drop", "interpolate", "fill_mean", "fill_median")
 
@@ -148,7 +148,9 @@ def repair_missing(
     if strategy == "drop":
         return clean.dropna(subset=features)
     if strategy == "fill_mean":
-        fills = clean.groupBy(*keys).agg(*[F.avg(name).alias(f"_fill_{i}") for i, name in enumerate(features)])
+        fills = clean.groupBy(*keys).agg(
+            *[F.avg(name).alias(f"_fill_{i}") for i, name in enumerate(features)], F.count(F.lit(1)).alias("_rows")
+        )
     elif strategy == "fill_median":
         cells = F.array(*[F.struct(F.lit(i).alias("at"), F.col(name).alias("value")) for i, name in enumerate(features)])
         medians = percentiles(
@@ -157,9 +159,10 @@ def repair_missing(
         fills = medians.groupBy(*keys).agg(
             *[F.max(F.when(F.col("at") == i, F.element_at("percentiles", 1))).alias(f"_fill_{i}") for i in range(len(features))]
         )
+        fills = match(fills, df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, "left")
     else:
         raise ValueError(f"unknown strategy {strategy!r}, expected one of {STRATEGIES}")
-    joined = match(clean, settle(fills).side, keys, "left")
+    joined = attach(clean, fills, keys, "_rows", rows_per_task)
     return joined.withColumns(
         {name: F.coalesce(name, f"_fill_{i}") for i, name in enumerate(features)}
     ).select(*df.columns)

@@ -73,8 +73,7 @@ def training_history(df: DataFrame, run="run_id", epoch="epoch", rows_per_task:
 
 def val_loss_of(name: Column) -> Column:
     """The validation loss written into a checkpoint name, null where there is none."""
-    text = F.regexp_extract(name, r"val_loss=([0-9]+(?:\.[0-9]+)?)\.ckpt$", 1)
-    return F.when(text != "", text.cast("double"))
+    return F.regexp_extract(name, r"val_loss=(.*?)\.ckpt", 1).try_cast("double")
 
 
 def best_runs(df: DataFrame, k: int = 1, by=(), loss="val_loss", name="name") -> DataFrame:

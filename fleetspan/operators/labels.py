@@ -4,7 +4,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetspan.schema import KEYS, TARGET, TIME
-from fleetspan.shared import match, settle
+from fleetspan.shared import attach, match
+
+# Engines with more readings than this are not shuffled to be labelled.
+CROWDED = 1_000_000
 
 
 def engine_lifetimes(df: DataFrame, keys=KEYS, time=TIME, name="max_cycle") -> DataFrame:
@@ -24,10 +27,10 @@ def remaining_useful_life(
     long engine nor a wide row has to pass a window; the readings stay where they are as long
     as the counted engine table is small enough to broadcast.
     """
-    ends = engine_lifetimes(df, keys, time, "_end")
+    ends = df.groupBy(*keys).agg(F.max(time).alias("_end"), F.count(F.lit(1)).alias("_rows"))
     left = F.lit(0.0)
     if rul_at_end is not None:
         ends = match(ends, rul_at_end.select(*keys, F.col("rul_at_end").alias("_left")), keys, "left")
         left = F.col("_left").cast("double")
-    joined = match(df, settle(ends).side, keys, "left")
+    joined = attach(df, ends, keys, "_rows", CROWDED)
     return joined.withColumn(target, left + (F.col("_end") - F.col(time))).drop("_end", "_left")

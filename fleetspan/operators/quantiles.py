@@ -5,9 +5,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspan.operators.series import ROWS_PER_TASK, cut, long_series, split_long
+from fleetspan.operators.series import cut, long_series, split_long
 from fleetspan.shared import match, settle
 
+# Only one number per row is held, so a task takes more of them than of whole readings.
+ROWS_PER_TASK = 1_000_000
+
 
 def _known(df: DataFrame, column: str) -> Column:
     known = F.col(column).isNotNull()

@@ -3,8 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetspan.operators.quantiles import percentiles
-from fleetspan.operators.series import ROWS_PER_TASK
+from fleetspan.operators.quantiles import ROWS_PER_TASK, percentiles
 from fleetspan.schema import feature_columns
 
 METHODS = ("minmax", "standard", "robust")

@@ -5,8 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetspan.operators.quantiles import value_at
-from fleetspan.operators.series import ROWS_PER_TASK
+from fleetspan.operators.quantiles import ROWS_PER_TASK, value_at
 from fleetspan.schema import KEYS, SEED, VALIDATION_SHARE
 from fleetspan.shared import settle
 

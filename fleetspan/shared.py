@@ -72,3 +72,22 @@ def match(left: DataFrame, right: DataFrame, keys, how: str) -> DataFrame:
         same = left[key].eqNullSafe(F.col(name))
         condition = same if condition is None else condition & same
     return left.join(right, condition, how).drop(*names)
+
+
+def attach(df: DataFrame, table: DataFrame, keys, rows_per_key: str, crowded: int) -> DataFrame:
+    """Add the columns of ``table`` (one row per key) to every row of ``df``.
+
+    ``table`` is computed once and broadcast while it is small.  Beyond that the join shuffles,
+    except for the keys with more than ``crowded`` rows (column ``rows_per_key``): these are few
+    by their size, so they are broadcast and their rows stay where they are.
+    """
+    kept = settle(table)
+    plain = kept.df.drop(rows_per_key)
+    if kept.rows <= BROADCAST_ROWS:
+        return match(df, F.broadcast(plain), keys, "left")
+    hot = settle(kept.df.where(F.col(rows_per_key) > crowded))
+    if hot.rows == 0 or hot.rows > BROADCAST_ROWS:
+        return match(df, plain, keys, "left")
+    ids = F.broadcast(hot.df.select(*keys))
+    ordinary = match(match(df, ids, keys, "left_anti"), plain, keys, "left")
+    return ordinary.unionByName(match(df, F.broadcast(hot.df.drop(rows_per_key)), keys, "inner"))

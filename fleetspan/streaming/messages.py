@@ -42,19 +42,21 @@ def decode_messages(df: DataFrame, features=FEATURES, value="value") -> DataFram
     engine or cycle, or lack a sensor have an ``error`` and null ``features``.
     """
     body = F.from_json(F.col(value).cast("string"), MESSAGE_SCHEMA, {"mode": "PERMISSIVE"})
+    # Generated columns are parsed once per message; a plain column would be parsed again for
+    # every filter that Spark pushes below it.
+    parsed = df.select(F.col(value).cast("string").alias("message"), F.inline(F.array(body)))
     names = F.array(*map(F.lit, features))
-    found = F.transform(names, lambda name: F.try_element_at(F.col("_body.sensors"), name))
+    found = F.transform(names, lambda name: F.try_element_at(F.col("sensors"), name))
     gaps = F.coalesce(F.exists("_found", lambda number: number.isNull()), F.lit(True))
-    lacks = F.col("_body.engine_id").isNull() | F.col("_body.cycle").isNull()
+    lacks = F.col("engine_id").isNull() | F.col("cycle").isNull()
     return (
-        df.withColumn("_body", body)
-        .withColumn("_found", found)
+        parsed.withColumn("_found", found)
         .withColumn("error", F.when(lacks, F.lit(MALFORMED)).when(gaps, F.lit(MISSING)))
         .select(
-            F.col(value).cast("string").alias("message"),
-            F.col("_body.engine_id").alias("engine_id"),
-            F.col("_body.cycle").alias("cycle"),
-            F.try_to_timestamp(F.col("_body.timestamp")).alias("timestamp"),
+            "message",
+            "engine_id",
+            "cycle",
+            F.try_to_timestamp("timestamp").alias("timestamp"),
             F.when(F.col("error").isNull(), F.col("_found")).alias("features"),
             "error",
         )
