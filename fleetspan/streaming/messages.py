@@ -9,7 +9,7 @@ from fleetspan.schema import FEATURES, MESSAGE_SCHEMA
 TOPIC = "sensor-data"
 GROUP = "rul-predictor-group"
 # Bounds what one trigger, and so one task, takes in at a time.
-MESSAGES_PER_TRIGGER = 5_000_000
+MESSAGES_PER_TRIGGER = 1_000_000
 
 MALFORMED = "malformed message"
 MISSING = "missing sensor values"

@@ -14,8 +14,8 @@ from fleetspan.schema import TIME, WINDOW
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATE = ("drop", "report", "arrival")
-# Windows sent back to Spark at a time.
-WINDOWS_PER_BATCH = 2000
+# Windows that share one run of readings on their way back to Spark.
+WINDOWS_PER_RUN = 256
 
 
 class _LastReadings(StatefulProcessor):
@@ -28,11 +28,17 @@ class _LastReadings(StatefulProcessor):
         self.state = handle.getValueState("readings", "last bigint, held array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        came = pd.concat(list(rows), ignore_index=True)
+        # Held as plain numbers: a few bytes per value, however many readings a trigger brings.
+        parts = [
+            (part[self.time].to_numpy(dtype=np.int64), np.stack(part["features"].to_numpy()).astype(float))
+            for part in rows
+            if len(part)
+        ]
+        times = np.concatenate([part[0] for part in parts])
+        readings = np.concatenate([part[1] for part in parts])
         if self.late != "arrival":
-            came = came.sort_values(self.time, kind="stable")
-        times = came[self.time].to_numpy()
-        readings = np.stack(came["features"].to_numpy()).astype(float)
+            order = np.argsort(times, kind="stable")
+            times, readings = times[order], readings[order]
         last, held = None, np.empty((0, self.width))
         if self.state.exists():
             last, flat = self.state.get()
@@ -44,25 +50,22 @@ class _LastReadings(StatefulProcessor):
             earlier = np.concatenate(([np.iinfo(np.int64).min if last is None else last], times[:-1]))
             fresh = times > np.maximum.accumulate(earlier)
         if self.late == "report" and not fresh.all():
-            yield self._frame(key, times[~fresh], [None] * int((~fresh).sum()), True)
+            yield self._run(key, times[~fresh], None, True)
         times, readings = times[fresh], readings[fresh]
         if not len(times):
             return
         line = np.concatenate([held, readings])
         first = max(0, self.window - 1 - len(held))
-        for start in range(first, len(times), WINDOWS_PER_BATCH):
-            places = range(start, min(start + WINDOWS_PER_BATCH, len(times)))
-            ends = [len(held) + place + 1 for place in places]
-            yield self._frame(
-                key, times[places.start : places.stop], [line[end - self.window : end].reshape(-1) for end in ends], False
-            )
+        for start in range(first, len(times), WINDOWS_PER_RUN):
+            stop = min(start + WINDOWS_PER_RUN, len(times))
+            yield self._run(key, times[start:stop], line[len(held) + start + 1 - self.window : len(held) + stop], False)
         newest = int(times[-1]) if self.late == "arrival" else int(max(times[-1], times[-1] if last is None else last))
         kept = line[len(line) - min(len(line), self.window - 1) :]
         self.state.update((newest, kept.reshape(-1).tolist()))
 
-    def _frame(self, key, times, flat, late) -> pd.DataFrame:
-        made = {name: [value] * len(times) for name, value in zip(self.keys, key)}
-        return pd.DataFrame({**made, "window_end": times, "flat": flat, "late": [late] * len(times)})
+    def _run(self, key, ends, readings, late) -> pd.DataFrame:
+        flat = None if readings is None else readings.reshape(-1)
+        return pd.DataFrame({**dict(zip(self.keys, ([part] for part in key))), "ends": [ends], "flat": [flat], "late": [late]})
 
     def close(self) -> None:
         pass
@@ -85,7 +88,9 @@ def stream_windows(
 
     The state of an engine is ``window - 1`` readings; it stays on the RocksDB store, so memory
     does not grow with the fleet.  A trigger must be bounded at the source, since the readings
-    one trigger brings for one engine are ordered in one task.
+    one trigger brings for one engine are ordered in one task.  That task returns runs of
+    consecutive readings, each only once; the windows are cut out of the runs after these have
+    been spread over all tasks, so that a busy engine does not keep its windows in one place.
     """
     if late not in LATE:
         raise ValueError(f"unknown late {late!r}, expected one of {LATE}")
@@ -94,7 +99,7 @@ def stream_windows(
     schema = T.StructType(
         [rows.schema[name] for name in keys]
         + [
-            T.StructField("window_end", T.LongType()),
+            T.StructField("ends", T.ArrayType(T.LongType())),
             T.StructField("flat", T.ArrayType(T.DoubleType())),
             T.StructField("late", T.BooleanType()),
         ]
@@ -105,9 +110,17 @@ def stream_windows(
         outputMode="Append",
         timeMode="None",
     )
+    spread = made.repartition(F.xxhash64(*keys, F.col("ends")[0]))
+
     steps = F.sequence(F.lit(0), F.lit(window - 1))
-    x = F.when(
-        F.col("flat").isNotNull(), F.transform(steps, lambda step: F.slice("flat", step * width + 1, width))
-    )
-    shaped = made.select(*keys, "window_end", x.alias("x"), "late")
+
+    def window_at(place):
+        reading = lambda step: F.slice("flat", (place - 1 + step) * width + 1, width)
+        return F.struct(
+            F.element_at("ends", place).alias("window_end"),
+            F.when(F.col("flat").isNotNull(), F.transform(steps, reading)).alias("x"),
+        )
+
+    # Generated, so that each window is built once however often later columns use it.
+    shaped = spread.select(*keys, F.inline(F.transform(F.sequence(F.lit(1), F.size("ends")), window_at)), "late")
     return shaped if late == "report" else shaped.drop("late")
