@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,30 +80,34 @@ def permutation_importance(
     predict: Callable[[np.ndarray], np.ndarray],
     keys,
     rows_per_block: int = 5_000,
+    order: Callable[[int], Column] | None = None,
 ) -> DataFrame:
     """How much the RMSE of ``predict`` grows when one feature's series is exchanged among windows.
 
     ``windows`` holds ``keys``, ``window_end``, ``x`` and ``y``.  Windows are dealt into random
     blocks by the hash of their key; inside a block each feature is passed on by one place in an
     order of its own, so all features need one shuffle together and no block outgrows a task.
+    ``order(i)`` replaces the hash that gives the order of feature ``i``, and for -1 the block.
     """
     features = list(features)
     identity = [*keys, "window_end"]
     windows = windows.where(F.col("y").isNotNull())
+    hashed = order or (lambda i: F.xxhash64(*identity, F.lit(i)))
     blocks = max(1, windows.count() // rows_per_block)
     dealt = windows.select(
-        F.pmod(F.xxhash64(*identity, F.lit(-1)), F.lit(blocks)).alias("_block"),
+        F.pmod(hashed(-1), F.lit(blocks)).alias("_block"),
+        *identity,
         "x",
         F.col("y").cast("double").alias("y"),
-        *[F.xxhash64(*identity, F.lit(i)).alias(f"_order_{i}") for i in range(len(features))],
+        *[hashed(i).alias(f"_order_{i}") for i in range(len(features))],
     )
     exchanged = dealt
     for i in range(len(features)):
-        order = Window.partitionBy("_block").orderBy(f"_order_{i}")
+        places = Window.partitionBy("_block").orderBy(f"_order_{i}", *identity)
         series = F.transform("x", lambda row: row[i])
-        everyone = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        everyone = places.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         exchanged = exchanged.withColumn(
-            f"_series_{i}", F.coalesce(F.lag(series).over(order), F.last(series).over(everyone))
+            f"_series_{i}", F.coalesce(F.lag(series).over(places), F.last(series).over(everyone))
         )
     count = len(features)
 

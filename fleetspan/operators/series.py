@@ -63,8 +63,14 @@ def _as_number(df: DataFrame, name: str) -> Column | None:
         return F.when(~F.isnan(column), column.cast("double"))
     if isinstance(kind, T.NumericType):
         return column.cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return column.cast("timestamp").cast("double")
+    if isinstance(kind, T.TimestampType):
+        return column.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        # Counted on the wall clock: going through the session's zone would fold hours.
+        day = F.unix_date(column.cast("date")).cast("double") * 86400
+        return day + F.hour(column) * 3600 + F.minute(column) * 60 + F.extract(F.lit("SECOND"), column).cast("double")
     return None
 
 

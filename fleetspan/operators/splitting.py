@@ -25,7 +25,8 @@ def split_by_engine(
 ) -> DataFrame:
     """Add ``split``: ``val`` for exactly ``int(engines * share)`` engines, ``train`` for the rest.
 
-    The engines with the smallest hash of key and seed form the validation side.  The hash at
+    The engines with the smallest hash of key and seed (or smallest ``order`` of their key
+    columns) form the validation side.  The hash at
     the cut is looked up once; after that a reading is assigned by its own hash, without a
     join or a shuffle of the readings.
     """
@@ -49,10 +50,17 @@ def split_by_engine(
     return df.withColumn("split", F.when(chosen, F.lit("val")).otherwise(F.lit("train")))
 
 
-def split_by_share(df: DataFrame, share: float = VALIDATION_SHARE, seed: int = SEED, keys=KEYS) -> DataFrame:
+def split_by_share(
+    df: DataFrame,
+    share: float = VALIDATION_SHARE,
+    seed: int = SEED,
+    keys=KEYS,
+    order: Callable[..., Column] | None = None,
+) -> DataFrame:
     """Add ``split`` with an expected rather than exact share; also fits streams."""
     fine = 1_000_000
-    chosen = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(fine)) < F.lit(int(share * fine))
+    hashed = F.xxhash64(*keys, F.lit(seed)) if order is None else order(*map(F.col, keys))
+    chosen = F.pmod(hashed, F.lit(fine)) < F.lit(int(share * fine))
     return df.withColumn("split", F.when(chosen, F.lit("val")).otherwise(F.lit("train")))
 
 

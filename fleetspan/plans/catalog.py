@@ -266,10 +266,16 @@ def split_by_engine(spark, folder):
     return splitting.split_by_engine(rows, order=_multiplicative_hash)
 
 
-@query()
+@query(
+    f"""
+WITH {READINGS_SQL}
+SELECT dataset_id, unit, cycle,
+       CASE WHEN (unit * 2654435761 + 42) % 4294967296 % 1000000 < 200000 THEN 'val' ELSE 'train' END AS split FROM readings
+"""
+)
 def split_by_share(spark, folder):
     rows = views.readings(spark, folder).select("dataset_id", "unit", "cycle")
-    return splitting.split_by_share(rows)
+    return splitting.split_by_share(rows, order=_multiplicative_hash)
 
 
 @query(
@@ -503,15 +509,42 @@ def windows_round_trip(spark, folder):
     return _shape(tables.read_windows(spark, target, "train"), "y")
 
 
-@query()
+@query(
+    f"""
+WITH {LABELLED_SQL}, {SPLIT_SQL},
+bounds AS (SELECT min(sensor_1) AS lo, max(sensor_1) AS hi FROM readings),
+both_sides AS (
+  SELECT CASE WHEN c.val THEN 'val' ELSE 'train' END AS split, l.dataset_id, l.unit, l.cycle, (l.sensor_1 - lo) / (hi - lo) AS s, l.RUL
+  FROM bounds, labelled AS l JOIN chosen AS c ON c.dataset_id = l.dataset_id AND c.unit = l.unit
+  UNION ALL
+  SELECT 'test', l.dataset_id, l.unit, l.cycle, (l.sensor_1 - lo) / (hi - lo), p.s_suppkey % 120 + l.RUL
+  FROM bounds, labelled AS l LEFT JOIN supplier AS p ON p.s_suppkey = l.unit),
+framed AS (
+  SELECT split, dataset_id, unit, lead(RUL, 1) OVER w AS y, sum(s) OVER f AS total, row_number() OVER w AS rn,
+         count(*) OVER (PARTITION BY split, dataset_id, unit) AS n
+  FROM both_sides
+  WINDOW w AS (PARTITION BY split, dataset_id, unit ORDER BY cycle),
+         f AS (PARTITION BY split, dataset_id, unit ORDER BY cycle ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+SELECT split, count(*) AS windows, count(DISTINCT unit) AS engines, {r("avg(y)", "avg_target")}, {r("avg(total)", "avg_total")}
+FROM framed WHERE rn >= 30 AND rn <= n - 1 GROUP BY split
+"""
+)
 def prepared_windows(spark, folder):
     """Preparation as a whole: labels, scaling, engine split and windows of all three splits."""
+    names = ["sensor_1", "sensor_2"]
     rows = views.readings(spark, folder)
-    fleet = prepare_fleet(rows, rows, views.rul_at_end(spark, folder), features=["sensor_1", "sensor_2"])
-    made = prepare_windows(fleet, features=["sensor_1", "sensor_2"])
-    return made.groupBy("split").agg(
-        F.count(F.lit(1)).alias("windows"), F.round(F.avg("y"), 6).alias("avg_target"), F.countDistinct("dataset_id", "unit").alias("engines")
+    fleet = prepare_fleet(rows, rows, views.rul_at_end(spark, folder), features=names, order=_multiplicative_hash)
+    made = prepare_windows(fleet, features=names)
+    counted = made.groupBy("split", "dataset_id", "unit").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.count("y").alias("known"), F.sum(_column_sum(0)).alias("total")
     )
+    summary = counted.groupBy("split").agg(
+        F.sum("n").alias("windows"),
+        F.count(F.lit(1)).alias("engines"),
+        F.try_divide(F.sum("y"), F.sum("known")).alias("avg_target"),
+        (F.sum("total") / F.sum("n")).alias("avg_total"),
+    )
+    return rounded(summary, "avg_target", "avg_total")
 
 
 # --- engineered features, repair -----------------------------------------------------------
@@ -1001,26 +1034,55 @@ def validate_payloads(spark, folder):
     return checked.select("unit", "error", F.try_element_at(F.col("x"), F.lit(1))[0].alias("first_value"))
 
 
-def _summaries(spark, folder):
-    rows = splitting.split_by_engine(_labelled(spark, folder, "sensor_1", "sensor_2"))
-    return windows.window_summaries(rows, features=["sensor_1", "sensor_2"], keys=["split", "dataset_id", "unit"])
-
-
-@query()
+@query(
+    f"""
+WITH {LABELLED_SQL}, {STEPS_SQL}, {SPLIT_SQL},
+sided AS (
+  SELECT CASE WHEN c.val THEN 'val' ELSE 'train' END AS split, s.avg_1 AS x, s.y
+  FROM steps AS s JOIN chosen AS c ON c.dataset_id = s.dataset_id AND c.unit = s.unit WHERE rn >= 30 AND rn <= n - 1),
+line AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM sided WHERE split = 'train'),
+predictions AS (SELECT split, y AS y_true, a * x + b AS y_pred FROM sided, line)
+SELECT split, {r("sqrt(avg((y_true - y_pred) * (y_true - y_pred)))", "rmse")}, {r("avg(abs(y_true - y_pred))", "mae")}
+FROM predictions GROUP BY split
+"""
+)
 def fit_regressor(spark, folder):
     """A regressor fitted on the training windows, judged per split."""
-    made = _summaries(spark, folder)
-    names = [f"{sensor}_{part}" for sensor in ("sensor_1", "sensor_2") for part in ("mean", "std", "slope", "last")]
-    model = scoring.fit_rul_regressor(made, names)
-    return evaluation.regression_metrics(scoring.predict_rul(made, model), ["split"])
+    rows = splitting.split_by_engine(_labelled(spark, folder, "sensor_1"), order=_multiplicative_hash)
+    made = windows.window_summaries(rows, features=["sensor_1"], keys=["split", "dataset_id", "unit"])
+    model = scoring.fit_rul_regressor(made, ["sensor_1_mean"])
+    judged = evaluation.regression_metrics(scoring.predict_rul(made, model), ["split"])
+    return rounded(judged.select("split", "rmse", "mae"), "rmse", "mae")
+
+
+def _place(i: int):
+    return (F.col("unit") * 2654435761 + F.col("window_end") * 40503 + (i + 2) * 1299709) % 4294967296
+
 
+def _place_sql(i: int) -> str:
+    return f"((unit * 2654435761 + cycle * 40503 + {(i + 2) * 1299709}) % 4294967296)"
 
-@query()
+
+@query(
+    f"""
+WITH {LABELLED_SQL}, {STEPS_SQL},
+dealt AS (
+  SELECT *, {_place_sql(-1)} % (SELECT greatest(1, count(*) // 5000) FROM steps WHERE rn >= 30 AND rn <= n - 1) AS block, {_place_sql(0)} AS place
+  FROM steps WHERE rn >= 30 AND rn <= n - 1),
+exchanged AS (
+  SELECT y, tail_1, coalesce(lag(tail_1) OVER (PARTITION BY block ORDER BY place, dataset_id, unit, cycle),
+         last_value(tail_1) OVER (PARTITION BY block ORDER BY place, dataset_id, unit, cycle ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS other
+  FROM dealt),
+errors AS (
+  SELECT sqrt(avg((y - {FACTOR} * tail_1) ** 2)) AS before, sqrt(avg((y - {FACTOR} * other) ** 2)) AS after FROM exchanged)
+SELECT 'sensor_1' AS feature, {r("after - before", "importance")}, CAST(CASE WHEN after >= before THEN 1 ELSE 2 END AS BIGINT) AS rank FROM errors
+UNION ALL SELECT 'sensor_2', 0.0, CAST(CASE WHEN after >= before THEN 2 ELSE 1 END AS BIGINT) FROM errors
+"""
+)
 def permutation_importance(spark, folder):
     made = windows.sliding_windows(_labelled(spark, folder, "sensor_1", "sensor_2"))
-    return importance.permutation_importance(
-        made, ["sensor_1", "sensor_2"], lambda x: FACTOR * x[:, -3:, 0].mean(axis=1), ["dataset_id", "unit"]
-    )
+    found = importance.permutation_importance(made, ["sensor_1", "sensor_2"], load_model(), ["dataset_id", "unit"], order=_place)
+    return rounded(found, "importance")
 
 
 # --- messages, streams, alerts -------------------------------------------------------------

@@ -3,7 +3,7 @@
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspan.operators.labels import remaining_useful_life
@@ -40,6 +40,7 @@ def prepare_fleet(
     seed: int = SEED,
     keys=KEYS,
     features=None,
+    order: Callable[..., Column] | None = None,
 ) -> PreparedFleet:
     """Label, scale and split a fleet.
 
@@ -49,7 +50,7 @@ def prepare_fleet(
     scaler = fit_minmax(train, features)
     labelled = remaining_useful_life(train, keys=keys)
     tested = remaining_useful_life(test, rul_at_end, keys=keys)
-    split = split_by_engine(labelled, share, seed, keys)
+    split = split_by_engine(labelled, share, seed, keys, order)
     whole = split.unionByName(tested.withColumn("split", F.lit("test")))
     return PreparedFleet(apply_minmax(whole, scaler), scaler)
 

@@ -273,3 +273,19 @@ def test_results_do_not_depend_on_the_shuffle_width(spark, skewed):
         found.append(ordered(windows.sliding_windows(rows, rows_per_task=80).drop("x"), *KEYS, "window_end"))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     pd.testing.assert_frame_equal(*found)
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date"])
+def test_times_are_cut_in_their_order(spark, kind):
+    # Two hours around a change of the clocks, and some days.
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        step = "make_interval(0, 0, 0, id * 3)" if kind == "date" else "make_interval(0, 0, 0, 0, 0, 0, id * 30)"
+        start = "date'2024-01-01'" if kind == "date" else "timestamp_ntz'2024-03-10 01:00:00'"
+        rows = spark.range(400).selectExpr("'FD001' AS dataset_id", "1 AS unit", "id", f"CAST({start} + {step} AS {kind}) AS at")
+        plain = ordered(number_rows(rows, KEYS, ["at", "id"]).select("id", "_rn"), "id")
+        pieces = ordered(number_rows(rows, KEYS, ["at", "id"], rows_per_task=20).select("id", "_rn"), "id")
+        pd.testing.assert_frame_equal(plain, pieces)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
