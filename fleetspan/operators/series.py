@@ -83,7 +83,8 @@ def cut(df: DataFrame, keys, order, rows_per_piece: int) -> tuple[DataFrame, lis
     first order column.
 
     Each level splits the pieces that are too large into equal ranges of the first order column
-    that still varies inside them.  Only rows equal in every order column stay together.
+    that still varies inside them.  Rows equal in every order column may come in any order, so
+    large groups of them are dealt by the hash of the whole row; only copies stay together.
     """
     numbers = list(takewhile(lambda number: number is not None, (_as_number(df, name) for name in order)))
     if not numbers:
@@ -91,49 +92,20 @@ def cut(df: DataFrame, keys, order, rows_per_piece: int) -> tuple[DataFrame, lis
     rows = df.withColumns({f"_number_{i}": number for i, number in enumerate(numbers)})
     path: list[str] = []
     for level in range(CUT_LEVELS + 1):
-        pieces = rows.groupBy(*keys, *path).agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.min(f"_number_{i}").alias(f"_low_{i}") for i in range(len(numbers))],
-            *[F.max(f"_number_{i}").alias(f"_high_{i}") for i in range(len(numbers))],
-            *[F.count(f"_number_{i}").alias(f"_known_{i}") for i in range(len(numbers))],
-        )
-        varies = [
-            (F.col(f"_low_{i}") < F.col(f"_high_{i}"))
-            | ((F.col(f"_known_{i}") > 0) & (F.col(f"_known_{i}") < F.col("_n")))
-            for i in range(len(numbers))
-        ]
-        axis = F.coalesce(*[F.when(test, F.lit(i)) for i, test in enumerate(varies)])
-        kept = settle(pieces.withColumn("_axis", axis))
+        kept = _measure(rows, keys, path, len(numbers))
         too_large = kept.df.where((F.col("_n") > 2 * rows_per_piece) & F.col("_axis").isNotNull())
         if level == CUT_LEVELS or too_large.isEmpty():
             break
-        ranges = too_large.select(
-            *keys,
-            *path,
-            F.ceil(F.col("_n") / F.lit(rows_per_piece)).alias("_parts"),
-            "_axis",
-            F.coalesce(*[F.when(F.col("_axis") == i, F.col(f"_low_{i}")) for i in range(len(numbers))]).alias("_low"),
-            F.coalesce(*[F.when(F.col("_axis") == i, F.col(f"_high_{i}")) for i in range(len(numbers))]).alias("_high"),
-        )
-        # The first level may meet a table without keys; later levels always have a path.
-        joined = match(rows, kept.hint(ranges), [*keys, *path], "left")
-        value = F.coalesce(
-            *[F.when(F.col("_axis") == i, F.col(f"_number_{i}")) for i in range(len(numbers))]
-        )
-        share = F.coalesce(
-            F.try_divide(value - F.col("_low"), F.col("_high") - F.col("_low")),
-            F.when(value.isNotNull(), F.lit(0.0)),
-        )
-        inside = F.when(
-            F.col("_parts").isNotNull() & share.isNotNull() & ~F.isnan(share),
-            F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1),
-        )
-        # Missing values sort last, so they form the piece after the last range.
-        name = f"_cut_{level}"
-        rows = joined.withColumn(
-            name, F.coalesce(inside, F.col("_parts"), F.lit(0)).cast("long")
-        ).drop("_parts", "_axis", "_low", "_high")
-        path.append(name)
+        rows = _narrow(rows, kept.hint(_ranges(too_large, keys, path, len(numbers), rows_per_piece)), keys, path, len(numbers))
+        path.append(f"_cut_{level}")
+    tied = kept.df.where((F.col("_n") > 2 * rows_per_piece) & F.col("_axis").isNull())
+    if not tied.isEmpty() and len(numbers) == len(order):
+        parts = tied.select(*keys, *path, F.ceil(F.col("_n") / rows_per_piece).alias("_parts"))
+        content = [field.name for field in df.schema if not isinstance(field.dataType, (T.MapType, T.VariantType))]
+        salt = F.coalesce(F.pmod(F.xxhash64(*content), F.col("_parts")), F.lit(0))
+        rows = match(rows, kept.hint(parts), [*keys, *path], "left").withColumn("_cut_tie", salt).drop("_parts")
+        path.append("_cut_tie")
+        kept = _measure(rows, keys, path, len(numbers))
     along = Window.partitionBy(*keys).orderBy(*path) if path else Window.partitionBy(*keys).orderBy(F.lit(0))
     pieces = kept.df.withColumns(
         {
@@ -146,6 +118,54 @@ def cut(df: DataFrame, keys, order, rows_per_piece: int) -> tuple[DataFrame, lis
     return rows.drop(*[f"_number_{i}" for i in range(len(numbers))]), path, pieces
 
 
+def _measure(rows: DataFrame, keys, path, axes: int) -> SmallTable:
+    """One row per piece: size, extremes of the order columns, and the first that varies (``_axis``)."""
+    pieces = rows.groupBy(*keys, *path).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.min(f"_number_{i}").alias(f"_low_{i}") for i in range(axes)],
+        *[F.max(f"_number_{i}").alias(f"_high_{i}") for i in range(axes)],
+        *[F.count(f"_number_{i}").alias(f"_known_{i}") for i in range(axes)],
+    )
+    varies = [
+        (F.col(f"_low_{i}") < F.col(f"_high_{i}"))
+        | ((F.col(f"_known_{i}") > 0) & (F.col(f"_known_{i}") < F.col("_n")))
+        for i in range(axes)
+    ]
+    return settle(pieces.withColumn("_axis", F.coalesce(*[F.when(test, F.lit(i)) for i, test in enumerate(varies)])))
+
+
+def _of_axis(name: str, axes: int) -> Column:
+    return F.coalesce(*[F.when(F.col("_axis") == i, F.col(f"{name}_{i}")) for i in range(axes)])
+
+
+def _ranges(pieces: DataFrame, keys, path, axes: int, rows_per_piece: int) -> DataFrame:
+    return pieces.select(
+        *keys,
+        *path,
+        F.ceil(F.col("_n") / F.lit(rows_per_piece)).alias("_parts"),
+        "_axis",
+        _of_axis("_low", axes).alias("_low"),
+        _of_axis("_high", axes).alias("_high"),
+    )
+
+
+def _narrow(rows: DataFrame, ranges: DataFrame, keys, path, axes: int) -> DataFrame:
+    """Add the next cut column: the range a row lies in, 0 where the piece is not split."""
+    value = _of_axis("_number", axes)
+    share = F.coalesce(
+        F.try_divide(value - F.col("_low"), F.col("_high") - F.col("_low")),
+        F.when(value.isNotNull(), F.lit(0.0)),
+    )
+    inside = F.when(
+        F.col("_parts").isNotNull() & share.isNotNull() & ~F.isnan(share),
+        F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1),
+    )
+    # Missing values sort last, so they form the piece after the last range.
+    place = F.coalesce(inside, F.col("_parts"), F.lit(0)).cast("long")
+    joined = match(rows, ranges, [*keys, *path], "left")
+    return joined.withColumn(f"_cut_{len(path)}", place).drop("_parts", "_axis", "_low", "_high")
+
+
 def number_long(df: DataFrame, keys, order, rows_per_piece: int) -> DataFrame:
     """``df`` with ``_rn`` (1-based position in the series) and ``_n`` (length), by pieces."""
     rows, path, pieces = cut(df, keys, order, rows_per_piece)

@@ -39,14 +39,10 @@ def split_by_engine(
     inside = F.col("_hash") < F.lit(cut)
     below = fleet.df.where(inside).count()
     # Engines that share the hash at the cut are taken in key order until the side is full.
-    last = fleet.df.where(F.col("_hash") == F.lit(cut)).orderBy(*keys).limit(wanted - below).collect()
-    same = F.lit(False)
-    for row in last:
-        one = F.lit(True)
-        for key in keys:
-            one = one & F.col(key).eqNullSafe(F.lit(row[key]))
-        same = same | one
-    chosen = (hashed < F.lit(cut)) | ((hashed == F.lit(cut)) & same)
+    same = fleet.df.where(F.col("_hash") == F.lit(cut)).orderBy(*keys).limit(wanted - below)
+    last = same.orderBy(*[F.col(key).desc() for key in keys]).first()
+    place = F.struct(*[F.lit(last[key]).cast(df.schema[key].dataType).alias(key) for key in keys])
+    chosen = (hashed < F.lit(cut)) | ((hashed == F.lit(cut)) & (F.struct(*keys) <= place))
     return df.withColumn("split", F.when(chosen, F.lit("val")).otherwise(F.lit("train")))
 
 

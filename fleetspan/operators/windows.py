@@ -30,7 +30,8 @@ def sliding_windows(
     Returns ``keys``, ``window_end`` (time of the last reading), ``x`` (readings by features)
     and ``y``.  Readings follow each other in the order of ``time``; gaps do not matter.
     Engines with fewer than ``window + horizon`` readings give no window.  ``target=None`` leaves
-    ``y`` out.
+    ``y`` out.  Where an engine can have several readings at one time, ``ties`` names the columns
+    that put them in order.
     """
     features = list(features or remaining_columns(df, keys, time, target))
     targets = [target] if target else []

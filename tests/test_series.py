@@ -98,6 +98,15 @@ def test_ties_are_cut_by_the_next_order_column(spark):
     assert made.where("cycle = 6").first()["_rn"] == 501
 
 
+def test_readings_of_one_moment_are_dealt(spark):
+    rows = spark.createDataFrame([("FD001", 1, 5, float(e)) for e in range(1000)] + [("FD001", 1, c, 0.0) for c in (1, 9)], "dataset_id string, unit int, cycle int, sensor_1 double")
+    _, path, pieces = cut(rows, KEYS, ["cycle"], 50)
+    assert path[-1] == "_cut_tie" and max(row["_n"] for row in pieces.collect()) <= 100
+    made = number_rows(rows, KEYS, ["cycle"], rows_per_task=50)
+    assert sorted(row["_rn"] for row in made.collect()) == list(range(1, 1003))
+    assert {row["cycle"]: row["_rn"] for row in made.where("cycle <> 5").collect()} == {1: 1, 9: 1002}
+
+
 def test_missing_order_values_come_last(spark):
     rows = spark.createDataFrame([("FD001", 1, c, i) for i, c in enumerate([None] * 40 + [3] * 40 + list(range(100)))], "dataset_id string, unit int, cycle int, place int")
     plain = ordered(number_rows(rows, KEYS, ["cycle", "place"]), "_rn")
