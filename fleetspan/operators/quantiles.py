@@ -26,7 +26,7 @@ def _values_at_ranks(
 
     The series are cut by value; only the pieces that hold an asked rank are sorted.
     """
-    rows, path, pieces = cut(df, keys, [column], rows_per_piece)
+    rows, path, pieces = cut(df, keys, [column], rows_per_piece, deal_ties=False)
     hits = F.filter(
         F.array_distinct(ranks(F.col("_total"))),
         lambda rank: (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_n")),

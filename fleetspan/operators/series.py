@@ -74,7 +74,9 @@ def _as_number(df: DataFrame, name: str) -> Column | None:
     return None
 
 
-def cut(df: DataFrame, keys, order, rows_per_piece: int) -> tuple[DataFrame, list[str], DataFrame]:
+def cut(
+    df: DataFrame, keys, order, rows_per_piece: int, deal_ties: bool = True
+) -> tuple[DataFrame, list[str], DataFrame]:
     """Cut long series along ``order``.
 
     Returns the rows with their piece (columns ``_cut_0``, ``_cut_1``, ...), the names of these
@@ -84,7 +86,8 @@ def cut(df: DataFrame, keys, order, rows_per_piece: int) -> tuple[DataFrame, lis
 
     Each level splits the pieces that are too large into equal ranges of the first order column
     that still varies inside them.  Rows equal in every order column may come in any order, so
-    large groups of them are dealt by the hash of the whole row; only copies stay together.
+    with ``deal_ties`` large groups of them are dealt by the hash of the whole row, and what is
+    left of copies is counted, spread and written out again.
     """
     numbers = list(takewhile(lambda number: number is not None, (_as_number(df, name) for name in order)))
     if not numbers:
@@ -99,13 +102,20 @@ def cut(df: DataFrame, keys, order, rows_per_piece: int) -> tuple[DataFrame, lis
         rows = _narrow(rows, kept.hint(_ranges(too_large, keys, path, len(numbers), rows_per_piece)), keys, path, len(numbers))
         path.append(f"_cut_{level}")
     tied = kept.df.where((F.col("_n") > 2 * rows_per_piece) & F.col("_axis").isNull())
-    if not tied.isEmpty() and len(numbers) == len(order):
+    if deal_ties and len(numbers) == len(order) and not tied.isEmpty():
         parts = tied.select(*keys, *path, F.ceil(F.col("_n") / rows_per_piece).alias("_parts"))
         content = [field.name for field in df.schema if not isinstance(field.dataType, (T.MapType, T.VariantType))]
         salt = F.coalesce(F.pmod(F.xxhash64(*content), F.col("_parts")), F.lit(0))
         rows = match(rows, kept.hint(parts), [*keys, *path], "left").withColumn("_cut_tie", salt).drop("_parts")
         path.append("_cut_tie")
         kept = _measure(rows, keys, path, len(numbers))
+        copied = kept.df.where((F.col("_n") > 2 * rows_per_piece) & F.col("_axis").isNull())
+        if len(content) == len(df.columns) and not copied.isEmpty():
+            ids = kept.hint(copied.select(*keys, *path))
+            rest = match(rows, ids, [*keys, *path], "left_anti").withColumn("_cut_copy", F.lit(0).cast("long"))
+            rows = rest.unionByName(_deal_copies(match(rows, ids, [*keys, *path], "left_semi"), rows_per_piece))
+            path.append("_cut_copy")
+            kept = _measure(rows, keys, path, len(numbers))
     along = Window.partitionBy(*keys).orderBy(*path) if path else Window.partitionBy(*keys).orderBy(F.lit(0))
     pieces = kept.df.withColumns(
         {
@@ -118,6 +128,16 @@ def cut(df: DataFrame, keys, order, rows_per_piece: int) -> tuple[DataFrame, lis
     return rows.drop(*[f"_number_{i}" for i in range(len(numbers))]), path, pieces
 
 
+def _deal_copies(rows: DataFrame, rows_per_piece: int) -> DataFrame:
+    """The same rows, with copies counted before the shuffle and spread evenly over ``_cut_copy``."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    last = F.floor((F.col("_copies") - 1) / rows_per_piece)
+    blocks = counted.withColumn("_cut_copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    size = F.least(F.lit(rows_per_piece).cast("long"), F.col("_copies") - F.col("_cut_copy") * rows_per_piece)
+    spread = blocks.withColumn("_size", size).repartition(*rows.columns, "_cut_copy")
+    return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_size")))).drop("_copies", "_size", "_copy")
+
+
 def _measure(rows: DataFrame, keys, path, axes: int) -> SmallTable:
     """One row per piece: size, extremes of the order columns, and the first that varies (``_axis``)."""
     pieces = rows.groupBy(*keys, *path).agg(

@@ -107,6 +107,22 @@ def test_readings_of_one_moment_are_dealt(spark):
     assert {row["cycle"]: row["_rn"] for row in made.where("cycle <> 5").collect()} == {1: 1, 9: 1002}
 
 
+def test_copies_are_counted_and_spread(spark):
+    lines = [("FD001", 1, 5, 2.0)] * 1000 + [("FD001", 1, c, float(c)) for c in range(1, 5)] + [("FD001", 1, c, float(c)) for c in range(6, 300)]
+    rows = spark.createDataFrame(lines, "dataset_id string, unit int, cycle int, sensor_1 double")
+    cut_rows, path, pieces = cut(rows, KEYS, ["cycle"], 50)
+    assert path[-1] == "_cut_copy" and max(row["_n"] for row in pieces.collect()) <= 100
+    assert sorted(map(tuple, cut_rows.select(*rows.columns).collect())) == sorted(lines)
+    made = number_rows(rows, KEYS, ["cycle"], rows_per_task=50)
+    assert sorted(row["_rn"] for row in made.collect()) == list(range(1, 1299))
+    assert made.where("cycle > 5 and _rn <> cycle + 999").count() == 0
+    labelled = rows.withColumn("RUL", F.lit(0.0))
+    plain = windows.sliding_windows(labelled, 30, 1, ["sensor_1"])
+    pieces = windows.sliding_windows(labelled, 30, 1, ["sensor_1"], rows_per_task=50)
+    as_rows = lambda df: sorted((row["window_end"], row["x"]) for row in df.collect())
+    assert as_rows(plain) == as_rows(pieces)
+
+
 def test_missing_order_values_come_last(spark):
     rows = spark.createDataFrame([("FD001", 1, c, i) for i, c in enumerate([None] * 40 + [3] * 40 + list(range(100)))], "dataset_id string, unit int, cycle int, place int")
     plain = ordered(number_rows(rows, KEYS, ["cycle", "place"]), "_rn")
