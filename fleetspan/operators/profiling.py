@@ -1,7 +1,7 @@
 """Describing a fleet: summaries, missing values, rules, correlations, histograms."""
 
-from itertools import combinations_with_replacement
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +11,6 @@ from fleetspan.operators.splitting import engines
 from fleetspan.schema import KEYS, TARGET, TIME
 from fleetspan.shared import match
 
-# Wider tables are correlated in several passes, so that each one stays compiled.
-PAIRS_PER_PASS = 300
-
 
 def fleet_summary(df: DataFrame, keys=KEYS, time=TIME, by=()) -> DataFrame:
     """Engines, readings, sum of the cycle column and mean lifetime, in total or per ``by``."""
@@ -87,72 +84,59 @@ def correlation_matrix(df: DataFrame, features) -> DataFrame:
     """Pearson correlation of every ordered pair of features: ``a, b, r``.
 
     A pair uses the rows where both values are present; a constant feature gives null.  The
-    first pass finds means and gaps, the second adds up products around the means.  Sums per
-    pair are needed only where a value is missing, so complete columns share theirs.
+    first pass finds the means.  The second forms, batch by batch, the matrix products that hold
+    all pairs' sums around the means; a task returns one small table of sums, which Spark adds.
+    Aggregate expressions, several per pair, took many times as long.
     """
     features = list(features)
+    count = len(features)
     base = df.select(*[without_nan(df, name).alias(f"c{i}") for i, name in enumerate(features)])
     first = base.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.avg(f"c{i}").alias(f"mean_{i}") for i in range(len(features))],
-        *[F.count(f"c{i}").alias(f"known_{i}") for i in range(len(features))],
-        *[(F.min(f"c{i}") < F.max(f"c{i}")).alias(f"varies_{i}") for i in range(len(features))],
+        *[F.avg(f"c{i}").alias(f"mean_{i}") for i in range(count)],
+        *[(F.min(f"c{i}") < F.max(f"c{i}")).alias(f"varies_{i}") for i in range(count)],
     ).first()
-    live = [i for i in range(len(features)) if first[f"varies_{i}"]]
-    complete = {i for i in live if first[f"known_{i}"] == first["rows"]}
-    shifted = base.select(*[(F.col(f"c{i}") - F.lit(first[f"mean_{i}"])).alias(f"c{i}") for i in live])
-    pairs = list(combinations_with_replacement(live, 2))
-    result = None
-    for start in range(0, max(len(pairs), 1), PAIRS_PER_PASS):
-        part = pairs[start : start + PAIRS_PER_PASS]
-        sums = {}
-        cells = []
-
-        def total(name: str, value: Column) -> Column:
-            sums[name] = F.sum(value)
-            return F.col(name)
-
-        for i, j in part:
-            a, b = F.col(f"c{i}"), F.col(f"c{j}")
-            if i in complete and j in complete:
-                n = F.lit(float(first["rows"]))
-                suffix_a, suffix_b, both_a, both_b = f"{i}", f"{j}", a, b
-            else:
-                both = a.isNotNull() & b.isNotNull()
-                suffix_a, suffix_b = f"{i}_{i}_{j}", f"{j}_{i}_{j}"
-                both_a, both_b = F.when(both, a), F.when(both, b)
-                n = total(f"n_{i}_{j}", F.when(both, 1.0))
-            sum_a, sum_b = total(f"s_{suffix_a}", both_a), total(f"s_{suffix_b}", both_b)
-            square_a = total(f"q_{suffix_a}", both_a * both_a)
-            square_b = total(f"q_{suffix_b}", both_b * both_b)
-            product = total(f"p_{i}_{j}", both_a * both_b)
-            spread_a = square_a - F.try_divide(sum_a * sum_a, n)
-            spread_b = square_b - F.try_divide(sum_b * sum_b, n)
-            # Spread at rounding level means a constant over the shared rows.
-            flat = (spread_a <= square_a * 1e-14) | (spread_b <= square_b * 1e-14)
-            r = F.when(
-                ~flat,
-                F.try_divide(product - F.try_divide(sum_a * sum_b, n), F.sqrt(spread_a) * F.sqrt(spread_b)),
-            )
-            r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)) if i != j else F.when(~flat, F.lit(1.0))
-            r = F.when(~flat, r)
-            cells.append(F.struct(F.lit(features[i]).alias("a"), F.lit(features[j]).alias("b"), r.alias("r")))
-            if i != j:
-                cells.append(F.struct(F.lit(features[j]).alias("a"), F.lit(features[i]).alias("b"), r.alias("r")))
-        if cells:
-            row = shifted.agg(*[value.alias(name) for name, value in sums.items()])
-            made = row.select(F.inline(F.array(*cells)))
-            result = made if result is None else result.unionByName(made)
-    dead = [
-        (features[i], features[j])
-        for i in range(len(features))
-        for j in range(len(features))
-        if i not in live or j not in live
-    ]
-    if dead or result is None:
-        empty = df.sparkSession.createDataFrame([(a, b, None) for a, b in dead], "a string, b string, r double")
-        result = empty if result is None else result.unionByName(empty)
-    return result
+    means = np.array([first[f"mean_{i}"] or 0.0 for i in range(count)])
+    left, right = np.triu_indices(count)
+
+    def pair_sums(batches):
+        total = None
+        for batch in batches:
+            values = np.column_stack([column.to_numpy(zero_copy_only=False) for column in batch.columns]).astype(float)
+            known = ~np.isnan(values)
+            values = np.where(known, values - means, 0.0)
+            present = known.astype(float)
+            sums = np.stack([present.T @ present, values.T @ present, (values * values).T @ present, values.T @ values])
+            total = sums if total is None else total + sums
+        if total is not None:
+            n, plain, square, product = total
+            columns = [left, right, n[left, right], plain[left, right], plain[right, left]]
+            columns += [square[left, right], square[right, left], product[left, right]]
+            yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=names)
+
+    names = ["i", "j", "n", "sum_a", "sum_b", "square_a", "square_b", "product"]
+    partial = base.mapInArrow(pair_sums, "i long, j long, " + ", ".join(f"{name} double" for name in names[2:]))
+    sums = partial.groupBy("i", "j").agg(*[F.sum(name).alias(name) for name in names[2:]])
+
+    n = F.col("n")
+    spread_a = F.col("square_a") - F.try_divide(F.col("sum_a") * F.col("sum_a"), n)
+    spread_b = F.col("square_b") - F.try_divide(F.col("sum_b") * F.col("sum_b"), n)
+    shared = F.col("product") - F.try_divide(F.col("sum_a") * F.col("sum_b"), n)
+    # Spread at rounding level means a constant over the shared rows.
+    spreads = (spread_a > F.col("square_a") * 1e-14) & (spread_b > F.col("square_b") * 1e-14)
+    r = F.try_divide(shared, F.sqrt(spread_a) * F.sqrt(spread_b))
+    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    varies = F.array(*[F.lit(bool(first[f"varies_{i}"])) for i in range(count)])
+    usable = spreads & F.get(varies, F.col("i")) & F.get(varies, F.col("j"))
+    found = sums.select("i", "j", F.when(usable, F.when(F.col("i") == F.col("j"), 1.0).otherwise(bounded)).alias("r"))
+
+    labels = F.array(*map(F.lit, features))
+    grid = df.sparkSession.range(count * count).select(
+        F.get(labels, F.floor(F.col("id") / count).cast("int")).alias("a"),
+        F.get(labels, (F.col("id") % count).cast("int")).alias("b"),
+        F.least(F.floor(F.col("id") / count), F.col("id") % count).alias("i"),
+        F.greatest(F.floor(F.col("id") / count), F.col("id") % count).alias("j"),
+    )
+    return grid.join(found, ["i", "j"], "left").select("a", "b", "r")
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
