@@ -1,5 +1,9 @@
 """Sliding windows of consecutive readings."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -8,6 +12,8 @@ from fleetspan.schema import HORIZON, KEYS, TARGET, TIME, WINDOW, remaining_colu
 
 # The row limit up to which Spark cuts ranked rows before the shuffle.
 RANK_LIMIT = 1000
+# Windows measured at a time: bounds the memory of a Python worker.
+WINDOWS_AT_ONCE = 512
 
 
 def _vector(features) -> Column:
@@ -62,31 +68,60 @@ def window_summaries(
 ) -> DataFrame:
     """Mean, deviation, slope and last value of every feature over each sliding window.
 
-    Same windows as :func:`sliding_windows` without building the matrices.
+    The windows of :func:`sliding_windows`; missing values are left out of the measures.  The
+    measures are taken from whole batches of windows at once: as aggregates over sliding frames
+    Spark would work through every frame again for each of them.
     """
     features = list(features or remaining_columns(df, keys, time, target))
-    rows = df.select(*keys, time, *ties, target, *[F.col(name).cast("double").alias(name) for name in features])
-
-    def columns(series):
-        frame = series.rowsBetween(1 - window, 0)
-        made = {"y": F.lead(target, horizon).over(series)}
-        for name in features:
-            made[f"{name}_mean"] = F.avg(name).over(frame)
-            made[f"{name}_std"] = F.stddev_pop(name).over(frame)
-            made[f"{name}_slope"] = F.regr_slope(F.col(name), F.col(time).cast("double")).over(frame)
-        return made
-
-    full = (F.col("_rn") >= window) & (F.col("_rn") <= F.col("_n") - horizon)
-    made = over_series(rows, keys, [time, *ties], columns, window - 1, horizon, full, rows_per_task)
-    return made.select(
+    targets = [target] if target else []
+    rows = df.select(
+        *keys, time, *ties, *targets, F.col(time).cast("double").alias("_time"), *features
+    )
+    made = sliding_windows(rows, window, horizon, ["_time", *features], keys, time, target, ties, rows_per_task)
+    measured = made.withColumn("_measures", _measures(window, len(features))(F.flatten("x")))
+    names = [f"{name}_{part}" for part in ("mean", "std", "slope") for name in features]
+    value = lambda i: F.get("_measures", F.lit(i))
+    return measured.select(
         *keys,
-        F.col(time).alias("window_end"),
-        *[F.col(f"{name}_{part}") for name in features for part in ("mean", "std", "slope")],
-        *[F.col(name).alias(f"{name}_last") for name in features],
-        F.col("y").cast("double").alias("y"),
+        "window_end",
+        *[F.when(~F.isnan(value(i)), value(i)).alias(name) for i, name in enumerate(names)],
+        *[F.element_at("x", -1)[i + 1].alias(f"{name}_last") for i, name in enumerate(features)],
+        *(["y"] if target else []),
     )
 
 
+def _measures(window: int, width: int):
+    """A function of flat windows (time first) to the means, deviations and slopes in one array."""
+
+    def summarise(x: np.ndarray) -> np.ndarray:
+        moment, values = x[:, :, :1], x[:, :, 1:]
+        known = ~(np.isnan(values) | np.isnan(moment))
+        present = ~np.isnan(values)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            n = present.sum(axis=1)
+            mean = np.where(present, values, 0.0).sum(axis=1) / n
+            apart = np.where(present, values - mean[:, None, :], 0.0)
+            deviation = np.sqrt((apart * apart).sum(axis=1) / n)
+            both = known.sum(axis=1)
+            time_mean = np.where(known, moment, 0.0).sum(axis=1) / both
+            value_mean = np.where(known, values, 0.0).sum(axis=1) / both
+            time_apart = np.where(known, moment - time_mean[:, None, :], 0.0)
+            value_apart = np.where(known, values - value_mean[:, None, :], 0.0)
+            slope = (time_apart * value_apart).sum(axis=1) / (time_apart * time_apart).sum(axis=1)
+        return np.concatenate([mean, deviation, slope], axis=1)
+
+    @F.pandas_udf("array<double>")
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            found = []
+            for start in range(0, len(batch), WINDOWS_AT_ONCE):
+                part = np.stack(batch.iloc[start : start + WINDOWS_AT_ONCE].to_numpy()).astype(float)
+                found.extend(summarise(part.reshape(-1, window, width + 1)))
+            yield pd.Series(found)
+
+    return measure
+
+
 def latest_windows(
     df: DataFrame,
     window: int = WINDOW,

@@ -189,6 +189,14 @@ def test_window_summaries(skewed, rows_per_task):
         assert (row["sensor_1_last"], row["y"]) == (x[-1, 1], y)
 
 
+def test_summaries_leave_missing_values_out(spark):
+    lines = [("FD001", 1, 1, 2.0, None, 9.0), ("FD001", 1, 2, None, None, 8.0), ("FD001", 1, 4, 5.0, 1.0, 7.0)]
+    rows = spark.createDataFrame(lines, "dataset_id string, unit int, cycle int, sensor_1 double, sensor_2 double, RUL double")
+    row = windows.window_summaries(rows, 3, 0).first()
+    assert (row["sensor_1_mean"], row["sensor_1_std"], row["sensor_1_slope"], row["sensor_1_last"]) == (3.5, 1.5, 1.0, 5.0)
+    assert (row["sensor_2_mean"], row["sensor_2_std"], row["sensor_2_slope"], row["y"]) == (1.0, 0.0, None, 7.0)
+
+
 @pytest.mark.parametrize("rows_per_task", [1_000_000, 40])
 def test_engineered_features(skewed, rows_per_task):
     frame, rows = skewed
