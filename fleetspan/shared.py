@@ -1,9 +1,10 @@
 """Small tables: kept once in the shared folder, counted, and only then broadcast."""
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A table with more rows than this is never broadcast.
@@ -91,3 +92,27 @@ def attach(df: DataFrame, table: DataFrame, keys, rows_per_key: str, crowded: in
     ids = F.broadcast(hot.df.select(*keys))
     ordinary = match(match(df, ids, keys, "left_anti"), plain, keys, "left")
     return ordinary.unionByName(match(df, F.broadcast(hot.df.drop(rows_per_key)), keys, "inner"))
+
+
+def numbered(df: DataFrame, order) -> DataFrame:
+    """Rows with ``_index``, their place in ``order`` over the whole table, from 0.
+
+    Spark ranges the rows by the columns' own types and sorts each range by itself; the ranges are kept once
+    in the shared folder, counted, and shifted by the counts before them.  Only one count per range meets
+    in one task.
+    """
+    spark = df.sparkSession
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    path = f"{shared_folder(spark).rstrip('/')}/numbered-{uuid.uuid4().hex}"
+    ranges.withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
+    stored = spark.read.parquet(path)
+    piece = F.shiftright("_place", 33)
+    counts = stored.groupBy(piece.alias("_piece")).agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_piece", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        stored.join(F.broadcast(starts), piece == F.col("_piece"))
+        .withColumn("_index", place)
+        .drop("_piece", "_place", "_start")
+    )
