@@ -4,6 +4,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetspan.llm.common import table
 from fleetspan.llm.mixing import mix_sources
+from fleetspan.llm.warc import archive_round_trip
+
+
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    records = archive_round_trip(table(spark, folder, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -12,7 +18,24 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLES: dict[str, str] = {}
+OP1_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes
+  FROM pages),
+named AS (
+  SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+         CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS first_id
+  FROM payloads)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM named
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_warc": OP1_SQL,
+}
