@@ -1,9 +1,12 @@
 """The registered queries of the training-data operators, with production parameters."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetspan.llm.common import table
+from fleetspan.llm.common import kept, table
 from fleetspan.llm.mixing import mix_sources
+from fleetspan.llm.quality import quality_scores, statistics
+from fleetspan.llm.repetition import repetition_rules
 from fleetspan.llm.warc import archive_round_trip
 
 
@@ -12,6 +15,16 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    stats = kept(docs.select("doc_id", statistics(F.col("text")).alias("_stats")), "quality-statistics")
+    return quality_scores(stats, table(spark, folder, "labels"))
+
+
+def op6_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition_rules(table(spark, folder, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix_sources(table(spark, folder, "documents"), slim=True)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -19,6 +32,8 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op4_quality": op4_quality,
+    "op6_repetition": op6_repetition,
     "op10_mix_sources": op10_mix_sources,
 }
 

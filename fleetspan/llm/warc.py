@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from fleetspan.llm.common import kept, new_folder, small
 from fleetspan.shared import numbered
 
-RECORDS_PER_SHARD = 20_000
+RECORDS_PER_SHARD = 5_000
 ROLL_BYTES = 64 << 20
 REVISIT_BYTES = 1000
 CHUNK = 1 << 20
