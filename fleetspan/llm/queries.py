@@ -7,6 +7,7 @@ from fleetspan.llm.common import kept, table
 from fleetspan.llm.mixing import mix_sources
 from fleetspan.llm.quality import quality_scores, statistics
 from fleetspan.llm.repetition import repetition_rules
+from fleetspan.llm.tokens import encode_documents
 from fleetspan.llm.warc import archive_round_trip
 
 
@@ -25,6 +26,20 @@ def op6_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition_rules(table(spark, folder, "documents"))
 
 
+def op7_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    made = encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return made.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix_sources(table(spark, folder, "documents"), slim=True)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -34,6 +49,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op4_quality": op4_quality,
     "op6_repetition": op6_repetition,
+    "op7_tokens": op7_tokens,
     "op10_mix_sources": op10_mix_sources,
 }
 
