@@ -22,7 +22,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+
+IDS = ArrayType(IntegerType())
 
 # Words remembered by a worker; beyond that it starts anew.
 REMEMBERED = 400_000
@@ -173,6 +175,19 @@ def _loaded(shared) -> BytePairs:
     return _LOADED[key]
 
 
+def _encoded(tokenizer: BytePairs, texts: pa.Array) -> pa.Array:
+    rows = [np.array(tokenizer.encode(t.as_py()), np.int32) for t in texts]
+    ends = np.cumsum([0, *map(len, rows)])
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+
+def _decoded(tokenizer: BytePairs, rows: pa.Array) -> pa.Array:
+    flat = rows.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum([0, *rows.value_lengths().fill_null(0).to_pylist()])
+    return pa.array([tokenizer.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.string())
+
+
 class Tokenizer:
     """Columns of token ids and of decoded texts for one vocabulary file."""
 
@@ -183,13 +198,9 @@ class Tokenizer:
     def encode(self, text: Column) -> Column:
         shared = self.shared
 
-        @F.arrow_udf(ArrayType(IntegerType()))
+        @F.arrow_udf(IDS)
         def encode(texts: pa.Array) -> pa.Array:
-            tokenizer = _loaded(shared)
-            rows = [np.array(tokenizer.encode(t.as_py()), np.int32) for t in texts]
-            ends = np.cumsum([0, *map(len, rows)])
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            return _encoded(_loaded(shared), texts)
 
         return encode(text)
 
@@ -198,16 +209,28 @@ class Tokenizer:
 
         @F.arrow_udf(StringType())
         def decode(rows: pa.Array) -> pa.Array:
-            tokenizer = _loaded(shared)
-            flat = rows.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum([0, *rows.value_lengths().fill_null(0).to_pylist()])
-            return pa.array([tokenizer.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.string())
+            return _decoded(_loaded(shared), rows)
 
         return decode(ids)
 
+    def round_trip(self, text: Column) -> Column:
+        """Ids and decoded text as one struct, so that Spark encodes once."""
+        shared = self.shared
+
+        @F.arrow_udf(StructType().add("token_ids", IDS).add("decoded", StringType()))
+        def round_trip(texts: pa.Array) -> pa.Array:
+            ids = _encoded(_loaded(shared), texts)
+            return pa.StructArray.from_arrays([ids, _decoded(_loaded(shared), ids)], names=["token_ids", "decoded"])
+
+        return round_trip(text)
+
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids``, and ``decoded``, the text that these ids stand for."""
+    """``docs`` with ``token_ids``, and ``decoded``, the text that these ids stand for.
+
+    Columns of these names are replaced.
+    """
     tokenizer = Tokenizer(docs.sparkSession, path)
-    encoded = docs.withColumn("token_ids", tokenizer.encode(F.col(text)))
-    return encoded.withColumn("decoded", tokenizer.decode(F.col("token_ids")))
+    others = [c for c in docs.columns if c not in ("token_ids", "decoded")]
+    made = docs.select(*others, tokenizer.round_trip(F.col(text)).alias("_coded"))
+    return made.select(*others, "_coded.token_ids", "_coded.decoded")
