@@ -9,6 +9,7 @@ from fleetspan.llm.quality import quality_scores, statistics
 from fleetspan.llm.repetition import repetition_rules
 from fleetspan.llm.tokens import encode_documents
 from fleetspan.llm.warc import archive_round_trip
+from fleetspan.llm.winnowing import edited_fingerprints, fingerprint_text
 
 
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,6 +23,19 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(stats, table(spark, folder, "labels"))
 
 
+def op5_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    made = edited_fingerprints(table(spark, folder, "documents"))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint_text("own").alias("fingerprint"),
+        fingerprint_text("edited").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op6_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition_rules(table(spark, folder, "documents"))
 
@@ -48,6 +62,7 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op4_quality": op4_quality,
+    "op5_winnowing": op5_winnowing,
     "op6_repetition": op6_repetition,
     "op7_tokens": op7_tokens,
     "op10_mix_sources": op10_mix_sources,
