@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetspan.llm.common import kept, table
 from fleetspan.llm.mixing import mix_sources
+from fleetspan.llm.private import replace_private
 from fleetspan.llm.quality import quality_scores, statistics
 from fleetspan.llm.repetition import repetition_rules
 from fleetspan.llm.tokens import encode_documents
@@ -54,6 +55,10 @@ def op7_tokens(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_private(spark: SparkSession, folder: str) -> DataFrame:
+    return replace_private(table(spark, folder, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix_sources(table(spark, folder, "documents"), slim=True)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -65,6 +70,7 @@ QUERIES = {
     "op5_winnowing": op5_winnowing,
     "op6_repetition": op6_repetition,
     "op7_tokens": op7_tokens,
+    "op8_private": op8_private,
     "op10_mix_sources": op10_mix_sources,
 }
 
