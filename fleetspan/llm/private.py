@@ -46,7 +46,7 @@ PATTERN = "|".join([
     r"(?:\+\d{1,3}[ .-]?)?(?<!\d)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)",
     r"\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)",
     r"(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d|[.-]\d)",
-    r"(?<![\d.-])[3-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![ .-]?\d)",
+    r"(?<![\d.-])[3-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?!\d|[.-]\d)",
     rf"(?<!\p{{L}})(?:{'|'.join(FEMALE + MALE)})\.? {_NAME}(?: {_NAME}){{0,2}}",
 ])
 # What a text needs at least to hold an entity: a cheap look before the patterns.
