@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspan.llm.common import kept, table
+from fleetspan.llm.kneser_ney import held_out_scores
 from fleetspan.llm.mixing import mix_sources
 from fleetspan.llm.private import replace_private
 from fleetspan.llm.quality import quality_scores, statistics
@@ -59,6 +60,10 @@ def op8_private(spark: SparkSession, folder: str) -> DataFrame:
     return replace_private(table(spark, folder, "documents")).select("doc_id", "text", "n_entities")
 
 
+def op9_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    return held_out_scores(table(spark, folder, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix_sources(table(spark, folder, "documents"), slim=True)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -71,6 +76,7 @@ QUERIES = {
     "op6_repetition": op6_repetition,
     "op7_tokens": op7_tokens,
     "op8_private": op8_private,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_mix_sources": op10_mix_sources,
 }
 
