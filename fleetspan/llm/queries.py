@@ -9,6 +9,7 @@ from fleetspan.llm.mixing import mix_sources
 from fleetspan.llm.private import replace_private
 from fleetspan.llm.quality import quality_scores, statistics
 from fleetspan.llm.repetition import repetition_rules
+from fleetspan.llm.substrings import remove_repeats
 from fleetspan.llm.tokens import encode_documents
 from fleetspan.llm.warc import archive_round_trip
 from fleetspan.llm.winnowing import edited_fingerprints, fingerprint_text
@@ -19,6 +20,17 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    made = remove_repeats(table(spark, folder, "documents"))
+    return made.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     stats = kept(docs.select("doc_id", statistics(F.col("text")).alias("_stats")), "quality-statistics")
@@ -71,6 +83,7 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_substrings": op2_substrings,
     "op4_quality": op4_quality,
     "op5_winnowing": op5_winnowing,
     "op6_repetition": op6_repetition,
