@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspan.llm.common import kept, table
+from fleetspan.llm.jaccard import jaccard_components
 from fleetspan.llm.kneser_ney import held_out_scores
 from fleetspan.llm.mixing import mix_sources
 from fleetspan.llm.private import replace_private
@@ -31,6 +32,10 @@ def op2_substrings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents"))
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     stats = kept(docs.select("doc_id", statistics(F.col("text")).alias("_stats")), "quality-statistics")
@@ -84,6 +89,7 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_substrings": op2_substrings,
+    "op3_jaccard": op3_jaccard,
     "op4_quality": op4_quality,
     "op5_winnowing": op5_winnowing,
     "op6_repetition": op6_repetition,
