@@ -473,7 +473,11 @@ def _open_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataF
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """Per row ``doc_id, n_shingles, component_id``, and ``class_size``, the rows with an equal set."""
+    """Per row ``doc_id, n_shingles, component_id``; and ``class_size``, the rows with an equal set.
+
+    ``ticket`` is a hash of the whole row, ``node`` that of its set (null for an empty one) and ``root`` the
+    smallest node of the component.
+    """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
     rows = docs.select("doc_id", F.xxhash64(*docs.columns).alias("ticket"), "text")
@@ -505,5 +509,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return (
         named.join(least, F.col("root") == F.col("_root"), "left")
         .join(sizes, F.col("node") == F.col("_node"), "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "ticket", "root")
     )
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of every component: the smallest id, ids before null; empty sets all stay."""
+    found = kept(jaccard_components(docs).where("root is not null").select("doc_id", "ticket", "root"), "jaccard-components")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "ticket")
+    first = found.groupBy("root").agg(F.min(order).alias("_first")).select(F.col("_first.ticket").alias("ticket"))
+    gone = kept(found.select("ticket").distinct().join(first, "ticket", "left_anti").select(F.col("ticket").alias("_ticket")), "jaccard-gone")
+    # Rows that are equal in all columns share a ticket; one of them stays.
+    equal = kept(found.groupBy("ticket").count().where("count > 1").select(F.col("ticket").alias("_ticket")), "jaccard-equal")
+    own = docs.withColumn("_own", F.xxhash64(*docs.columns))
+    stay = own.join(small(gone, 16), F.col("_own") == F.col("_ticket"), "left_anti")
+    if equal.isEmpty():
+        return stay.drop("_own")
+    several = small(equal, 16)
+    single = stay.join(several, F.col("_own") == F.col("_ticket"), "left_anti")
+    one = stay.join(several, F.col("_own") == F.col("_ticket"), "left_semi").dropDuplicates(["_own"])
+    return single.unionByName(one).drop("_own")

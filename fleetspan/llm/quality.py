@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
+from fleetspan.llm.common import kept, small
+
 THRESHOLD = 0.3
 FEATURES = 256
 LENGTH_SCALE = 6.0
@@ -218,3 +220,12 @@ def quality_scores(stats: DataFrame, labels: DataFrame) -> DataFrame:
 def score_column(model: QualityModel, text: Column) -> Column:
     """The score of a text, computed from the text itself."""
     return _scorer(model, True)(text)
+
+
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects; it is fitted on the labels of these rows."""
+    ids = kept(labels.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct(), "quality-ids")
+    marked = docs.join(small(ids, 16), F.col("doc_id") == F.col("_id"), "left_semi")
+    stats = kept(marked.select("doc_id", statistics(F.col("text")).alias("_stats")), "quality-statistics")
+    model = fit_quality(stats, labels)
+    return docs.where(score_column(model, F.col("text")) >= THRESHOLD)
