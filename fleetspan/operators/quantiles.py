@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspan.operators.series import cut, long_series, split_long
-from fleetspan.shared import match, settle
+from fleetspan.operators.series import ascending, long_series, split_long
+from fleetspan.shared import accumulated, match, settle
 
 # Only one number per row is held, so a task takes more of them than of whole readings.
 ROWS_PER_TASK = 1_000_000
@@ -19,35 +19,23 @@ def _known(df: DataFrame, column: str) -> Column:
     return known
 
 
-def _values_at_ranks(
-    df: DataFrame, column: str, keys, ranks: Callable[[Column], Column], rows_per_piece: int
-) -> DataFrame:
+def _values_at_ranks(df: DataFrame, column: str, keys, ranks: Callable[[Column], Column]) -> DataFrame:
     """Per key the map ``_found``: 0-based rank -> value, for the ranks asked for.
 
-    The series are cut by value; only the pieces that hold an asked rank are sorted.
+    Equal values are counted before the shuffle; the distinct ones are ranked together by ranges of their
+    own type, and each takes as many ranks as it was counted.
     """
-    rows, path, pieces = cut(df, keys, [column], rows_per_piece, deal_ties=False)
+    counted = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_copies"))
+    placed = accumulated(counted, [*ascending(keys), F.col(column).asc_nulls_last()], "_copies")
+    totals = settle(placed.groupBy(*keys).agg(F.min("_index").alias("_start"), F.sum("_copies").alias("_total")))
+    rows = match(placed, totals.side, keys, "inner").withColumn("_first", F.col("_index") - F.col("_start"))
     hits = F.filter(
         F.array_distinct(ranks(F.col("_total"))),
-        lambda rank: (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_n")),
-    )
-    asked = settle(pieces.withColumn("_ranks", hits).where(F.size("_ranks") > 0))
-    same = F.col("_low_0") == F.col("_high_0")
-    constant = asked.df.where(same).select(
-        *keys, "_total", F.explode("_ranks").alias("_rank"), F.col("_low_0").cast(df.schema[column].dataType).alias("_value")
+        lambda rank: (rank >= F.col("_first")) & (rank < F.col("_first") + F.col("_copies")),
     )
-    varied = asked.df.where(~same).select(*keys, *path, "_before", "_total", "_ranks")
-    local = F.row_number().over(Window.partitionBy(*keys, *path).orderBy(column))
-    sorted_rows = match(rows, asked.hint(varied), [*keys, *path], "inner")
-    found = (
-        sorted_rows.withColumn("_rank", F.col("_before") + local - 1)
-        .where(F.array_contains("_ranks", F.col("_rank")))
-        .select(*keys, "_total", "_rank", F.col(column).alias("_value"))
-    )
-    return (
-        constant.unionByName(found)
-        .groupBy(*keys, "_total")
-        .agg(F.map_from_entries(F.collect_set(F.struct("_rank", "_value"))).alias("_found"))
+    found = rows.select(*keys, "_total", F.explode(hits).alias("_rank"), F.col(column).alias("_value"))
+    return found.groupBy(*keys, "_total").agg(
+        F.map_from_entries(F.collect_set(F.struct("_rank", "_value"))).alias("_found")
     )
 
 
@@ -78,7 +66,7 @@ def percentiles(
             *[edge(place).cast("long") for place in positions(total) for edge in (F.floor, F.ceil)]
         )
 
-    found = _values_at_ranks(hot, column, keys, ranks, long.rows_per_piece)
+    found = _values_at_ranks(hot, column, keys, ranks)
     values = []
     for place in positions(F.col("_total")):
         low = F.element_at("_found", F.floor(place).cast("long"))
@@ -94,7 +82,5 @@ def value_at(df: DataFrame, column: str, rank: int, rows_per_task: int = ROWS_PE
     long = long_series(rows, [], rows_per_task)
     if long is None:
         return rows.orderBy(column).limit(rank).agg(F.max(column)).first()[0]
-    found = _values_at_ranks(
-        rows, column, [], lambda total: F.array(F.lit(rank - 1).cast("long")), long.rows_per_piece
-    )
+    found = _values_at_ranks(rows, column, [], lambda total: F.array(F.lit(rank - 1).cast("long")))
     return found.select(F.element_at("_found", F.lit(rank - 1).cast("long"))).first()[0]

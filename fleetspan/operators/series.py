@@ -2,26 +2,21 @@
 
 A plain window puts all rows of one key into one task.  Here the rows per key are counted
 first (map-side combined, keys only).  Keys within the bound take the plain window: one
-shuffle.  Longer series are cut along their order into pieces of bounded size, numbered per
-piece, and put together again with the row counts of the pieces before them.
+shuffle.  Rows of longer series are numbered by ranges of their keys and order, whatever the
+types, and framed in chunks of bounded size.
 """
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetspan.shared import BROADCAST_ROWS, SmallTable, match, settle
+from fleetspan.shared import SmallTable, accumulated, match, numbered, settle
 
 # A series with more rows than this is cut into pieces.
 ROWS_PER_TASK = 250_000
-# At most this many series are cut: beyond it the piece size grows with the table instead.
-MAX_LONG_SERIES = BROADCAST_ROWS // 2
-# Pieces are cut again where readings lie dense; each level narrows by the piece count.
-CUT_LEVELS = 4
 
 WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -41,11 +36,10 @@ def ascending(order) -> list[Column]:
 def long_series(df: DataFrame, keys, rows_per_task: int = ROWS_PER_TASK) -> LongSeries | None:
     """Keys with more than ``rows_per_task`` rows, or None when there is no such key."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    longest, total = counts.agg(F.max("_n"), F.sum("_n")).first()
-    rows_per_piece = max(rows_per_task, (total or 0) // MAX_LONG_SERIES)
-    if longest is None or longest <= rows_per_piece:
+    longest = counts.agg(F.max("_n")).first()[0]
+    if longest is None or longest <= rows_per_task:
         return None
-    return LongSeries(settle(counts.where(F.col("_n") > rows_per_piece)), rows_per_piece)
+    return LongSeries(settle(counts.where(F.col("_n") > rows_per_task)), rows_per_task)
 
 
 def split_long(df: DataFrame, keys, long: LongSeries) -> tuple[DataFrame, DataFrame]:
@@ -55,147 +49,34 @@ def split_long(df: DataFrame, keys, long: LongSeries) -> tuple[DataFrame, DataFr
     return match(df, side, keys, "left_anti"), match(df, side, keys, "left_semi")
 
 
-def _as_number(df: DataFrame, name: str) -> Column | None:
-    """An order column as a number that keeps its order, or None when it has no such form."""
-    kind = df.schema[name].dataType
-    column = F.col(name)
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(column), column.cast("double"))
-    if isinstance(kind, T.NumericType):
-        return column.cast("double")
-    if isinstance(kind, T.TimestampType):
-        return column.cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        # Counted on the wall clock: going through the session's zone would fold hours.
-        day = F.unix_date(column.cast("date")).cast("double") * 86400
-        return day + F.hour(column) * 3600 + F.minute(column) * 60 + F.extract(F.lit("SECOND"), column).cast("double")
-    return None
-
-
-def cut(
-    df: DataFrame, keys, order, rows_per_piece: int, deal_ties: bool = True
-) -> tuple[DataFrame, list[str], DataFrame]:
-    """Cut long series along ``order``.
-
-    Returns the rows with their piece (columns ``_cut_0``, ``_cut_1``, ...), the names of these
-    columns, and one row per piece with ``_n`` (rows), ``_before`` (rows of the same key in
-    earlier pieces), ``_total`` (rows of the key) and the extremes ``_low_0``/``_high_0`` of the
-    first order column.
-
-    Each level splits the pieces that are too large into equal ranges of the first order column
-    that still varies inside them.  Rows equal in every order column may come in any order, so
-    with ``deal_ties`` large groups of them are dealt by the hash of the whole row, and what is
-    left of copies is counted, spread and written out again.
-    """
-    numbers = list(takewhile(lambda number: number is not None, (_as_number(df, name) for name in order)))
-    if not numbers:
-        raise ValueError(f"a series longer than {rows_per_piece} rows needs a number or a time as first order column")
-    rows = df.withColumns({f"_number_{i}": number for i, number in enumerate(numbers)})
-    path: list[str] = []
-    for level in range(CUT_LEVELS + 1):
-        kept = _measure(rows, keys, path, len(numbers))
-        too_large = kept.df.where((F.col("_n") > 2 * rows_per_piece) & F.col("_axis").isNotNull())
-        if level == CUT_LEVELS or too_large.isEmpty():
-            break
-        rows = _narrow(rows, kept.hint(_ranges(too_large, keys, path, len(numbers), rows_per_piece)), keys, path, len(numbers))
-        path.append(f"_cut_{level}")
-    tied = kept.df.where((F.col("_n") > 2 * rows_per_piece) & F.col("_axis").isNull())
-    if deal_ties and len(numbers) == len(order) and not tied.isEmpty():
-        parts = tied.select(*keys, *path, F.ceil(F.col("_n") / rows_per_piece).alias("_parts"))
-        content = [field.name for field in df.schema if not isinstance(field.dataType, (T.MapType, T.VariantType))]
-        salt = F.coalesce(F.pmod(F.xxhash64(*content), F.col("_parts")), F.lit(0))
-        rows = match(rows, kept.hint(parts), [*keys, *path], "left").withColumn("_cut_tie", salt).drop("_parts")
-        path.append("_cut_tie")
-        kept = _measure(rows, keys, path, len(numbers))
-        copied = kept.df.where((F.col("_n") > 2 * rows_per_piece) & F.col("_axis").isNull())
-        if len(content) == len(df.columns) and not copied.isEmpty():
-            ids = kept.hint(copied.select(*keys, *path))
-            rest = match(rows, ids, [*keys, *path], "left_anti").withColumn("_cut_copy", F.lit(0).cast("long"))
-            rows = rest.unionByName(_deal_copies(match(rows, ids, [*keys, *path], "left_semi"), rows_per_piece))
-            path.append("_cut_copy")
-            kept = _measure(rows, keys, path, len(numbers))
-    along = Window.partitionBy(*keys).orderBy(*path) if path else Window.partitionBy(*keys).orderBy(F.lit(0))
-    pieces = kept.df.withColumns(
-        {
-            "_before": F.coalesce(
-                F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-            "_total": F.sum("_n").over(along.rowsBetween(*WHOLE)),
-        }
-    )
-    return rows.drop(*[f"_number_{i}" for i in range(len(numbers))]), path, pieces
-
-
-def _deal_copies(rows: DataFrame, rows_per_piece: int) -> DataFrame:
-    """The same rows, with copies counted before the shuffle and spread evenly over ``_cut_copy``."""
-    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    last = F.floor((F.col("_copies") - 1) / rows_per_piece)
-    blocks = counted.withColumn("_cut_copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    size = F.least(F.lit(rows_per_piece).cast("long"), F.col("_copies") - F.col("_cut_copy") * rows_per_piece)
-    spread = blocks.withColumn("_size", size).repartition(*rows.columns, "_cut_copy")
-    return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_size")))).drop("_copies", "_size", "_copy")
-
-
-def _measure(rows: DataFrame, keys, path, axes: int) -> SmallTable:
-    """One row per piece: size, extremes of the order columns, and the first that varies (``_axis``)."""
-    pieces = rows.groupBy(*keys, *path).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.min(f"_number_{i}").alias(f"_low_{i}") for i in range(axes)],
-        *[F.max(f"_number_{i}").alias(f"_high_{i}") for i in range(axes)],
-        *[F.count(f"_number_{i}").alias(f"_known_{i}") for i in range(axes)],
-    )
-    varies = [
-        (F.col(f"_low_{i}") < F.col(f"_high_{i}"))
-        | ((F.col(f"_known_{i}") > 0) & (F.col(f"_known_{i}") < F.col("_n")))
-        for i in range(axes)
-    ]
-    return settle(pieces.withColumn("_axis", F.coalesce(*[F.when(test, F.lit(i)) for i, test in enumerate(varies)])))
-
-
-def _of_axis(name: str, axes: int) -> Column:
-    return F.coalesce(*[F.when(F.col("_axis") == i, F.col(f"{name}_{i}")) for i in range(axes)])
-
-
-def _ranges(pieces: DataFrame, keys, path, axes: int, rows_per_piece: int) -> DataFrame:
-    return pieces.select(
-        *keys,
-        *path,
-        F.ceil(F.col("_n") / F.lit(rows_per_piece)).alias("_parts"),
-        "_axis",
-        _of_axis("_low", axes).alias("_low"),
-        _of_axis("_high", axes).alias("_high"),
-    )
-
-
-def _narrow(rows: DataFrame, ranges: DataFrame, keys, path, axes: int) -> DataFrame:
-    """Add the next cut column: the range a row lies in, 0 where the piece is not split."""
-    value = _of_axis("_number", axes)
-    share = F.coalesce(
-        F.try_divide(value - F.col("_low"), F.col("_high") - F.col("_low")),
-        F.when(value.isNotNull(), F.lit(0.0)),
-    )
-    inside = F.when(
-        F.col("_parts").isNotNull() & share.isNotNull() & ~F.isnan(share),
-        F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1),
-    )
-    # Missing values sort last, so they form the piece after the last range.
-    place = F.coalesce(inside, F.col("_parts"), F.lit(0)).cast("long")
-    joined = match(rows, ranges, [*keys, *path], "left")
-    return joined.withColumn(f"_cut_{len(path)}", place).drop("_parts", "_axis", "_low", "_high")
+def content(df: DataFrame) -> list[str]:
+    """The columns that can be grouped and hashed."""
+    return [field.name for field in df.schema if not isinstance(field.dataType, (T.MapType, T.VariantType))]
 
 
 def number_long(df: DataFrame, keys, order, rows_per_piece: int) -> DataFrame:
-    """``df`` with ``_rn`` (1-based position in the series) and ``_n`` (length), by pieces."""
-    rows, path, pieces = cut(df, keys, order, rows_per_piece)
-    offsets = settle(pieces.select(*keys, *path, "_before", "_total"))
-    local = F.row_number().over(Window.partitionBy(*keys, *path).orderBy(*ascending(order)))
-    return (
-        match(rows.withColumn("_local", local), offsets.side, [*keys, *path], "inner")
-        .withColumns({"_rn": F.col("_local") + F.col("_before"), "_n": F.col("_total")})
-        .drop("_local", "_before", "_total", *path)
-    )
+    """``df`` with ``_rn`` (1-based position in the series) and ``_n`` (length).
+
+    All rows are numbered together in the order of keys, order columns and content, by ranges of the columns'
+    own types; a series' positions count from its smallest number.  Where a reading has very many copies they
+    are counted first, numbered as one weighted row, and written out again in blocks.
+    """
+    plain = content(df)
+    along = [*ascending(keys), *ascending(order), F.xxhash64(*plain).asc()]
+    copied = df.groupBy(F.xxhash64(*plain)).count().agg(F.max("count")).first()[0] or 0
+    if copied > rows_per_piece and len(plain) == len(df.columns):
+        counted = accumulated(df.groupBy(*plain).agg(F.count(F.lit(1)).alias("_copies")), along, "_copies")
+        last = F.floor((F.col("_copies") - 1) / rows_per_piece)
+        blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        first = F.col("_block") * rows_per_piece
+        stop = F.least(F.col("_copies"), first + rows_per_piece)
+        spread = blocks.repartition("_index", "_block").withColumn("_copy", F.explode(F.sequence(first, stop - 1)))
+        rows = spread.withColumn("_index", F.col("_index") + F.col("_copy")).drop("_copies", "_block", "_copy")
+    else:
+        rows = numbered(df, along)
+    starts = settle(rows.groupBy(*keys).agg(F.min("_index").alias("_start"), F.count(F.lit(1)).alias("_n")))
+    placed = match(rows, starts.side, keys, "inner")
+    return placed.withColumn("_rn", F.col("_index") - F.col("_start") + 1).drop("_index", "_start")
 
 
 def number_rows(

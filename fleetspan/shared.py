@@ -4,11 +4,12 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A table with more rows than this is never broadcast.
-BROADCAST_ROWS = 2_000_000
+# A table above this size, by its rows and the widths of its columns, is never broadcast.
+BROADCAST_BYTES = 128 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,6 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def width(kind: T.DataType) -> int:
+    """Bytes that a value of a type takes in a broadcast table, strings and arrays by a usual length."""
+    if isinstance(kind, T.StructType):
+        return 16 + sum(8 + width(field.dataType) for field in kind)
+    if isinstance(kind, T.ArrayType):
+        return 16 + 16 * width(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return 32 + 16 * (width(kind.keyType) + width(kind.valueType))
+    return 48 if isinstance(kind, (T.StringType, T.BinaryType, T.VariantType)) else 8
+
+
 @dataclass(frozen=True)
 class SmallTable:
     """A checkpointed table with its row count."""
@@ -34,6 +46,11 @@ class SmallTable:
     df: DataFrame
     rows: int
 
+    @property
+    def fits(self) -> bool:
+        """Whether the table may be broadcast."""
+        return self.rows * width(self.df.schema) <= BROADCAST_BYTES
+
     @property
     def side(self) -> DataFrame:
         """The table as a join side: broadcast while small, shuffled beyond the bound."""
@@ -41,7 +58,7 @@ class SmallTable:
 
     def hint(self, part: DataFrame) -> DataFrame:
         """The same choice for rows selected from the table."""
-        return F.broadcast(part) if self.rows <= BROADCAST_ROWS else part
+        return F.broadcast(part) if self.fits else part
 
 
 def settle(df: DataFrame) -> SmallTable:
@@ -84,16 +101,26 @@ def attach(df: DataFrame, table: DataFrame, keys, rows_per_key: str, crowded: in
     """
     kept = settle(table)
     plain = kept.df.drop(rows_per_key)
-    if kept.rows <= BROADCAST_ROWS:
+    if kept.fits:
         return match(df, F.broadcast(plain), keys, "left")
     hot = settle(kept.df.where(F.col(rows_per_key) > crowded))
-    if hot.rows == 0 or hot.rows > BROADCAST_ROWS:
+    if hot.rows == 0 or not hot.fits:
         return match(df, plain, keys, "left")
     ids = F.broadcast(hot.df.select(*keys))
     ordinary = match(match(df, ids, keys, "left_anti"), plain, keys, "left")
     return ordinary.unionByName(match(df, F.broadcast(hot.df.drop(rows_per_key)), keys, "inner"))
 
 
+def _in_ranges(df: DataFrame, order) -> tuple[DataFrame, Column, Column]:
+    """``df`` sorted by ranges and kept once, with the number of the range and the place in it."""
+    spark = df.sparkSession
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    path = f"{shared_folder(spark).rstrip('/')}/numbered-{uuid.uuid4().hex}"
+    ranges.withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
+    stored = spark.read.parquet(path)
+    return stored, F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+
+
 def numbered(df: DataFrame, order) -> DataFrame:
     """Rows with ``_index``, their place in ``order`` over the whole table, from 0.
 
@@ -101,18 +128,24 @@ def numbered(df: DataFrame, order) -> DataFrame:
     in the shared folder, counted, and shifted by the counts before them.  Only one count per range meets
     in one task.
     """
-    spark = df.sparkSession
-    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    path = f"{shared_folder(spark).rstrip('/')}/numbered-{uuid.uuid4().hex}"
-    ranges.withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
-    stored = spark.read.parquet(path)
-    piece = F.shiftright("_place", 33)
-    counts = stored.groupBy(piece.alias("_piece")).agg(F.count("*").alias("_rows"))
+    return _shifted(*_in_ranges(df, order), F.lit(1))
+
+
+def accumulated(df: DataFrame, order, weight: str) -> DataFrame:
+    """Rows with ``_index``, the sum of ``weight`` over all rows before them in ``order``."""
+    stored, piece, place = _in_ranges(df, order)
+    inside = Window.partitionBy("_piece").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    summed = stored.withColumn("_piece", piece).withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    return _shifted(summed.drop("_piece"), piece, F.col("_inside"), F.col(weight)).drop("_inside")
+
+
+def _shifted(stored: DataFrame, piece: Column, place: Column, weight: Column) -> DataFrame:
+    counts = stored.groupBy(piece.alias("_piece")).agg(F.sum(weight).alias("_rows"))
     before = F.sum("_rows").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("_piece", F.coalesce(before, F.lit(0)).alias("_start"))
-    place = F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     return (
-        stored.join(F.broadcast(starts), piece == F.col("_piece"))
-        .withColumn("_index", place)
-        .drop("_piece", "_place", "_start")
+        stored.withColumn("_at", place)
+        .join(F.broadcast(starts), piece == F.col("_piece"))
+        .withColumn("_index", (F.col("_start") + F.col("_at")).cast("long"))
+        .drop("_piece", "_place", "_start", "_at")
     )

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fleetspan.operators import features, labels, quantiles, splitting, windows
-from fleetspan.operators.series import cut, long_series, number_rows
+from fleetspan.operators.series import long_series, number_rows
 from tests.helpers import brute_windows, fleet, ordered, with_rul
 
 KEYS = ["dataset_id", "unit"]
@@ -52,7 +52,7 @@ def test_missing_keys_form_one_engine(spark):
 @pytest.mark.parametrize("limit", [10, 50])
 def test_labels_do_not_depend_on_the_broadcast_bound(spark, skewed, monkeypatch, limit):
     frame, rows = skewed
-    monkeypatch.setattr("fleetspan.shared.BROADCAST_ROWS", 3)
+    monkeypatch.setattr("fleetspan.shared.BROADCAST_BYTES", 200)
     monkeypatch.setattr("fleetspan.operators.labels.CROWDED", 250)
     made = ordered(labels.remaining_useful_life(rows.drop("RUL")), *KEYS, "cycle")
     wanted = frame.sort_values([*KEYS, "cycle"]).reset_index(drop=True)
@@ -80,19 +80,38 @@ def test_sliding_windows_against_brute_force(skewed, rows_per_task, horizon):
     assert len(found) == sum(max(0, n - 30 - horizon + 1) for n in SKEWED.values())
 
 
-def test_pieces_are_bounded(spark):
-    # Half of the readings lie in a tiny stretch of the cycles.
-    cycles = list(range(1, 1001)) + [1_000_000 + 1000 * i for i in range(1000)]
-    rows = spark.createDataFrame([("FD001", 1, c) for c in cycles], "dataset_id string, unit int, cycle long")
-    _, path, pieces = cut(rows, KEYS, ["cycle"], 50)
-    sizes = [row["_n"] for row in pieces.collect()]
-    assert sum(sizes) == 2000 and max(sizes) <= 100
+# Orders that doubles can't tell apart, that have no number, or that lie dense, tie or are all equal.
+ORDERS = {
+    "decimal": ("decimal(38,0)", [10**30 + i for i in range(100)]),
+    "nanoseconds": ("bigint", [1_700_000_000_000_000_000 + i for i in range(300)]),
+    "text": ("string", [f"{i:05d}" for i in range(300)]),
+    "wall clock": ("timestamp_ntz", [pd.Timestamp("2024-03-31") + pd.Timedelta(microseconds=i) for i in range(200)]),
+    "log-spread": ("double", sorted(float(x) for x in np.exp(np.linspace(-300, 300, 400)))),
+    "all equal": ("double", [1.5] * 300),
+    "half tied": ("double", [2.0] * 200 + [float(i) for i in range(3, 203)]),
+}
+
+
+@pytest.mark.parametrize("name", ORDERS)
+def test_numbers_keep_the_order_of_any_type(spark, name):
+    kind, values = ORDERS[name]
+    frame = spark.createDataFrame([(7, i, str(v)) for i, v in enumerate(values)], "unit int, place int, text string")
+    rows = frame.withColumn("at", F.col("text").cast(kind)).repartition(5)
+    plain = number_rows(rows, ["unit"], ["at", "place"])
+    pieces = number_rows(rows, ["unit"], ["at", "place"], length="of", rows_per_task=20)
+    assert sorted((r["place"], r["_rn"]) for r in pieces.collect()) == sorted((r["place"], r["_rn"]) for r in plain.collect())
+    assert pieces.where("_rn <> place + 1").count() == 0
+    assert pieces.where(f"of <> {len(values)}").count() == 0
+
+
+def test_perfect_predictions_have_percentiles(spark):
+    rows = spark.range(1000).select(F.lit(0.0).alias("error"))
+    found = quantiles.percentiles(rows, "error", [0.5, 0.95], rows_per_task=100).first()
+    assert found["percentiles"] == [0.0, 0.0]
 
 
 def test_ties_are_cut_by_the_next_order_column(spark):
     rows = spark.createDataFrame([("FD001", 1, 5, e) for e in range(500)] + [("FD001", 1, 6, 7)], "dataset_id string, unit int, cycle int, event int")
-    _, _, pieces = cut(rows, KEYS, ["cycle", "event"], 50)
-    assert max(row["_n"] for row in pieces.collect()) <= 100
     made = number_rows(rows, KEYS, ["cycle", "event"], rows_per_task=50)
     assert made.where("cycle = 5 and _rn <> event + 1").count() == 0
     assert made.where("cycle = 6").first()["_rn"] == 501
@@ -100,8 +119,6 @@ def test_ties_are_cut_by_the_next_order_column(spark):
 
 def test_readings_of_one_moment_are_dealt(spark):
     rows = spark.createDataFrame([("FD001", 1, 5, float(e)) for e in range(1000)] + [("FD001", 1, c, 0.0) for c in (1, 9)], "dataset_id string, unit int, cycle int, sensor_1 double")
-    _, path, pieces = cut(rows, KEYS, ["cycle"], 50)
-    assert path[-1] == "_cut_tie" and max(row["_n"] for row in pieces.collect()) <= 100
     made = number_rows(rows, KEYS, ["cycle"], rows_per_task=50)
     assert sorted(row["_rn"] for row in made.collect()) == list(range(1, 1003))
     assert {row["cycle"]: row["_rn"] for row in made.where("cycle <> 5").collect()} == {1: 1, 9: 1002}
@@ -110,11 +127,9 @@ def test_readings_of_one_moment_are_dealt(spark):
 def test_copies_are_counted_and_spread(spark):
     lines = [("FD001", 1, 5, 2.0)] * 1000 + [("FD001", 1, c, float(c)) for c in range(1, 5)] + [("FD001", 1, c, float(c)) for c in range(6, 300)]
     rows = spark.createDataFrame(lines, "dataset_id string, unit int, cycle int, sensor_1 double")
-    cut_rows, path, pieces = cut(rows, KEYS, ["cycle"], 50)
-    assert path[-1] == "_cut_copy" and max(row["_n"] for row in pieces.collect()) <= 100
-    assert sorted(map(tuple, cut_rows.select(*rows.columns).collect())) == sorted(lines)
     made = number_rows(rows, KEYS, ["cycle"], rows_per_task=50)
     assert sorted(row["_rn"] for row in made.collect()) == list(range(1, 1299))
+    assert sorted(map(tuple, made.select(*rows.columns).collect())) == sorted(lines)
     assert made.where("cycle > 5 and _rn <> cycle + 999").count() == 0
     labelled = rows.withColumn("RUL", F.lit(0.0))
     plain = windows.sliding_windows(labelled, 30, 1, ["sensor_1"])
