@@ -18,6 +18,26 @@ def _predicted() -> Column:
     return F.col("y_pred")
 
 
+def judged(df: DataFrame) -> DataFrame:
+    """``df`` with ``y_true`` and ``y_pred`` both missing where either is: one mask for every measure.
+
+    ``_unpredicted`` marks rows with a true value whose prediction is missing.
+    """
+
+    def present(name):
+        known = F.col(name).isNotNull()
+        return known & ~F.isnan(name) if df.schema[name].dataType.typeName() in ("double", "float") else known
+
+    both = present("y_true") & present("y_pred")
+    return df.withColumns(
+        {
+            "y_true": F.when(both, F.col("y_true")),
+            "y_pred": F.when(both, F.col("y_pred")),
+            "_unpredicted": present("y_true") & ~present("y_pred"),
+        }
+    )
+
+
 def _miss() -> Column:
     return F.abs(_true() - _predicted())
 
@@ -58,8 +78,12 @@ def _ranges() -> dict[str, Column]:
     }
 
 
+def _missing() -> dict[str, Column]:
+    return {"missing_predictions": F.count_if("_unpredicted")}
+
+
 def _collect(df: DataFrame, by, columns: dict[str, Column]) -> DataFrame:
-    return df.groupBy(*by).agg(*[column.alias(name) for name, column in columns.items()])
+    return judged(df).groupBy(*by).agg(*[column.alias(name) for name, column in columns.items()])
 
 
 def _warnings(df: DataFrame) -> DataFrame:
@@ -81,7 +105,7 @@ def error_distribution(df: DataFrame, by=()) -> DataFrame:
 
 def error_centre(df: DataFrame, by=(), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Mean, median and deviation of predicted minus true."""
-    errors = df.select(*by, (_predicted() - _true()).alias("_error"))
+    errors = judged(df).select(*by, (_predicted() - _true()).alias("_error"))
     centre = errors.groupBy(*by).agg(
         F.avg("_error").alias("mean_error"), F.stddev_pop("_error").alias("std_error")
     )
@@ -102,7 +126,7 @@ def error_percentiles(
 
     ``exact=False`` reads one sketch per group instead of locating the exact values.
     """
-    errors = df.select(*by, _miss().alias("_error"))
+    errors = judged(df).select(*by, _miss().alias("_error"))
     if exact:
         found = percentiles(errors, "_error", shares, by, rows_per_task=rows_per_task)
     else:
@@ -125,7 +149,7 @@ def bias_and_range(df: DataFrame, by=()) -> DataFrame:
 
 def prediction_analysis(df: DataFrame, by=(), exact=True, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """All prediction measures in one row (per group), with grade and warnings."""
-    measures = _collect(df, by, {**_regression(F.count(_true())), **_errors(), **_ranges()})
+    measures = _collect(df, by, {**_regression(F.count(_true())), **_errors(), **_ranges(), **_missing()})
     graded = _warnings(measures).withColumn("prediction_quality", prediction_grade(F.col("r2_score")))
     return _beside(graded, error_percentiles(df, by, exact=exact, rows_per_task=rows_per_task), by)
 
@@ -144,7 +168,9 @@ def critical_failure_metrics(
         df,
         by,
         {
-            "total_samples": F.count(F.lit(1)),
+            # Rows that can be judged; the four cells sum to them.
+            "total_samples": F.count(_true()),
+            **_missing(),
             "actual_critical": F.count_if(actual),
             "predicted_critical": F.count_if(flagged),
             "true_positives": F.count_if(actual & flagged),
@@ -188,7 +214,10 @@ def sorted_predictions(df: DataFrame) -> DataFrame:
 def recommendations(
     predictions: DataFrame | None = None, training: DataFrame | None = None, importance: DataFrame | None = None
 ) -> DataFrame:
-    """Advice ``area, advice`` drawn from rows of the three analyses."""
+    """Advice ``area, advice`` drawn from rows of the three analyses; ``run_id`` stays where one has it.
+
+    The bounds are fixed values of the analysis.
+    """
     found = []
     if training is not None:
         found.append(
@@ -223,8 +252,11 @@ def recommendations(
             )
         )
     result = None
+    named = any("run_id" in df.columns for df, _ in found)
     for df, rules in found:
-        keep = [name for name in df.columns if name in ("run_id",)] if len(found) == 1 else []
+        keep = [F.col("run_id").cast("string").alias("run_id") if "run_id" in df.columns else F.lit(None).cast("string").alias("run_id")]
+        if len(found) == 1 or not named:
+            keep = ["run_id"] if "run_id" in df.columns else []
         cells = F.array_compact(
             F.array(
                 *[

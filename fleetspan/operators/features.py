@@ -9,6 +9,7 @@ from fleetspan.operators.series import (
     ROWS_PER_TASK,
     ascending,
     long_series,
+    moment,
     number_long,
     over_series,
     split_long,
@@ -74,10 +75,10 @@ def diff_features(df: DataFrame, features=None, **options) -> DataFrame:
 def _interpolate(df: DataFrame, features, keys, time, ties, rows_per_task: int) -> DataFrame:
     order = [time, *ties]
     df = df.withColumns({name: without_nan(df, name) for name in features})
-    moment = F.col(time).cast("double")
+    at = moment(df, time)
 
     def known(name):
-        return F.when(F.col(name).isNotNull(), F.struct(moment.alias("at"), F.col(name).alias("value")))
+        return F.when(F.col(name).isNotNull(), F.struct(at.alias("at"), F.col(name).alias("value")))
 
     def fill(rows: DataFrame, group, carried: bool) -> DataFrame:
         # The backward look runs over the reversed order: a frame that only ever grows is linear.
@@ -95,7 +96,7 @@ def _interpolate(df: DataFrame, features, keys, time, ties, rows_per_task: int)
         values = {}
         for i, name in enumerate(features):
             start, end = F.col(f"_from_{i}"), F.col(f"_to_{i}")
-            way = F.try_divide(moment - start["at"], end["at"] - start["at"])
+            way = F.try_divide(at - start["at"], end["at"] - start["at"])
             between = start["value"] + (end["value"] - start["value"]) * way
             values[name] = F.coalesce(F.col(name), between, start["value"])
         return rows.withColumns(values).select(*df.columns)

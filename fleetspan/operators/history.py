@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fleetspan.functions.formulas import training_grade
 from fleetspan.operators.series import ROWS_PER_TASK, number_rows
 
+# Fixed value: the message of a run that can't be analysed.
 TOO_SHORT = "Insufficient training data for analysis"
 
 
@@ -30,7 +31,7 @@ def training_history(df: DataFrame, run="run_id", epoch="epoch", rows_per_task:
         F.min_by("train_loss", "_at").alias("_first_loss"),
         F.max_by("train_loss", "_at").alias("final_train_loss"),
         F.max_by("val_loss", "_at").alias("final_val_loss"),
-        F.min(F.struct("val_loss", "_at")).alias("_best"),
+        F.min(F.when(F.col("val_loss").isNotNull(), F.struct("val_loss", "_at"))).alias("_best"),
         F.var_pop(F.when(last_ten, F.col("train_loss"))).alias("_train_variance"),
         F.var_pop(F.when(last_ten, F.col("val_loss"))).alias("_val_variance"),
         _slope("train_loss", recent, place).alias("_train_slope"),

@@ -84,7 +84,8 @@ def score_windows(
     checked = df.withColumn("error", F.coalesce(*earlier, shape))
     flat = F.when(F.col("error").isNull(), F.flatten("x"))
     return (
-        checked.withColumn("_score", score(flat))
+        # Not to be evaluated again where a later filter asks for the score.
+        checked.withColumn("_score", score.asNondeterministic()(flat))
         .withColumns({output: F.col("_score.rul"), "error": F.coalesce("error", "_score.error")})
         .drop("_score")
     )
@@ -98,10 +99,10 @@ def fit_rul_regressor(
     ``features`` are columns of :func:`fleetspan.operators.windows.window_summaries`; a ``split``
     column, where there is one, keeps validation and test rows out of the fit.
     """
-    rows = summaries.where(F.col(target).isNotNull())
+    rows = summaries.where(F.col(target).isNotNull()).dropna(subset=list(features))
     if "split" in rows.columns:
         rows = rows.where(F.col("split") == "train")
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
+    assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
     shared = {"featuresCol": "_features", "labelCol": target, "predictionCol": "y_pred"}
     if model == "linear":
         regressor = LinearRegression(solver="normal", **shared)
@@ -113,6 +114,9 @@ def fit_rul_regressor(
 
 
 def predict_rul(summaries: DataFrame, model: PipelineModel, target: str = "y") -> DataFrame:
-    """``summaries`` with ``y_true`` and ``y_pred``."""
+    """``summaries`` with ``y_true`` and ``y_pred``, which is null where a feature is missing."""
     made = model.transform(summaries).drop("_features")
-    return made.withColumn("y_true", F.col(target))
+    known = F.lit(True)
+    for name in model.stages[0].getInputCols():
+        known = known & F.col(name).isNotNull() & ~F.isnan(name)
+    return made.withColumns({"y_true": F.col(target), "y_pred": F.when(known, F.col("y_pred"))})

@@ -49,6 +49,17 @@ def split_long(df: DataFrame, keys, long: LongSeries) -> tuple[DataFrame, DataFr
     return match(df, side, keys, "left_anti"), match(df, side, keys, "left_semi")
 
 
+def moment(df: DataFrame, name: str) -> Column:
+    """A time column as a number of seconds or cycles; times without zone count on the wall clock."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(name).cast("double") * 86400
+    if isinstance(kind, T.TimestampNTZType):
+        day = F.unix_date(F.col(name).cast("date")).cast("double") * 86400
+        return day + F.hour(name) * 3600 + F.minute(name) * 60 + F.extract(F.lit("SECOND"), name).cast("double")
+    return F.col(name).cast("double")
+
+
 def content(df: DataFrame) -> list[str]:
     """The columns that can be grouped and hashed."""
     return [field.name for field in df.schema if not isinstance(field.dataType, (T.MapType, T.VariantType))]

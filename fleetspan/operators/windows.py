@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetspan.operators.series import ROWS_PER_TASK, last_rows, number_rows, over_series
+from fleetspan.operators.series import ROWS_PER_TASK, last_rows, moment, number_rows, over_series
 from fleetspan.schema import HORIZON, KEYS, TARGET, TIME, WINDOW, remaining_columns
 
 # The row limit up to which Spark cuts ranked rows before the shuffle.
@@ -75,7 +75,7 @@ def window_summaries(
     features = list(features or remaining_columns(df, keys, time, target))
     targets = [target] if target else []
     rows = df.select(
-        *keys, time, *ties, *targets, F.col(time).cast("double").alias("_time"), *features
+        *keys, time, *ties, *targets, moment(df, time).alias("_time"), *features
     )
     made = sliding_windows(rows, window, horizon, ["_time", *features], keys, time, target, ties, rows_per_task)
     measured = made.withColumn("_measures", _measures(window, len(features))(F.flatten("x")))

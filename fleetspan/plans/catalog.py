@@ -216,6 +216,19 @@ def standard_fit(spark, folder):
     return rounded(scaling.fit_scaler(views.readings(spark, folder), method="standard"), "centre", "spread")
 
 
+STANDARD_SQL = ", ".join(
+    r(f"CASE WHEN stddev_pop({c}) OVER () = 0 THEN 0 ELSE ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () END", c)
+    for c in ["sensor_1", "sensor_2"]
+)
+
+
+@query(f"WITH {READINGS_SQL} SELECT dataset_id, unit, cycle, {STANDARD_SQL} FROM readings")
+def standard_apply(spark, folder):
+    rows = views.readings(spark, folder).select("dataset_id", "unit", "cycle", "sensor_1", "sensor_2")
+    scaler = scaling.fit_scaler(rows, ["sensor_1", "sensor_2"], method="standard")
+    return rounded(scaling.apply_scaler(rows, scaler), "sensor_1", "sensor_2")
+
+
 @query(
     f"WITH {READINGS_SQL} "
     + per_feature(f"{r('quantile_cont({c}, 0.5)', 'centre')}, {r('quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)', 'spread')}")
@@ -737,7 +750,7 @@ def bias_and_range(spark, folder):
 @query(
     f"""
 WITH {PREDICTIONS_SQL}, {MOMENTS_SQL}
-SELECT p.dataset_id, {REGRESSION_SQL}, {DISTRIBUTION_SQL}, {RANGES_SQL}, {TAIL_SQL}, {GRADE_SQL}
+SELECT p.dataset_id, {REGRESSION_SQL}, {DISTRIBUTION_SQL}, {RANGES_SQL}, {TAIL_SQL}, {GRADE_SQL}, CAST(0 AS BIGINT) AS missing_predictions
 FROM predictions AS p JOIN moments ON moments.dataset_id = p.dataset_id GROUP BY p.dataset_id
 """
 )
@@ -754,35 +767,74 @@ def within_horizon(spark, folder):
 
 
 CRITICAL_SQL = f"""
-WITH {PREDICTIONS_SQL}, flags AS (
-  SELECT dataset_id, y_true <= 25 AS a, y_pred <= 25 AS p, abs(y_true - y_pred) <= 25 AS near FROM predictions),
+WITH {PREDICTIONS_SQL}, {{gaps}} flags AS (
+  SELECT dataset_id, y_true <= 25 AS a, y_pred <= 25 AS p, abs(y_true - y_pred) <= 25 AS near, y_pred FROM {{source}}),
 counts AS (
-  SELECT {{by}} count(*) AS total_samples, count(*) FILTER (WHERE a) AS actual_critical, count(*) FILTER (WHERE p) AS predicted_critical,
+  SELECT {{by}} count(y_pred) AS total_samples, count(*) - count(y_pred) AS missing_predictions, count(*) FILTER (WHERE a AND p IS NOT NULL) AS actual_critical, count(*) FILTER (WHERE p) AS predicted_critical,
          count(*) FILTER (WHERE a AND p) AS true_positives, count(*) FILTER (WHERE NOT a AND p) AS false_positives,
          count(*) FILTER (WHERE a AND NOT p) AS false_negatives, count(*) FILTER (WHERE NOT a AND NOT p) AS true_negatives,
-         avg(CASE WHEN near THEN 1.0 ELSE 0.0 END) AS near
+         avg(CASE WHEN near THEN 1.0 WHEN NOT near THEN 0.0 END) AS near
   FROM flags {{group}}),
 scores AS (
   SELECT *, coalesce(true_positives / nullif(CAST(true_positives + false_positives AS DOUBLE), 0), 0) AS p,
          coalesce(true_positives / nullif(CAST(true_positives + false_negatives AS DOUBLE), 0), 0) AS q,
          coalesce(2 * true_positives / nullif(CAST(2 * true_positives + false_positives + false_negatives AS DOUBLE), 0), 0) AS f
   FROM counts)
-SELECT {{by}} total_samples, actual_critical, predicted_critical, true_positives, false_positives, false_negatives, true_negatives,
+SELECT {{by}} total_samples, missing_predictions, actual_critical, predicted_critical, true_positives, false_positives, false_negatives, true_negatives,
        {r("near", "horizon_accuracy")}, {r("p", "precision")}, {r("q", "recall")}, {r("f", "f1_score")} {{more}}
 FROM scores
 """
 CRITICAL = ["horizon_accuracy", "precision", "recall", "f1_score"]
 
 
-@query(CRITICAL_SQL.format(by="", group="", more=""))
+GAPS_SQL = """
+gaps AS (
+  SELECT l_returnflag AS dataset_id, l_quantity AS y_true,
+         CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity * (1 - l_discount) + l_tax * 100 END AS y_pred FROM lineitem),
+"""
+
+
+def _gappy_predictions(spark, folder):
+    """Predictions of which the scoring of every third window failed."""
+    lines = views.table(spark, folder, "lineitem")
+    predicted = F.col("l_quantity") * (1 - F.col("l_discount")) + F.col("l_tax") * 100
+    return lines.select(
+        F.col("l_returnflag").alias("dataset_id"),
+        F.col("l_quantity").alias("y_true"),
+        F.when(F.col("l_linenumber") % 3 != 0, predicted).alias("y_pred"),
+    )
+
+
+@query(CRITICAL_SQL.format(by="", group="", more="", gaps="", source="predictions"))
 def critical_failure(spark, folder):
     return rounded(evaluation.critical_failure_metrics(views.predictions(spark, folder)), *CRITICAL)
 
 
+@query(CRITICAL_SQL.format(by="dataset_id,", group="GROUP BY dataset_id", more="", gaps=GAPS_SQL, source="gaps"))
+def critical_failure_with_gaps(spark, folder):
+    return rounded(evaluation.critical_failure_metrics(_gappy_predictions(spark, folder), by=["dataset_id"]), *CRITICAL)
+
+
+@query(
+    f"""
+WITH {GAPS_SQL} predictions AS (SELECT * FROM gaps WHERE y_pred IS NOT NULL), {MOMENTS_SQL},
+lost AS (SELECT dataset_id, count(*) - count(y_pred) AS missing_predictions FROM gaps GROUP BY dataset_id)
+SELECT p.dataset_id, {REGRESSION_SQL}, {DISTRIBUTION_SQL}, {RANGES_SQL}, {TAIL_SQL}, {GRADE_SQL}, max(lost.missing_predictions) AS missing_predictions
+FROM predictions AS p JOIN moments ON moments.dataset_id = p.dataset_id JOIN lost ON lost.dataset_id = p.dataset_id GROUP BY p.dataset_id
+"""
+)
+def prediction_analysis_with_gaps(spark, folder):
+    """Measures of what was predicted; long groups are ranked in ranges."""
+    made = evaluation.prediction_analysis(_gappy_predictions(spark, folder), ["dataset_id"], rows_per_task=500)
+    return rounded(made, *REGRESSION, *DISTRIBUTION, *RANGES, *TAIL)
+
+
 @query(
     CRITICAL_SQL.format(
         by="dataset_id,",
         group="GROUP BY dataset_id",
+        gaps="",
+        source="predictions",
         more=", p >= 0.9 AS precision_target_met, q >= 0.8 AS recall_target_met, near >= 0.85 AS horizon_accuracy_target_met",
     )
 )
@@ -798,6 +850,7 @@ def sorted_predictions(spark, folder):
 
 # --- training histories and runs -----------------------------------------------------------
 
+# The grades and messages of the analysis, as in the operators.
 HISTORY_SQL = f"""
 losses AS (
   SELECT o_custkey AS run_id, o_orderkey AS epoch, o_totalprice / {views.LOSS_UNIT}::DOUBLE AS train_loss,
@@ -1116,10 +1169,13 @@ def _flawed_messages(spark, folder) -> DataFrame:
     return flawed.withColumn("value", F.when(cut, F.substring("value", 1, 15)).otherwise(F.col("value")))
 
 
-@query("SELECT 'engine_' || CAST(user_id AS VARCHAR) AS key, count(*) AS messages FROM events GROUP BY user_id")
+@query(
+    "SELECT 'engine_' || CAST(user_id AS VARCHAR) AS key, count(*) AS messages, CAST(sum(event_id) AS BIGINT) AS cycles FROM events GROUP BY user_id"
+)
 def encode_messages(spark, folder):
     made = _messages(views.table(spark, folder, "events"))
-    return made.groupBy("key").agg(F.count(F.lit(1)).alias("messages"))
+    body = F.get_json_object("value", "$.cycle").cast("long")
+    return made.groupBy("key").agg(F.count(F.lit(1)).alias("messages"), F.sum(body).alias("cycles"))
 
 
 @query(
@@ -1211,10 +1267,16 @@ def _event_stream(spark, folder) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder}/event*.parquet")
 
 
+# A bounded stream that has not ended by then is stopped.
+DRAIN_SECONDS = 600
+
+
 def _drain(made: DataFrame, folder: str) -> DataFrame:
     """Run a stream over what is there, into a table in ``folder``, and read the table."""
     running = alerts.write_alerts(made, f"{folder}/rows", f"{folder}/checkpoint", availableNow=True)
-    running.awaitTermination()
+    if not running.awaitTermination(DRAIN_SECONDS):
+        running.stop()
+        raise TimeoutError(f"the stream did not end within {DRAIN_SECONDS} s")
     return made.sparkSession.read.schema(made.schema).parquet(f"{folder}/rows")
 
 

@@ -30,14 +30,15 @@ def parse_sensor_lines(df: DataFrame, value="value", columns=READING_COLUMNS, ke
     """Split whitespace-separated lines into typed columns.
 
     The first two columns are integers, the rest doubles.  Blank lines are left out.  Lines of
-    another width or with a field that is no number get null readings and keep their text in
+    another width, with a field that is no number or an id that is no whole number get null readings and keep their text in
     ``_corrupt``.
     """
     line = F.regexp_replace(value, BLANK_ENDS, "")
     rows = df.where(line != "").withColumn("_fields", F.split(line, r"\s+"))
     fits = F.size("_fields") == len(columns)
     numbers = F.transform("_fields", lambda field: field.try_cast("double"))
-    sound = fits & ~F.exists(F.col("_numbers"), lambda number: number.isNull())
+    whole = [F.coalesce(F.col("_numbers")[i].try_cast("int") == F.col("_numbers")[i], F.lit(False)) for i in range(2)]
+    sound = fits & ~F.exists(F.col("_numbers"), lambda number: number.isNull()) & whole[0] & whole[1]
     typed = [
         F.when(F.col("_sound"), F.col("_numbers")[i].try_cast("int") if i < 2 else F.col("_numbers")[i]).alias(name)
         for i, name in enumerate(columns)
