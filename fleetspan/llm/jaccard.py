@@ -28,8 +28,8 @@ from fleetspan.llm.kneser_ney import mapped, pack, store, unpack
 SHINGLE = 5
 # Similarity is at least PERCENT / 100.
 PERCENT = 75
-CHUNK_WORDS = 1_000_000
-FLUSH_SHINGLES = 8_000_000
+CHUNK_WORDS = 300_000
+FLUSH_SHINGLES = 4_000_000
 # A shingle met so often in one task counts as frequent and comes last in the order.
 OFTEN = 4
 # More classes under one shingle are compared in blocks of this size.
@@ -309,9 +309,10 @@ def _send_sets(frequencies: Frequencies):
     def run(batches):
         for batch, i, own in sets_of(batches):
             ordered, _ = frequencies.ordered(own)
-            node, probes = batch.column("node")[i].as_py(), batch.column("_probes")[i].as_py()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(probes, pa.int64()), pa.array([node] * len(probes), pa.int64()), pa.array([ordered.tobytes()] * len(probes), pa.binary())], names=["probe", "node", "tokens"])
+            node, data = batch.column("node")[i].as_py(), pa.array([ordered.tobytes()], pa.binary())
+            for to in batch.column("_to")[i].as_py():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([to["part"]], pa.int64()), pa.array([to["probe"]], pa.int64()), pa.array([node], pa.int64()), data], names=["part", "probe", "node", "tokens"])
 
     return run
 
@@ -320,8 +321,9 @@ def _decide(batches):
     """Links of probes; rows come sorted by probe, a part of its partners at a time with the probe itself."""
 
     def links(probe, rows):
-        own = next((r[1] for r in rows if r[0] == probe), None)
-        others = [r for r in rows if r[0] != probe]
+        sets = dict(rows)  # equal rows of the table send equal sets
+        own = sets.pop(probe)
+        others = list(sets.items())
         overlaps = tree_overlaps(own, [r[1] for r in others])
         return [(probe, r[0]) for r, o in zip(others, overlaps) if o >= 0 and similar(o, len(own), len(r[1]))]
 
@@ -352,7 +354,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, frequencies:
     info = nodes.select("node", "n", "sig")
     left, right = (info.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "sig")]) for s in "ab")
     met = pairs.join(left, F.col("a") == F.col("node_a")).join(right, F.col("b") == F.col("node_b"))
-    held = kept(met.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_bounded, "a long, b long"), "jaccard-bounded")
+    held = kept(met.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_bounded, "a long, b long").distinct(), "jaccard-bounded")
     # The class with more partners is the probe.
     ends = held.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("_n"))
     ends = small(kept(ends, "jaccard-ends"), 24)
@@ -362,14 +364,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, frequencies:
     parts = F.floor(F.greatest("_a", "_b") / PARTNERS) + 1
     dealt = kept(sized.select(probe.alias("probe"), other.alias("node"), F.pmod(F.xxhash64(other), parts).alias("part")), "jaccard-dealt")
     wanted = dealt.unionByName(dealt.select("probe", F.col("probe").alias("node"), "part").distinct())
-    per_node = wanted.groupBy("node").agg(F.collect_set("probe").alias("_probes"))
-    per_node = kept(per_node, "jaccard-probes")
-    width = per_node.agg(F.avg(F.size("_probes"))).first()[0] or 0
-    texts = sets.join(small(per_node.withColumnRenamed("node", "_node"), int(48 + 8 * width)), F.col("node") == F.col("_node"))
-    sent = texts.select("text", "node", "_probes").mapInArrow(_send_sets(frequencies), "probe long, node long, tokens binary").dropDuplicates(["probe", "node"])
-    placed = sent.join(wanted, ["probe", "node"])
+    per_node = kept(wanted.groupBy(F.col("node").alias("_node")).agg(F.collect_set(F.struct("probe", "part")).alias("_to")), "jaccard-probes")
+    width = per_node.agg(F.avg(F.size("_to"))).first()[0] or 0
+    texts = sets.join(small(per_node, int(48 + 24 * width)), F.col("node") == F.col("_node"))
+    sent = texts.select("text", "node", "_to").mapInArrow(_send_sets(frequencies), "part long, probe long, node long, tokens binary")
     count = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = placed.repartition(count, "probe", "part").sortWithinPartitions("part", "probe", "node").select("part", "probe", "node", "tokens")
+    ordered = sent.repartition(count, "probe", "part").sortWithinPartitions("part", "probe")
     return kept(ordered.mapInArrow(_decide, "a long, b long"), "jaccard-links")
 
 
@@ -493,7 +493,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     held = small(reps.select("node", "_ticket"), 24)
     sets = rows.join(held, F.col("ticket") == F.col("_ticket")).select("node", "text")
     second = kept(sets.mapInArrow(_prefixes(frequencies), SECOND), "jaccard-prefixes")
-    nodes = kept(second.where("node is not null").select("node", "n", "sig").dropDuplicates(["node"]), "jaccard-nodes")
+    nodes = second.where("node is not null").select("node", "n", "sig")
     grouped = second.where("shard is not null").select("shard", "tokens", "nodes", "scores").groupBy("shard").applyInArrow(_shard_groups, "is_pair boolean, a long, b long")
     grouped = kept(grouped, "jaccard-members")
     stars = kept(grouped.where("is_pair").select("a", "b").distinct(), "jaccard-stars")
