@@ -216,6 +216,14 @@ def standard_fit(spark, folder):
     return rounded(scaling.fit_scaler(views.readings(spark, folder), method="standard"), "centre", "spread")
 
 
+@query(f"WITH {READINGS_SQL} SELECT dataset_id, unit, cycle, {MINMAX_SQL} FROM readings")
+def kept_scaler(spark, folder):
+    """A scaler that was written, read again and applied."""
+    rows, target = views.readings(spark, folder), views.run_folder(spark)
+    tables.write_scaler(scaling.fit_minmax(rows), target)
+    return rounded(scaling.apply_minmax(rows, tables.read_scaler(spark, target)), *views.SENSORS)
+
+
 STANDARD_SQL = ", ".join(
     r(f"CASE WHEN stddev_pop({c}) OVER () = 0 THEN 0 ELSE ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () END", c)
     for c in ["sensor_1", "sensor_2"]
@@ -848,6 +856,24 @@ def sorted_predictions(spark, folder):
     return rounded(evaluation.sorted_predictions(views.predictions(spark, folder).select("y_true", "y_pred")), "y_pred")
 
 
+@query(f"WITH {PREDICTIONS_SQL} SELECT dataset_id, {r('y_true', 'y_true')}, {r('y_pred', 'y_pred')} FROM predictions")
+def predictions_file(spark, folder):
+    """Predictions written with a header and read by it."""
+    target = views.run_folder(spark)
+    tables.write_predictions(views.predictions(spark, folder).select("dataset_id", "y_true", "y_pred"), target)
+    found = spark.read.option("header", True).schema("dataset_id string, y_true double, y_pred double").csv(target)
+    return rounded(found, "y_true", "y_pred")
+
+
+@query(f"WITH {READINGS_SQL} SELECT dataset_id, unit, cycle, sensor_1 FROM readings")
+def csv_by_header(spark, folder):
+    """Readings written as CSV with a header, their columns found by name."""
+    target = views.run_folder(spark)
+    rows = views.readings(spark, folder).select("dataset_id", "unit", "cycle", "sensor_1")
+    rows.select("sensor_1", "cycle", "dataset_id", "unit").write.mode("overwrite").option("header", True).csv(target)
+    return tables.read_processed_csv(spark, target, rows.schema)
+
+
 # --- training histories and runs -----------------------------------------------------------
 
 # The grades and messages of the analysis, as in the operators.

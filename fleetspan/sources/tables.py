@@ -85,3 +85,13 @@ def write_predictions(df: DataFrame, path: str, format: str = "csv", mode: str =
     if format == "csv":
         writer = writer.option("header", True)
     writer.format(format).save(path)
+
+
+def write_scaler(scaler: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Keep a fitted scaler beside the windows it was applied to.  One row per feature."""
+    scaler.coalesce(1).write.mode(mode).parquet(path)
+
+
+def read_scaler(spark: SparkSession, path: str) -> DataFrame:
+    """A kept scaler, to be applied to later windows or messages."""
+    return spark.read.parquet(path)
