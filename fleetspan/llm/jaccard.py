@@ -54,8 +54,8 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(value)
 
 
-def sets_of(batches):
-    """``(batch, row number, set)`` of every row."""
+def set_chunks(batches):
+    """``(batch, first row, sets)`` of some rows at a time."""
     for batch in batches:
         texts, at = batch.column("text"), 0
         while at < len(batch):
@@ -67,8 +67,14 @@ def sets_of(batches):
             coded = pa.array(words, pa.binary()).dictionary_encode()
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
             flat = hashes[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
-            for i in range(len(ends) - 1):
-                yield batch, begin + i, shingles(flat[ends[i] : ends[i + 1]])
+            yield batch, begin, [shingles(flat[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def sets_of(batches):
+    """``(batch, row number, set)`` of every row."""
+    for batch, begin, sets in set_chunks(batches):
+        for i, own in enumerate(sets):
+            yield batch, begin + i, own
 
 
 # Classes of equal sets, and frequent shingles
@@ -145,11 +151,18 @@ class Frequencies:
                 found[begin:end][hit] = counts[place[hit]]
         return found
 
-    def ordered(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A set in the global order with its counts."""
-        times = self.of(own)
-        order = np.lexsort((own, times))
-        return own[order], times[order]
+    def ordered(self, batches):
+        """``(batch, row number, set in the global order, counts)`` of every row; lookups by chunk."""
+        for batch, begin, sets in set_chunks(batches):
+            flat = np.concatenate(sets)
+            place = np.argsort(flat)
+            times = np.empty(len(flat), np.uint64)
+            times[place] = self.of(flat[place])
+            ends = np.cumsum([0, *map(len, sets)])
+            for i, own in enumerate(sets):
+                counts = times[ends[i] : ends[i + 1]]
+                order = np.argsort(counts, kind="stable")  # sets are sorted by hash already
+                yield batch, begin + i, own[order], counts[order]
 
 
 def _store_frequent(frequencies: Frequencies):
@@ -221,12 +234,11 @@ def _prefixes(frequencies: Frequencies):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(shards[at[0]])], pa.int32()), *(pa.array([pack(x[at])], pa.binary()) for x in (tokens, nodes, scores)), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary())], names=names)
 
-        for batch, i, own in sets_of(batches):
-            ordered, times = frequencies.ordered(own)
-            n, node = len(own), batch.column("node")[i].as_py()
+        for batch, i, ordered, times in frequencies.ordered(batches):
+            n, node = len(ordered), batch.column("node")[i].as_py()
             score = min(255, int(8 * np.log2(times.astype(float) + 1).mean()))
             parts.append((ordered[: n + (-PERCENT * n // 100) + 1], node, score))
-            infos.append((node, n, signature(own).tobytes()))
+            infos.append((node, n, signature(ordered).tobytes()))
             size += len(parts[-1][0])
             if len(infos) == 2000:
                 yield info_rows()
@@ -307,8 +319,7 @@ def tree_overlaps(probe: np.ndarray, sets: list, step: int = 64) -> list:
 
 def _send_sets(frequencies: Frequencies):
     def run(batches):
-        for batch, i, own in sets_of(batches):
-            ordered, _ = frequencies.ordered(own)
+        for batch, i, ordered, _ in frequencies.ordered(batches):
             node, data = batch.column("node")[i].as_py(), pa.array([ordered.tobytes()], pa.binary())
             for to in batch.column("_to")[i].as_py():
                 yield pa.RecordBatch.from_arrays(
@@ -352,6 +363,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, frequencies:
     some ``PARTNERS``, each with the probe.
     """
     info = nodes.select("node", "n", "sig")
+    count, size = info.agg(F.count("*"), F.avg(F.length("sig"))).first()
+    info = small(info, int(4 * (32 + (size or 0))), count)
     left, right = (info.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "sig")]) for s in "ab")
     met = pairs.join(left, F.col("a") == F.col("node_a")).join(right, F.col("b") == F.col("node_b"))
     held = kept(met.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_bounded, "a long, b long").distinct(), "jaccard-bounded")
@@ -376,27 +389,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, frequencies:
 # Components
 
 
+def _follow(df: DataFrame, column: str, hooks: DataFrame) -> DataFrame:
+    """``df`` with ``column`` moved on to where ``hooks`` (``u, v``) lead."""
+    to = hooks.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    return df.join(to, F.col(column) == F.col("_u"), "left").withColumn(column, F.coalesce("_v", column)).drop("_u", "_v")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """``node, root``: the smallest node of the component for every node in ``links`` (``a, b``).
+    """``node, root`` for every node in ``links`` (``a, b``); nodes of one component have one root.
 
-    Alternates large-star and small-star steps; each step takes minima by aggregation and joins them back.
+    In each round every node hooks onto its smallest neighbour, if that is smaller, hooks are followed some
+    steps, and the links are moved along until none is left.
     """
-    edges = kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
-    before = None
+    edges = kept(links.where("a <> b").select("a", "b"), "components")
+    open_, rounds = edges, []
     for _ in range(ROUNDS):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = kept(large, "components")
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = kept(moved.select("e.u", "e.v").where("u <> v").distinct(), "components")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
-    raise RuntimeError("components did not settle")
+        hooks = kept(open_.groupBy(F.greatest("a", "b").alias("u")).agg(F.min(F.least("a", "b")).alias("v")), "components")
+        count = hooks.count()
+        if not count:
+            break
+        direct = small(hooks, 16, count)
+        for _ in range(3):
+            hooks = _follow(hooks, "v", direct)
+        hooks = small(kept(hooks, "components"), 16, count)
+        rounds.append(hooks)
+        open_ = kept(_follow(_follow(open_, "a", hooks), "b", hooks).where("a <> b").distinct(), "components")
+    else:
+        raise RuntimeError("components did not settle")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    for hooks in rounds:
+        nodes = _follow(nodes, "root", hooks)
+    return nodes
 
 
 # Classes under one shingle that are in different components
@@ -452,7 +475,7 @@ def _pairs(made) -> pa.RecordBatch:
 
 def _open_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """Candidate pairs of classes that share a shingle but no component yet."""
-    held = roots.withColumnRenamed("node", "_node")
+    held = small(roots, 16).withColumnRenamed("node", "_node")
     placed = kept(members.join(held, F.col("node") == F.col("_node"), "left").select("token", "node", F.coalesce("root", "node").alias("root")), "jaccard-placed")
     groups = placed.groupBy("token").agg(
         F.count("*").alias("_size"), F.min("root").alias("_low"), F.max("root").alias("_high"),
@@ -475,8 +498,7 @@ def _open_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataF
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per row ``doc_id, n_shingles, component_id``; and ``class_size``, the rows with an equal set.
 
-    ``ticket`` is a hash of the whole row, ``node`` that of its set (null for an empty one) and ``root`` the
-    smallest node of the component.
+    ``ticket`` is a hash of the whole row and ``root`` names the component (null for an empty set).
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
