@@ -33,7 +33,8 @@ def op2_substrings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_components(table(spark, folder, "documents"))
+    found = jaccard_components(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,6 +114,28 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM named
 """
 
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+  FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM items AS a JOIN items AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION SELECT sides.x, reach.other FROM sides JOIN reach ON reach.doc_id = sides.y)
+SELECT sets.doc_id, len(sets.s) AS n_shingles, min(reach.other) AS component_id
+FROM sets JOIN reach ON reach.doc_id = sets.doc_id GROUP BY sets.doc_id, len(sets.s)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
+    "op3_jaccard": OP3_SQL,
 }
