@@ -1185,9 +1185,9 @@ def _messages(events: DataFrame) -> DataFrame:
     return messages.to_sensor_messages(_events_as_readings(events), STREAM_FEATURES)
 
 
-def _flawed_messages(spark, folder) -> DataFrame:
+def _flawed_messages(spark, folder, events=None) -> DataFrame:
     """Messages of which some lack a sensor and some are cut off."""
-    rows = _events_as_readings(views.table(spark, folder, "events"))
+    rows = _events_as_readings(views.table(spark, folder, "events") if events is None else events)
     flawed = messages.to_sensor_messages(
         rows.withColumn("sensor_2", F.when(F.col("event_type") != "error", F.col("sensor_2"))), STREAM_FEATURES
     )
@@ -1297,12 +1297,16 @@ def _event_stream(spark, folder) -> DataFrame:
 DRAIN_SECONDS = 600
 
 
-def _drain(made: DataFrame, folder: str) -> DataFrame:
-    """Run a stream over what is there, into a table in ``folder``, and read the table."""
-    running = alerts.write_alerts(made, f"{folder}/rows", f"{folder}/checkpoint", availableNow=True)
+def _finish(running) -> None:
     if not running.awaitTermination(DRAIN_SECONDS):
         running.stop()
         raise TimeoutError(f"the stream did not end within {DRAIN_SECONDS} s")
+
+
+def _drain(made: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over what is there, into a table in ``folder``, and read the table."""
+    running = alerts.write_alerts(made, f"{folder}/rows", f"{folder}/checkpoint", availableNow=True)
+    _finish(running)
     return made.sparkSession.read.schema(made.schema).parquet(f"{folder}/rows")
 
 
@@ -1327,6 +1331,56 @@ def stream_of_windows(spark, folder):
     return rounded(_drain(reduced, views.run_folder(spark)), "sum_1")
 
 
+@query(
+    """
+SELECT CASE WHEN event_id % 11 = 0 THEN 'malformed message' ELSE 'missing sensor values' END AS error, count(*) AS messages
+FROM events WHERE event_id % 11 = 0 OR event_type = 'error' GROUP BY 1
+"""
+)
+def stream_rejects(spark, folder):
+    """The dead-letter table of a stream."""
+    came = messages.decode_messages(_flawed_messages(spark, folder, _event_stream(spark, folder)), STREAM_FEATURES)
+    kept = _drain(messages.rejected_messages(came).select("message", "error"), views.run_folder(spark))
+    return kept.groupBy("error").agg(F.count(F.lit(1)).alias("messages"))
+
+
+@query(
+    """
+WITH seen AS (SELECT user_id, max(event_id) AS newest FROM events WHERE event_id % 5 <> 0 GROUP BY user_id)
+SELECT CAST(e.user_id AS INTEGER) AS engine_id, count(*) AS late
+FROM events AS e JOIN seen ON seen.user_id = e.user_id WHERE e.event_id % 5 = 0 AND e.event_id <= seen.newest GROUP BY e.user_id
+"""
+)
+def stream_late(spark, folder):
+    """Every fifth message comes one trigger after the others; what is late by then has a table of its own."""
+    events, target = views.table(spark, folder, "events"), views.run_folder(spark)
+    for part in (F.col("event_id") % 5 != 0, F.col("event_id") % 5 == 0):
+        events.where(part).coalesce(1).write.mode("append").parquet(f"{target}/source")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/source")
+    came = messages.valid_messages(messages.decode_messages(_messages(source), STREAM_FEATURES))
+    made = stream_windows(came, ["engine_id"], len(STREAM_FEATURES), late="report")
+    kept = _drain(made.where("late").select("engine_id", "window_end"), target)
+    return kept.groupBy("engine_id").agg(F.count(F.lit(1)).alias("late"))
+
+
+@query(
+    f"""
+WITH {ALERTS_SQL}
+SELECT count(*) AS total_alerts, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical_alerts,
+       count(*) FILTER (WHERE severity = 'WARNING') AS warning_alerts FROM alerts
+"""
+)
+def stream_statistics(spark, folder):
+    """Running totals over the table of alerts that another stream appends to."""
+    target = views.run_folder(spark)
+    found = _batch_alerts(spark, folder).select("engine_id", "cycle", "severity")
+    found.repartition(3, "engine_id").write.parquet(f"{target}/alerts")
+    came = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/alerts")
+    running = alerts.write_statistics(alerts.alert_statistics(came), f"{target}/totals", f"{target}/checkpoint", availableNow=True)
+    _finish(running)
+    return spark.read.parquet(f"{target}/totals")
+
+
 def load_stream_model():
     """The same model on messages, whose second value is the first sensor."""
 

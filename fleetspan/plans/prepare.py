@@ -69,7 +69,7 @@ def alert_stream(
     features=FEATURES,
     window: int = WINDOW,
     scaler: DataFrame | None = None,
-    late: str = "drop",
+    late: str = "keep",
     **alerting,
 ) -> DataFrame:
     """Messages to alerts in one query: decode, keep windows, scale, score, compare."""

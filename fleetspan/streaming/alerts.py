@@ -61,3 +61,16 @@ def write_alerts(alerts: DataFrame, path: str, checkpoint: str, format: str = "p
         .option("path", path)
     )
     return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def write_statistics(statistics: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep running statistics up to date in a table: every trigger replaces the row by the totals so far.
+
+    A trigger that is repeated after a failure writes the same totals again.
+    """
+
+    def replace(totals: DataFrame, _: int) -> None:
+        totals.coalesce(1).write.mode("overwrite").parquet(path)
+
+    writer = statistics.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(replace)
+    return (writer.trigger(**trigger) if trigger else writer).start()

@@ -13,7 +13,7 @@ from fleetspan.schema import TIME, WINDOW
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-LATE = ("drop", "report", "arrival")
+LATE = ("keep", "drop", "report", "arrival")
 # Windows that share one run of readings on their way back to Spark.
 WINDOWS_PER_RUN = 256
 
@@ -43,7 +43,7 @@ class _LastReadings(StatefulProcessor):
         if self.state.exists():
             last, flat = self.state.get()
             held = np.asarray(flat, dtype=float).reshape(-1, self.width)
-        if self.late == "arrival":
+        if self.late in ("arrival", "keep"):
             fresh = np.ones(len(times), dtype=bool)
         else:
             # A reading is fresh when its cycle lies beyond everything seen before it.
@@ -77,14 +77,14 @@ def stream_windows(
     width: int = 24,
     window: int = WINDOW,
     time=TIME,
-    late: str = "drop",
+    late: str = "keep",
 ) -> DataFrame:
     """The window of the last ``window`` readings, for every reading once so many are there.
 
     ``df`` holds ``keys``, ``time`` and the array ``features``.  Each trigger's readings of an
-    engine are put in the order of ``time``; readings no newer than what was already seen are
-    dropped, or reported with ``late`` = true and no window.  ``late="arrival"`` takes readings
-    as they come.
+    engine are put in the order of ``time``.  Readings no newer than what an earlier trigger brought
+    follow all the same, so that none is lost (``keep``); ``report`` returns them with ``late`` = true
+    and no window, ``drop`` leaves them out, ``arrival`` takes all readings as they come.
 
     The state of an engine is ``window - 1`` readings; it stays on the RocksDB store, so memory
     does not grow with the fleet.  A trigger must be bounded at the source, since the readings

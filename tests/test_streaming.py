@@ -88,12 +88,14 @@ def test_rejected_message_leaves_the_window_alone(spark, tmp_path):
     assert [(row["window_end"], [step[0] for step in row["x"]]) for row in found] == [(4, [1.0, 3.0, 4.0])]
 
 
-@pytest.mark.parametrize("late", ["drop", "report", "arrival"])
+@pytest.mark.parametrize("late", ["keep", "drop", "report", "arrival"])
 def test_late_readings(spark, tmp_path, late):
     files = [[body(1, c, names=NAMES) for c in (5, 4, 6)], [body(1, c, names=NAMES) for c in (2, 7, 7)]]
     found = kept(spark, tmp_path, files, late).collect()
     windows = sorted((row["window_end"], [step[0] for step in row["x"]]) for row in found if row["x"])
-    if late == "arrival":
+    if late == "keep":
+        assert windows == [(2, [5.0, 6.0, 2.0]), (6, [4.0, 5.0, 6.0]), (7, [2.0, 7.0, 7.0]), (7, [6.0, 2.0, 7.0])]
+    elif late == "arrival":
         assert windows == [(2, [4.0, 6.0, 2.0]), (6, [5.0, 4.0, 6.0]), (7, [2.0, 7.0, 7.0]), (7, [6.0, 2.0, 7.0])]
     else:
         assert windows == [(6, [4.0, 5.0, 6.0]), (7, [5.0, 6.0, 7.0])]
