@@ -37,7 +37,8 @@ def parse_sensor_lines(df: DataFrame, value="value", columns=READING_COLUMNS, ke
     rows = df.where(line != "").withColumn("_fields", F.split(line, r"\s+"))
     fits = F.size("_fields") == len(columns)
     numbers = F.transform("_fields", lambda field: field.try_cast("double"))
-    whole = [F.coalesce(F.col("_numbers")[i].try_cast("int") == F.col("_numbers")[i], F.lit(False)) for i in range(2)]
+    ids = [F.get("_numbers", F.lit(i)) for i in range(2)]
+    whole = [F.coalesce(number.try_cast("int") == number, F.lit(False)) for number in ids]
     sound = fits & ~F.exists(F.col("_numbers"), lambda number: number.isNull()) & whole[0] & whole[1]
     typed = [
         F.when(F.col("_sound"), F.col("_numbers")[i].try_cast("int") if i < 2 else F.col("_numbers")[i]).alias(name)

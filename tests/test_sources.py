@@ -62,6 +62,14 @@ def test_blanks_and_bad_lines(spark, tmp_path):
         text.read_sensor_text(spark, path, "fail").collect()
 
 
+def test_ids_are_whole_numbers_in_range(spark, tmp_path):
+    rest = reading_lines(1, 1)[0].split(maxsplit=2)[2]
+    path = write(tmp_path, "train_FD001.txt", [f"{ids} {rest}" for ids in ("3000000000 1", "1.7 1", "4 1.5", "4 2.0")])
+    kept = text.read_sensor_text(spark, path)
+    assert [(row["unit"], row["cycle"]) for row in kept.where("_corrupt is null").collect()] == [(4, 2)]
+    assert kept.where("_corrupt is not null and unit is null and cycle is null").count() == 3
+
+
 def test_missing_and_empty_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         text.read_fleet(spark, str(tmp_path), datasets=["INVALID"])
