@@ -181,8 +181,8 @@ def _store_frequent(frequencies: Frequencies):
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """Parity of the set's members per hash slot; some two slots for a member, a power of two of them."""
-    bits = max(256, 1 << int(2 * len(own) - 1).bit_length())
+    """Parity of the set's members per hash slot; a power of two of slots, at least one for a member."""
+    bits = max(128, 1 << int(len(own) - 1).bit_length())
     return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
 
 
@@ -363,8 +363,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, frequencies:
     some ``PARTNERS``, each with the probe.
     """
     info = nodes.select("node", "n", "sig")
-    count, size = info.agg(F.count("*"), F.avg(F.length("sig"))).first()
-    info = small(info, int(4 * (32 + (size or 0))), count)
     left, right = (info.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "sig")]) for s in "ab")
     met = pairs.join(left, F.col("a") == F.col("node_a")).join(right, F.col("b") == F.col("node_b"))
     held = kept(met.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_bounded, "a long, b long").distinct(), "jaccard-bounded")
