@@ -38,8 +38,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and the text that they stand for."""
-    made = encode_documents(docs, public_tokenizers.path(TOKENIZER))
-    return made.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "decoded")
+    made = encode_documents(docs, public_tokenizers.path(TOKENIZER), keep=["doc_id", "lang", "source"])
+    return made.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
 STAGES = [

@@ -64,7 +64,7 @@ def op7_tokens(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    made = encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    made = encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
     ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return made.select(
         "doc_id",

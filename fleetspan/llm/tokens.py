@@ -27,7 +27,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 IDS = ArrayType(IntegerType())
 
 # Words remembered by a worker; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
+ROWS_AT_ONCE = 500
 # The Unicode property White_Space, which the tokenizer's \s stands for.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -213,24 +214,28 @@ class Tokenizer:
 
         return decode(ids)
 
-    def round_trip(self, text: Column) -> Column:
-        """Ids and decoded text as one struct, so that Spark encodes once."""
+    def round_trip(self, text: str, others: list):
+        """A function of batches for ``mapInArrow``: other columns, ids and decoded texts, some rows at a time."""
         shared = self.shared
 
-        @F.arrow_udf(StructType().add("token_ids", IDS).add("decoded", StringType()))
-        def round_trip(texts: pa.Array) -> pa.Array:
-            ids = _encoded(_loaded(shared), texts)
-            return pa.StructArray.from_arrays([ids, _decoded(_loaded(shared), ids)], names=["token_ids", "decoded"])
+        def run(batches):
+            for batch in batches:
+                for start in range(0, len(batch), ROWS_AT_ONCE):
+                    part = batch.slice(start, ROWS_AT_ONCE)
+                    ids = _encoded(_loaded(shared), part.column(text))
+                    columns = [*(part.column(c) for c in others), ids, _decoded(_loaded(shared), ids)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*others, "token_ids", "decoded"])
 
-        return round_trip(text)
+        return run
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids``, and ``decoded``, the text that these ids stand for.
+def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: list | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``token_ids``, and ``decoded``, the text that these ids stand for.
 
-    Columns of these names are replaced.
+    Columns of these names are replaced.  A worker holds the results of ``ROWS_AT_ONCE`` rows.
     """
     tokenizer = Tokenizer(docs.sparkSession, path)
-    others = [c for c in docs.columns if c not in ("token_ids", "decoded")]
-    made = docs.select(*others, tokenizer.round_trip(F.col(text)).alias("_coded"))
-    return made.select(*others, "_coded.token_ids", "_coded.decoded")
+    others = [c for c in (keep or docs.columns) if c not in ("token_ids", "decoded")]
+    schema = StructType([docs.schema[c] for c in others]).add("token_ids", IDS).add("decoded", StringType())
+    rows = docs.select(*dict.fromkeys([*others, text]))
+    return rows.mapInArrow(tokenizer.round_trip(text, others), schema)
