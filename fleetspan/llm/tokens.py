@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 IDS = ArrayType(IntegerType())
 
 # Words remembered by a worker; beyond that it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 ROWS_AT_ONCE = 500
 # The Unicode property White_Space, which the tokenizer's \s stands for.
 SPACE = r"\t-\r \x85\xa0  -     　"
