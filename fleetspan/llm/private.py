@@ -8,8 +8,12 @@ entity's canonical form, so equal entities get equal surrogates in all documents
 a phone number in any format, a surname with or without given name).
 
 Distinct entities are checked together: of several with one surrogate all but the first in code point
-order, and every one whose surrogate is somebody's real entity, draw again until none is left.  The
-replacements of its entities are joined to each text that has some.
+order, and every one whose surrogate is somebody's real entity, draw again until none is left.  After
+some draws of the entity's own length every further one is longer (an IPv4 address gets an IPv6 one), so
+a form space that is full ends the search too.  The replacements of its entities are joined to each text
+that has some.
+
+A secret has a letter or a digit: lines and dots to be filled in ('password: ________') stay.
 
 A null text stays null, an empty one empty; texts without entities are returned as they are.  Rows are
 treated by themselves, equal texts alike; other columns are kept, columns named like a result replaced.
@@ -20,7 +24,9 @@ from pyspark.sql import functions as F
 
 from fleetspan.llm.common import kept, small
 
-DRAWS = 25
+# So many draws keep the length of the form; every later one has WIDER more digits than the one before.
+DRAWS = 12
+WIDER = 4
 # Titles by gender, given names by gender and script, and the syllables of surnames.
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Г-жа"]
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Г-н"]
@@ -39,7 +45,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NAME = r"\p{Lu}[\p{Ll}'’-]+"
 PATTERN = "|".join([
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    r"\b(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{8,}",
+    r"\b(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?(?=[_/+-]*[A-Za-z0-9])[A-Za-z0-9_/+-]{8,}",
     r"\bAKIA[0-9A-Z]{16}\b",
     rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)",
     r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -139,16 +145,21 @@ def _check_digit(payload: Column) -> Column:
 def surrogate(key: str, what: Column, form: Column, draw: Column) -> Column:
     """The surrogate of a canonical form, in canonical form."""
     number = lambda i: _draw(key, what, form, draw, i)
-    same_class = F.array_join(F.transform(_chars(form), lambda c, i: _letter(c, number(i))), "")
-    hexes = F.array_join(F.transform(_chars(form), lambda c, i: F.lower(F.hex((number(i) % 16).cast("long")))), "")
-    digits = F.array_join(F.transform(_chars(form), lambda c, i: F.char(
+    wider = F.greatest(draw - (DRAWS - 1), F.lit(0)) * WIDER
+    source = F.concat(form, F.repeat(F.lit("0"), wider))
+    same_class = F.array_join(F.transform(_chars(source), lambda c, i: _letter(c, number(i))), "")
+    hexes = F.array_join(F.transform(_chars(source), lambda c, i: F.lower(F.hex((number(i) % 16).cast("long")))), "")
+    digits = F.array_join(F.transform(_chars(source), lambda c, i: F.char(
         F.when(i == 0, F.lit(50) + number(i) % 8).otherwise(F.lit(48) + number(i) % 10))), "")
-    size = F.length(form)
+    size = F.length(source)
     payload = F.concat(F.left(form, F.lit(1)), F.substring(digits, F.lit(2), size - 2))
     host = F.lower(F.regexp_extract(form, r"@(.*)\.[^.]*$", 1))
     new_host = F.array_join(F.transform(_chars(host), lambda c, i: _letter(c, _draw(key, F.lit("host"), host, F.lit(0), i))), "")
-    local = F.array_join(F.transform(_chars(F.regexp_extract(form, "^(.*)@", 1)), lambda c, i: _letter(c, number(i))), "")
+    mailbox = F.concat(F.regexp_extract(form, "^(.*)@", 1), F.repeat(F.lit("0"), wider))
+    local = F.array_join(F.transform(_chars(mailbox), lambda c, i: _letter(c, number(i))), "")
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.lit(1) + number(i) % 254).cast("string")), ".")
+    groups = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lower(F.lpad(F.hex(
+        (F.when(i == 0, F.lit(8192) + number(i) % 4096).otherwise(number(i))).cast("long")), 4, "0"))), ":")
     cyrillic = form.rlike(r"\p{IsCyrillic}")
 
     def pick(words, n):
@@ -161,7 +172,7 @@ def surrogate(key: str, what: Column, form: Column, draw: Column) -> Column:
         cyrillic, pick(SYLLABLES["cyrillic"], number(i))).otherwise(pick(SYLLABLES["latin"], number(i)))), "")
     return (
         F.when(what == "email", F.concat(local, F.lit("@"), new_host, F.regexp_extract(form, r"\.[^.]*$", 0)))
-        .when(what == "ip", octets)
+        .when((what == "ip") & (wider > 0), groups).when(what == "ip", octets)
         .when(what == "card", F.concat(payload, _check_digit(payload)))
         .when(what.isin("phone", "identity"), digits)
         .when(what == "key", F.concat(F.left(form, F.lit(4)), F.substring(same_class, F.lit(5), size)))
@@ -175,12 +186,13 @@ def surrogate(key: str, what: Column, form: Column, draw: Column) -> Column:
 def dictionary(forms: DataFrame, key: str) -> DataFrame:
     """``kind, form, new``: a surrogate of its own for every distinct canonical form.
 
-    Given names may be shared by several people, as in life.
+    Given names may be shared by several people, as in life.  The space of surrogates grows with every draw
+    beyond ``DRAWS``, so the loop ends for any number of forms.
     """
     strict = ~F.col("kind").startswith("given")
     drawn = surrogate(key, F.col("kind"), F.col("form"), F.col("draw"))
     state = kept(forms.select("kind", "form", F.lit(0).alias("draw")).distinct().withColumn("new", drawn), "private-drawn")
-    for _ in range(DRAWS):
+    while True:
         order = Window.partitionBy("kind", "new").orderBy("form")
         ranked = state.withColumn("_taken", F.row_number().over(order) > 1)
         real = state.select(F.col("kind").alias("_kind"), F.col("form").alias("_form"))
@@ -191,7 +203,6 @@ def dictionary(forms: DataFrame, key: str) -> DataFrame:
             return judged.select("kind", "form", "new")
         redrawn = judged.where("_again").withColumn("draw", F.col("draw") + 1).withColumn("new", drawn)
         state = kept(judged.where("not _again").unionByName(redrawn).drop("_again"), "private-drawn")
-    raise RuntimeError("surrogates are exhausted: more entities of a kind than its form can tell apart")
 
 
 def replacements(entities: DataFrame, key: str) -> DataFrame:
@@ -201,12 +212,15 @@ def replacements(entities: DataFrame, key: str) -> DataFrame:
     new = dictionary(pieces.select("kind", "form"), key)
     found = pieces.join(new, ["kind", "form"]).groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("_at", "new"))).alias("_news"))
     news = F.transform("_news", lambda n: n["new"])
-    made = known.select("entity", "kind", "label").join(found, "entity").withColumn("_new", F.array_join(news, " "))
-    # Digits go into the entity's own form from the right; a country code in front stays.
-    made = made.withColumn("_size", F.length("_new")).withColumn("_left", F.transform(
+    made = known.select("entity", "kind", "label", F.length(F.col("parts")[0]["form"]).alias("_size"))
+    made = made.join(found, "entity").withColumn("_new", F.array_join(news, " "))
+    # Digits go into the entity's own form from the right; a country code in front stays, and what a longer
+    # surrogate has more goes before the first digit replaced.
+    made = made.withColumn("_more", F.length("_new") - F.col("_size")).withColumn("_left", F.transform(
         _chars(F.col("entity")), lambda c, i: F.struct(c.alias("c"), F.length(_digits(F.substring("entity", i + 2, F.lit(1000)))).alias("after"))))
     filled = F.transform("_left", lambda x: F.when(
-        x["c"].rlike("[0-9]") & (x["after"] < F.col("_size")), F.substring("_new", F.col("_size") - x["after"], F.lit(1))).otherwise(x["c"]))
+        x["c"].rlike("[0-9]") & (x["after"] == F.col("_size") - 1), F.left("_new", F.col("_more") + 1)).when(
+        x["c"].rlike("[0-9]") & (x["after"] < F.col("_size")), F.substring("_new", F.col("_more") + F.col("_size") - x["after"], F.lit(1))).otherwise(x["c"]))
     numeric = F.col("kind").isin("phone", "card", "identity")
     return made.select("entity", F.when(numeric, F.array_join(filled, "")).otherwise(F.concat("label", "_new")).alias("replacement"))
 

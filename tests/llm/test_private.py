@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from fleetspan.llm import private
 from fleetspan.llm.private import replace_private
 
@@ -59,5 +61,28 @@ def test_collisions_draw_again(spark, monkeypatch):
     assert len({r["new"] for r in found}) == 300 and not {r["new"] for r in found} & {r["form"] for r in found}
 
 
+def test_full_form_spaces_get_longer_surrogates(spark):
+    mails = [f"{c}@x.com" for c in "abcdefghijklmnopqrstuvwxyz"] + ["-@-.com"]
+    phones = [f"+{i} {j:02d} {k:02d}" for i in range(1, 3) for j in range(100) for k in range(100)]
+    signs = ["password: ________", "token=--------"]
+    found = replaced(spark, signs + [f"to {m} end" for m in mails] + [" ".join(phones)])
+    assert [found[i]["text"] for i in range(2)] == signs and found[0]["n_entities"] == found[1]["n_entities"] == 0
+    new = [found[i]["text"][3:-4] for i in range(2, 29)]
+    assert len(set(new)) == 27 and not set(new) & set(mails)
+    assert all(re.fullmatch(r"[a-z0-9-]+@[a-z-]\.com", m) for m in new)
+    numbers = re.findall(r"\+[\d ]*?\d \d\d \d\d", found[29]["text"])
+    assert found[29]["n_entities"] == len(phones) == len(set(numbers)) and not set(numbers) & set(phones)
+
+
+def test_draws_end_in_a_full_space(spark):
+    kinds = [("phone", f"{i:03d}") for i in range(1000)] + [("secret", "________"), ("secret", "abcdef0123")]
+    forms = spark.createDataFrame(kinds, "kind string, form string")
+    found = private.dictionary(forms, "k").collect()
+    assert len({(r["kind"], r["new"]) for r in found}) == 1002
+    assert not {(r["kind"], r["new"]) for r in found} & set(kinds)
+    late = private.surrogate("k", F.lit("ip"), F.col("form"), F.lit(private.DRAWS))
+    assert re.fullmatch(r"2[0-9a-f]{3}(:[0-9a-f]{4}){7}", forms.limit(1).select(late).first()[0])
+
+
 def test_empty_table(spark):
     assert replace_private(spark.createDataFrame([], SCHEMA)).count() == 0
