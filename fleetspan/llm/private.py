@@ -5,7 +5,7 @@ labels, and names after a title.  Every entity is replaced by one of its own kin
 digits, letters by letters of their case and script, octets by octets, card numbers with a right check
 digit, names by names of the title's gender and the word's script.  The choice is a keyed hash of the
 entity's canonical form, so equal entities get equal surrogates in all documents (an e-mail in any case,
-a phone number in any format, a surname with or without given name).
+a phone number in any format below, an IPv6 address in any spelling, a surname with or without given name).
 
 Distinct entities are checked together: of several with one surrogate all but the first in code point
 order, and every one whose surrogate is somebody's real entity, draw again until none is left.  After
@@ -13,7 +13,10 @@ some draws of the entity's own length every further one is longer (an IPv4 addre
 a form space that is full ends the search too.  The replacements of its entities are joined to each text
 that has some.
 
-A secret has a letter or a digit: lines and dots to be filled in ('password: ________') stay.
+Not found, as nothing tells them from other numbers and words: phone numbers without '+', brackets or
+separators (7435553824), cards of 15 digits that start with 1 or 2131, secrets without a label other than
+AWS key ids, or shorter than 8 signs, and names without a title.  A secret goes on through ASCII letters,
+digits and the signs _SIGNS.  It has a letter or a digit: lines and dots to be filled in ('password: ________') stay.
 
 A null text stays null, an empty one empty; texts without entities are returned as they are.  Rows are
 treated by themselves, equal texts alike; other columns are kept, columns named like a result replaced.
@@ -43,24 +46,40 @@ SYLLABLES = {
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NAME = r"\p{Lu}[\p{Ll}'’-]+"
+_GROUP = r"[0-9A-Fa-f]{1,4}"
+_GROUPS = rf"{_GROUP}(?::{_GROUP})"
+# Labels of secrets in any case and after any prefix (client_secret, AWS_SECRET_ACCESS_KEY), with the quotes of JSON.
+_LABELS = r"(?i:token|password|passwd|passphrase|pwd|secret|(?:api|access|secret|private|auth)[_ -]?key)(?i:[_-]?(?:access[_-]?)?key)?"
+_LABEL = rf"{_LABELS}[\"']?\s{{0,3}}+[=:]{{1,2}}+>?+\s{{0,3}}+[\"']?+"
+_SIGNS = r"_/+.=~@!#$%^*-"
 PATTERN = "|".join([
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    r"\b(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?(?=[_/+-]*[A-Za-z0-9])[A-Za-z0-9_/+-]{8,}",
-    r"\bAKIA[0-9A-Z]{16}\b",
+    rf"(?=[TPSAtpsa]){_LABEL}(?=[{_SIGNS}]*[A-Za-z0-9])[A-Za-z0-9{_SIGNS}]{{7,}}[A-Za-z0-9_/+=~@#$%^*-]",
+    r"\bA[KS]IA[0-9A-Z]{16}\b",
+    # IPv6: eight groups, or fewer with '::' between a first group of four or several; never words of letters only.
+    rf"(?<![\p{{L}}\p{{N}}:.])(?=[A-Fa-f:]*[0-9])(?:{_GROUPS}{{7}}|{_GROUPS}{{1,6}}::(?:{_GROUPS}{{0,5}})?"
+    rf"|[0-9A-Fa-f]{{4}}::(?:{_GROUPS}{{0,6}})?|::{_GROUPS}{{1,6}})(?![\p{{L}}\p{{N}}:]|\.\d)",
     rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)",
     r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    r"(?:\+\d{1,3}[ .-]?)?(?<!\d)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)",
+    # Phones: three digits in brackets, +1 with ten digits, + with 8 to 15 digits however grouped, short ones in groups.
+    r"(?:(?:\+\d{1,3}|(?<![\d.-])1)[ .-]?)?(?<!\d)\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+    r"(?<![\p{L}\p{N}+])\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+    r"(?<![\p{L}\p{N}+])\+[1-9](?:(?:[ .-]|[ .-]?\(|\)[ .-]?)?\d){7,14}(?!\d)",
     r"\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)",
-    r"(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d|[.-]\d)",
-    r"(?<![\d.-])[3-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?!\d|[.-]\d)",
+    r"(?<![\d.-])(?:1[.-])?\d{3}[.-]\d{3}[.-]\d{4}(?!\d|[.-]\d)",
+    r"(?<![\p{L}\d.-])(?:1 )?[2-9]\d\d[ ./-][2-9]\d\d[ .-]\d{4}(?!\d|[.-]\d)",
+    # Cards: groups of four up to 19 digits, or 4-6-5 and 4-6-4; first digits 3 to 6, 2221 to 2720 and 2200 to 2204.
+    r"(?<![\d.-])6\d{3}([ -])\d{4}\1\d{4}\1\d{4}\1\d{3}(?!\d|[.-]\d)",
+    r"(?<![\d.-])(?:[3-6]\d{3}|22[3-9]\d|222[1-9]|2[3-6]\d\d|27[01]\d|2720|220[0-4])([ -]?)\d{4}\2\d{4}\2\d{1,7}(?!\d|[.-]\d)",
+    r"(?<![\d.-])3\d{3}([ -])\d{6}\3\d{4,5}(?!\d|[.-]\d)",
     rf"(?<!\p{{L}})(?:{'|'.join(FEMALE + MALE)})\.? {_NAME}(?: {_NAME}){{0,2}}",
 ])
 # What a text needs at least to hold an entity: a cheap look before the patterns.
-HINT = rf"[0-9@]|(?:{'|'.join(FEMALE + MALE)})\.? \p{{Lu}}|token|password|passwd|secret|api_?key"
+HINT = rf"[0-9@]|(?:{'|'.join(FEMALE + MALE)})\.? \p{{Lu}}|\bA[KS]IA[A-Z]{{16}}|{_LABELS}[\"']?\s{{0,3}}[=:]"
 
 
 def find(text: Column) -> Column:
-    """The entities of a text from left to right."""
+    """The entities of a text from left to right, and numbers that ``genuine`` takes out."""
     none = F.array().cast("array<string>")
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
 
@@ -72,29 +91,38 @@ def _digits(entity: Column) -> Column:
 def kind(entity: Column) -> Column:
     titled = "|".join(FEMALE + MALE)
     return (
-        F.when(entity.contains("@"), "email")
-        .when(entity.rlike(r"^(?:token|password|passwd|secret|api_?key)\s{0,3}[=:]"), "secret")
-        .when(entity.rlike(r"^AKIA[0-9A-Z]{16}$"), "key")
-        .when(entity.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ip")
+        F.when(entity.rlike(rf"^{_LABEL}"), "secret")
+        .when(entity.contains("@"), "email")
+        .when(entity.rlike(r"^A[KS]IA[0-9A-Z]{16}$"), "key")
+        .when(entity.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$") | entity.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ip")
         .when(entity.rlike(rf"^(?:{titled})\.? "), "name")
         .when(entity.rlike(r"^\d{3}-\d{2}-\d{4}$"), "identity")
-        .when((F.length(_digits(entity)) >= 13) & entity.rlike(r"^[3-6][\d -]+$"), "card")
+        .when((F.length(_digits(entity)) >= 13) & entity.rlike(r"^[2-6][\d -]+$"), "card")
         .otherwise("phone")
     )
 
 
+def _long(address: Column) -> Column:
+    """An IPv6 address in eight groups of four small hexadecimal digits."""
+    sides = F.split(F.lower(address), "::")
+    before, after = (F.filter(F.split(F.coalesce(F.get(sides, F.lit(i)), F.lit("")), ":"), lambda g: g != "") for i in (0, 1))
+    zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(before) - F.size(after))
+    return F.array_join(F.transform(F.concat(before, zeros, after), lambda g: F.lpad(g, 4, "0")), ":")
+
+
 def with_parts(entities: DataFrame) -> DataFrame:
     """``entity, kind, label, parts``: the replaced parts of an entity as structs of kind and canonical form.
 
     Entities are few and short next to the texts; one step per column keeps the expressions small.
     """
-    label = F.when(F.col("kind") == "secret", F.regexp_extract("entity", r"^[a-z_]+\s*[=:]\s*[\"']?", 0)).when(
+    label = F.when(F.col("kind") == "secret", F.regexp_extract("entity", rf"^{_LABEL}", 0)).when(
         F.col("kind") == "name", F.regexp_extract("entity", r"^\S+ ", 0)).otherwise(F.lit(""))
     value = F.substring("entity", F.length("label") + 1, F.lit(1_000_000))
     form = (
         F.when(F.col("kind") == "email", F.lower("entity"))
         .when(F.col("kind") == "phone", F.right(_digits(F.col("entity")), F.lit(10)))
         .when(F.col("kind").isin("card", "identity"), _digits(F.col("entity")))
+        .when((F.col("kind") == "ip") & F.col("entity").contains(":"), _long(F.col("entity")))
         .otherwise(F.col("_value"))
     )
     female = F.col("entity").rlike(rf"^(?:{'|'.join(FEMALE)})\.? ")
@@ -142,6 +170,13 @@ def _check_digit(payload: Column) -> Column:
     return ((F.lit(10) - total % 10) % 10).cast("string")
 
 
+def genuine(entity: Column) -> Column:
+    """False for numbers like cards that start with 2 and end in a wrong check digit: such ids are common."""
+    digits = _digits(entity)
+    right = F.right(digits, F.lit(1)) == _check_digit(F.left(digits, F.length(digits) - 1))
+    return F.when(entity.rlike(r"^2\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d+$"), right).otherwise(F.lit(True))
+
+
 def surrogate(key: str, what: Column, form: Column, draw: Column) -> Column:
     """The surrogate of a canonical form, in canonical form."""
     number = lambda i: _draw(key, what, form, draw, i)
@@ -172,7 +207,7 @@ def surrogate(key: str, what: Column, form: Column, draw: Column) -> Column:
         cyrillic, pick(SYLLABLES["cyrillic"], number(i))).otherwise(pick(SYLLABLES["latin"], number(i)))), "")
     return (
         F.when(what == "email", F.concat(local, F.lit("@"), new_host, F.regexp_extract(form, r"\.[^.]*$", 0)))
-        .when((what == "ip") & (wider > 0), groups).when(what == "ip", octets)
+        .when((what == "ip") & ((wider > 0) | form.contains(":")), groups).when(what == "ip", octets)
         .when(what == "card", F.concat(payload, _check_digit(payload)))
         .when(what.isin("phone", "identity"), digits)
         .when(what == "key", F.concat(F.left(form, F.lit(4)), F.substring(same_class, F.lit(5), size)))
@@ -234,7 +269,8 @@ def replace_private(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     docs = docs.drop("n_entities", "_found", "_map", "_hash", "_key")
     digest = F.sha2("text", 256)
     held = docs.where(F.col("text").rlike(HINT)).select("text", find(F.col("text")).alias("_found")).where(F.size("_found") > 0)
-    pieces = kept(held.select(digest.alias("_key"), F.explode(F.array_distinct("_found")).alias("entity")).distinct(), "private-found")
+    pieces = held.select(digest.alias("_key"), F.explode(F.array_distinct("_found")).alias("entity")).distinct()
+    pieces = kept(pieces.where(genuine(F.col("entity"))), "private-found")
     new = kept(replacements(pieces.select("entity").distinct(), key), "private-replacements")
     maps = pieces.join(new, "entity").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("_map"))
     maps = kept(maps, "private-maps")
@@ -242,9 +278,9 @@ def replace_private(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     # Texts without entities get keys of their own that match nothing and spread evenly.
     found = found.withColumn("_hash", F.when(F.size("_found") > 0, digest).otherwise(F.xxhash64("text").cast("string")))
     ready = found.join(small(maps, 400), F.col("_hash") == F.col("_key"), "left")
-    new_ones = F.transform("_found", lambda e: F.try_element_at(F.col("_map"), e))
+    new_ones = F.transform("_found", lambda e: F.coalesce(F.try_element_at(F.col("_map"), e), e))
     between = F.split("text", PATTERN, -1)
     woven = F.array_join(F.flatten(F.zip_with(between, new_ones, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     text = F.when(F.size("_found") > 0, woven).otherwise(F.col("text"))
-    count = F.coalesce(F.when(F.col("text").isNotNull(), F.size("_found")), F.lit(0)).cast("long")
+    count = F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.filter("_found", genuine))), F.lit(0)).cast("long")
     return ready.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], count.alias("n_entities"))
