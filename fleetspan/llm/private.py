@@ -113,11 +113,11 @@ def _long(address: Column) -> Column:
 def with_parts(entities: DataFrame) -> DataFrame:
     """``entity, kind, label, parts``: the replaced parts of an entity as structs of kind and canonical form.
 
-    Entities are few and short next to the texts; one step per column keeps the expressions small.
+    Entities are few next to the texts; one step per column keeps the expressions small.
     """
     label = F.when(F.col("kind") == "secret", F.regexp_extract("entity", rf"^{_LABEL}", 0)).when(
         F.col("kind") == "name", F.regexp_extract("entity", r"^\S+ ", 0)).otherwise(F.lit(""))
-    value = F.substring("entity", F.length("label") + 1, F.lit(1_000_000))
+    value = F.expr("substring(entity, length(label) + 1)")
     form = (
         F.when(F.col("kind") == "email", F.lower("entity"))
         .when(F.col("kind") == "phone", F.right(_digits(F.col("entity")), F.lit(10)))
@@ -136,9 +136,14 @@ def with_parts(entities: DataFrame) -> DataFrame:
     return made.select("entity", "kind", "label", F.when(F.col("kind") == "name", names).otherwise(whole).alias("parts"))
 
 
-def _draw(key: str, what: Column, form: Column, draw: Column, i: Column) -> Column:
+def _seed(key: str, what: Column, form: Column) -> Column:
+    """The keyed hash of an entity, of one size for forms of any length."""
+    return F.sha2(F.concat_ws("\x1f", F.lit(key), what, form), 256)
+
+
+def _draw(seed: Column, draw: Column, i: Column) -> Column:
     """A number below 65536 from the keyed hash of an entity, for its place ``i``."""
-    source = F.concat_ws("\x1f", F.lit(key), what, form, draw.cast("string"), F.floor(i / 16).cast("string"))
+    source = F.concat_ws("\x1f", seed, draw.cast("string"), F.floor(i / 16).cast("string"))
     return F.conv(F.substring(F.sha2(source, 256), ((i % 16) * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int")
 
 
@@ -177,9 +182,20 @@ def genuine(entity: Column) -> Column:
     return F.when(entity.rlike(r"^2\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d+$"), right).otherwise(F.lit(True))
 
 
-def surrogate(key: str, what: Column, form: Column, draw: Column) -> Column:
-    """The surrogate of a canonical form, in canonical form."""
-    number = lambda i: _draw(key, what, form, draw, i)
+def _host(form: Column) -> Column:
+    return F.lower(F.regexp_extract(form, r"@(.*)\.[^.]*$", 1))
+
+
+def surrogate(key: str, what: Column, form: Column, draw: Column, seed: Column | None = None, host_seed: Column | None = None) -> Column:
+    """The surrogate of a canonical form, in canonical form.
+
+    ``seed`` and ``host_seed`` are columns that hold the keyed hashes of the form and of an e-mail's host; made
+    here, they would be hashed anew for every character.
+    """
+    host = _host(form)
+    seed = _seed(key, what, form) if seed is None else seed
+    host_seed = _seed(key, F.lit("host"), host) if host_seed is None else host_seed
+    number = lambda i: _draw(seed, draw, i)
     wider = F.greatest(draw - (DRAWS - 1), F.lit(0)) * WIDER
     source = F.concat(form, F.repeat(F.lit("0"), wider))
     same_class = F.array_join(F.transform(_chars(source), lambda c, i: _letter(c, number(i))), "")
@@ -188,8 +204,7 @@ def surrogate(key: str, what: Column, form: Column, draw: Column) -> Column:
         F.when(i == 0, F.lit(50) + number(i) % 8).otherwise(F.lit(48) + number(i) % 10))), "")
     size = F.length(source)
     payload = F.concat(F.left(form, F.lit(1)), F.substring(digits, F.lit(2), size - 2))
-    host = F.lower(F.regexp_extract(form, r"@(.*)\.[^.]*$", 1))
-    new_host = F.array_join(F.transform(_chars(host), lambda c, i: _letter(c, _draw(key, F.lit("host"), host, F.lit(0), i))), "")
+    new_host = F.array_join(F.transform(_chars(host), lambda c, i: _letter(c, _draw(host_seed, F.lit(0), i))), "")
     mailbox = F.concat(F.regexp_extract(form, "^(.*)@", 1), F.repeat(F.lit("0"), wider))
     local = F.array_join(F.transform(_chars(mailbox), lambda c, i: _letter(c, number(i))), "")
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.lit(1) + number(i) % 254).cast("string")), ".")
@@ -225,15 +240,18 @@ def dictionary(forms: DataFrame, key: str) -> DataFrame:
     beyond ``DRAWS``, so the loop ends for any number of forms.
     """
     strict = ~F.col("kind").startswith("given")
-    drawn = surrogate(key, F.col("kind"), F.col("form"), F.col("draw"))
-    state = kept(forms.select("kind", "form", F.lit(0).alias("draw")).distinct().withColumn("new", drawn), "private-drawn")
+    drawn = surrogate(key, F.col("kind"), F.col("form"), F.col("draw"), F.col("seed"), F.col("host"))
+    host = F.when(F.col("kind") == "email", _seed(key, F.lit("host"), _host(F.col("form"))))
+    seeded = forms.select("kind", "form", F.lit(0).alias("draw")).distinct().withColumns({"seed": _seed(key, F.col("kind"), F.col("form")), "host": host})
+    # Kept first, so that no step takes the hashes apart again.
+    state = kept(kept(seeded, "private-seeded").withColumn("new", drawn), "private-drawn")
     while True:
         order = Window.partitionBy("kind", "new").orderBy("form")
         ranked = state.withColumn("_taken", F.row_number().over(order) > 1)
         real = state.select(F.col("kind").alias("_kind"), F.col("form").alias("_form"))
         judged = ranked.join(real, (F.col("kind") == F.col("_kind")) & (F.col("new") == F.col("_form")), "left")
         again = strict & (F.col("_taken") | F.col("_form").isNotNull())
-        judged = kept(judged.select("kind", "form", "new", "draw", again.alias("_again")), "private-judged")
+        judged = kept(judged.select("kind", "form", "new", "draw", "seed", "host", again.alias("_again")), "private-judged")
         if judged.where("_again").isEmpty():
             return judged.select("kind", "form", "new")
         redrawn = judged.where("_again").withColumn("draw", F.col("draw") + 1).withColumn("new", drawn)
@@ -249,14 +267,14 @@ def replacements(entities: DataFrame, key: str) -> DataFrame:
     news = F.transform("_news", lambda n: n["new"])
     made = known.select("entity", "kind", "label", F.length(F.col("parts")[0]["form"]).alias("_size"))
     made = made.join(found, "entity").withColumn("_new", F.array_join(news, " "))
+    numeric = F.col("kind").isin("phone", "card", "identity")
     # Digits go into the entity's own form from the right; a country code in front stays, and what a longer
     # surrogate has more goes before the first digit replaced.
-    made = made.withColumn("_more", F.length("_new") - F.col("_size")).withColumn("_left", F.transform(
-        _chars(F.col("entity")), lambda c, i: F.struct(c.alias("c"), F.length(_digits(F.substring("entity", i + 2, F.lit(1000)))).alias("after"))))
+    made = made.withColumn("_more", F.length("_new") - F.col("_size")).withColumn("_left", F.when(numeric, F.transform(
+        _chars(F.col("entity")), lambda c, i: F.struct(c.alias("c"), F.length(_digits(F.substring("entity", i + 2, F.length("entity")))).alias("after")))))
     filled = F.transform("_left", lambda x: F.when(
         x["c"].rlike("[0-9]") & (x["after"] == F.col("_size") - 1), F.left("_new", F.col("_more") + 1)).when(
         x["c"].rlike("[0-9]") & (x["after"] < F.col("_size")), F.substring("_new", F.col("_more") + F.col("_size") - x["after"], F.lit(1))).otherwise(x["c"]))
-    numeric = F.col("kind").isin("phone", "card", "identity")
     return made.select("entity", F.when(numeric, F.array_join(filled, "")).otherwise(F.concat("label", "_new")).alias("replacement"))
 
 
@@ -272,12 +290,15 @@ def replace_private(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     pieces = held.select(digest.alias("_key"), F.explode(F.array_distinct("_found")).alias("entity")).distinct()
     pieces = kept(pieces.where(genuine(F.col("entity"))), "private-found")
     new = kept(replacements(pieces.select("entity").distinct(), key), "private-replacements")
-    maps = pieces.join(new, "entity").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("_map"))
+    octets = F.octet_length("entity") + F.octet_length("replacement")
+    maps = pieces.join(new, "entity").groupBy("_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("_map"), F.sum(octets.cast("long")).alias("_octets"))
     maps = kept(maps, "private-maps")
+    octets = maps.agg(F.coalesce(F.sum(F.col("_octets") + 400), F.lit(0))).first()[0]
     found = docs.withColumn("_found", find(F.col("text")))
     # Texts without entities get keys of their own that match nothing and spread evenly.
     found = found.withColumn("_hash", F.when(F.size("_found") > 0, digest).otherwise(F.xxhash64("text").cast("string")))
-    ready = found.join(small(maps, 400), F.col("_hash") == F.col("_key"), "left")
+    ready = found.join(small(maps.drop("_octets"), 1, octets), F.col("_hash") == F.col("_key"), "left")
     new_ones = F.transform("_found", lambda e: F.coalesce(F.try_element_at(F.col("_map"), e), e))
     between = F.split("text", PATTERN, -1)
     woven = F.array_join(F.flatten(F.zip_with(between, new_ones, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")

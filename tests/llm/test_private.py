@@ -1,6 +1,7 @@
 """Surrogates: kinds and forms, coreference, distinctness, and untouched clean texts."""
 
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -107,6 +108,17 @@ def test_other_numbers_and_words_stay(spark):
     assert [found[i]["n_entities"] for i in range(len(texts))] == [0] * len(texts)
 
 
+def test_long_secrets_are_replaced_to_their_ends(spark):
+    long = "Ab3/" * 300_000
+    start = time.perf_counter()
+    found = replaced(spark, [f"so token={long}XYZW end", f"so token={long}XYZV end"])
+    assert time.perf_counter() - start < 120
+    new = [found[i]["text"] for i in range(2)]
+    assert all(len(n) == len(long) + 17 and n.startswith("so token=") and n.endswith(" end") for n in new)
+    assert new[0] != new[1] and not any("Ab3/Ab3/" in n or "XYZ" in n[-8:] for n in new)
+    assert re.fullmatch(r"([A-Z][a-z]\d/)+[A-Z]{4}", new[0][9:-4])
+
+
 def test_full_form_spaces_get_longer_surrogates(spark):
     mails = [f"{c}@x.com" for c in "abcdefghijklmnopqrstuvwxyz"] + ["-@-.com"]
     phones = [f"+{i} {j:02d} {k:02d}" for i in range(1, 3) for j in range(100) for k in range(100)]
