@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetspan.functions.formulas import TINY
+from fleetspan.shared import numbered
 
 
 def feature_importance(df: DataFrame) -> DataFrame:
@@ -79,32 +80,41 @@ def permutation_importance(
     features,
     predict: Callable[[np.ndarray], np.ndarray],
     keys,
-    rows_per_block: int = 5_000,
+    rows_per_block: int | None = None,
     order: Callable[[int], Column] | None = None,
 ) -> DataFrame:
     """How much the RMSE of ``predict`` grows when one feature's series is exchanged among windows.
 
-    ``windows`` holds ``keys``, ``window_end``, ``x`` and ``y``.  Windows are dealt into random
-    blocks by the hash of their key; inside a block each feature is passed on by one place in an
-    order of its own, so all features need one shuffle together and no block outgrows a task.
-    ``order(i)`` replaces the hash that gives the order of feature ``i``, and for -1 the block.
+    ``windows`` holds ``keys``, ``window_end``, ``x`` and ``y``.  Each feature is passed on by one
+    place in an order of its own over all windows, the last one's to the first: windows are numbered
+    by ranges and joined to the place before, once per feature.  ``order(i)`` replaces the hash of the
+    key that gives the order of feature ``i``.
+
+    With ``rows_per_block`` windows are dealt into random blocks of about that size (``order(-1)``) and
+    exchanged inside them: one shuffle for all features, but another figure, by the number of blocks.
     """
     features = list(features)
     identity = [*keys, "window_end"]
     windows = windows.where(F.col("y").isNotNull())
     hashed = order or (lambda i: F.xxhash64(*identity, F.lit(i)))
-    blocks = max(1, windows.count() // rows_per_block)
+    rows = windows.count()
     dealt = windows.select(
-        F.pmod(hashed(-1), F.lit(blocks)).alias("_block"),
         *identity,
         "x",
         F.col("y").cast("double").alias("y"),
         *[hashed(i).alias(f"_order_{i}") for i in range(len(features))],
     )
     exchanged = dealt
+    if rows_per_block is not None:
+        exchanged = dealt.withColumn("_block", F.pmod(hashed(-1), F.lit(max(1, rows // rows_per_block))))
     for i in range(len(features)):
-        places = Window.partitionBy("_block").orderBy(f"_order_{i}", *identity)
         series = F.transform("x", lambda row: row[i])
+        if rows_per_block is None:
+            placed = numbered(exchanged, [f"_order_{i}", *identity])
+            passed = placed.select(((F.col("_index") + 1) % max(1, rows)).alias("_next"), series.alias(f"_series_{i}"))
+            exchanged = placed.join(passed, F.col("_index") == F.col("_next")).drop("_index", "_next")
+            continue
+        places = Window.partitionBy("_block").orderBy(f"_order_{i}", *identity)
         everyone = places.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         exchanged = exchanged.withColumn(
             f"_series_{i}", F.coalesce(F.lag(series).over(places), F.last(series).over(everyone))

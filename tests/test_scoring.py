@@ -120,3 +120,16 @@ def test_permutation_importance_against_brute_force(spark):
         block = block.sort_values("place")
         total += ((np.roll(block["last"], 1) - block["y"]) ** 2).sum()
     assert ranked["sensor_1"]["importance"] == pytest.approx(np.sqrt(total / len(keyed)))
+
+
+def test_permutation_importance_exchanges_over_all_windows(spark):
+    made = spark.range(10_400).select(
+        F.lit("FD001").alias("dataset_id"), (F.col("id") % 40).alias("unit"), F.col("id").alias("window_end"),
+        F.array(F.array(F.lit(0.0), F.lit(1.0)), F.array(F.sin("id"), F.lit(1.0))).alias("x"), F.sin("id").alias("y"),
+    )
+    found = importance.permutation_importance(made, ["sensor_1", "sensor_2"], lambda x: x[:, -1, 0], KEYS).collect()
+    keyed = made.select(F.xxhash64(*KEYS, "window_end", F.lit(0)).alias("place"), "y").toPandas().sort_values("place")
+    expected = np.sqrt(((np.roll(keyed["y"], 1) - keyed["y"]) ** 2).mean())
+    assert {row["feature"]: row["importance"] for row in found} == {"sensor_1": pytest.approx(expected, rel=1e-12), "sensor_2": 0.0}
+    empty = importance.permutation_importance(made.limit(0), ["sensor_1"], lambda x: x[:, -1, 0], KEYS).collect()
+    assert [row["importance"] for row in empty] == [None]
