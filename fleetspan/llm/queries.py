@@ -109,7 +109,7 @@ def run_figures(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.size("runs").cast("long").alias("n_runs"),
         "_best.*",
-        F.floor(1000 * F.col("_best.length") / F.col("_best.period")).alias("exponent_milli"),
+        F.expr("(1000 * _best.length) div _best.period").alias("exponent_milli"),
         F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
         F.col("collapsed").alias("collapsed_sha256"),
     )
