@@ -3,16 +3,16 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetspan.operators.layout import StoredSeries, pieces_of
 from fleetspan.operators.quantiles import percentiles
 from fleetspan.operators.scaling import without_nan
 from fleetspan.operators.series import (
     ROWS_PER_TASK,
-    ascending,
     long_series,
     moment,
     number_long,
-    over_series,
     split_long,
+    tie_break,
 )
 from fleetspan.schema import KEYS, TIME, feature_columns
 from fleetspan.shared import attach, match, settle
@@ -21,7 +21,7 @@ STRATEGIES = ("drop", "interpolate", "fill_mean", "fill_median")
 
 
 def engineered_features(
-    df: DataFrame,
+    df: DataFrame | StoredSeries,
     features=None,
     rolling: int | None = 5,
     lags=(1, 2, 3),
@@ -33,7 +33,7 @@ def engineered_features(
 ) -> DataFrame:
     """Add rolling mean, deviation, minimum and maximum, lagged values and first differences.
 
-    All of them share one shuffle and one sort.
+    All of them share one shuffle and one sort; from :class:`StoredSeries` no reading is shuffled.
     """
     features = list(features or feature_columns(df))
 
@@ -54,7 +54,7 @@ def engineered_features(
         return made
 
     reach = max([rolling - 1 if rolling else 0, *lags, 1 if diff else 0])
-    return over_series(df, keys, [time, *ties], columns, before=reach, rows_per_task=rows_per_task)
+    return pieces_of(df, list(df.columns), keys, [time, *ties], reach, 0, rows_per_task).over(columns)
 
 
 def rolling_features(df: DataFrame, features=None, rolling: int = 5, **options) -> DataFrame:
@@ -82,8 +82,9 @@ def _interpolate(df: DataFrame, features, keys, time, ties, rows_per_task: int)
 
     def fill(rows: DataFrame, group, carried: bool) -> DataFrame:
         # The backward look runs over the reversed order: a frame that only ever grows is linear.
-        upward = Window.partitionBy(*group).orderBy(*ascending(order))
-        downward = Window.partitionBy(*group).orderBy(*[F.col(name).desc_nulls_first() for name in order])
+        along = [F.col("_rn")] if carried else [*map(F.col, order), tie_break(df)]
+        upward = Window.partitionBy(*group).orderBy(*[column.asc_nulls_last() for column in along])
+        downward = Window.partitionBy(*group).orderBy(*[column.desc_nulls_first() for column in along])
         grown = (Window.unboundedPreceding, Window.currentRow)
         made = {}
         for i, name in enumerate(features):

@@ -4,10 +4,13 @@ A plain window puts all rows of one key into one task.  Here the rows per key ar
 first (map-side combined, keys only).  Keys within the bound take the plain window: one
 shuffle.  Rows of longer series are numbered by ranges of their keys and order, whatever the
 types, and framed in chunks of bounded size.
+
+Rows that are equal in their order columns follow each other by a hash of their content, in short
+and in long series alike, so that neither partitioning nor size decides between them.
 """
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -65,6 +68,16 @@ def content(df: DataFrame) -> list[str]:
     return [field.name for field in df.schema if not isinstance(field.dataType, (T.MapType, T.VariantType))]
 
 
+def tie_break(df: DataFrame) -> Column:
+    """What comes last in the order of a series' rows."""
+    return F.xxhash64(*content(df))
+
+
+def in_order(df: DataFrame, order) -> list[Column]:
+    """The order of a series' rows: order columns, then content."""
+    return [*ascending(order), tie_break(df).asc()]
+
+
 def number_long(df: DataFrame, keys, order, rows_per_piece: int) -> DataFrame:
     """``df`` with ``_rn`` (1-based position in the series) and ``_n`` (length).
 
@@ -73,7 +86,7 @@ def number_long(df: DataFrame, keys, order, rows_per_piece: int) -> DataFrame:
     are counted first, numbered as one weighted row, and written out again in blocks.
     """
     plain = content(df)
-    along = [*ascending(keys), *ascending(order), F.xxhash64(*plain).asc()]
+    along = [*ascending(keys), *in_order(df, order)]
     copied = df.groupBy(F.xxhash64(*plain)).count().agg(F.max("count")).first()[0] or 0
     if copied > rows_per_piece and len(plain) == len(df.columns):
         counted = accumulated(df.groupBy(*plain).agg(F.count(F.lit(1)).alias("_copies")), along, "_copies")
@@ -102,7 +115,7 @@ def number_rows(
             renamed = renamed.withColumn(length, F.col("_n").cast("long"))
         return renamed.select(*df.columns, *wanted)
 
-    series = Window.partitionBy(*keys).orderBy(*ascending(order))
+    series = Window.partitionBy(*keys).orderBy(*in_order(df, order))
 
     def plain(rows: DataFrame) -> DataFrame:
         return rows.withColumns(
@@ -119,6 +132,83 @@ def number_rows(
     return named(plain(ordinary)).unionByName(named(number_long(hot, keys, order, long.rows_per_piece)))
 
 
+@dataclass(frozen=True)
+class Pieces:
+    """Series ready for frames: ordinary ones whole, long ones in chunks that overlap.
+
+    ``ordinary`` is in the order of ``along`` within ``keys``; where ``numbered``, it has ``_rn`` (position in the
+    series) and ``_n`` (series length).  ``chunks``, if there are any, has both, ``_chunk`` (the chunk that a row
+    belongs to) and ``_copy`` (the chunk that this copy serves).
+    """
+
+    keys: list[str]
+    ordinary: DataFrame
+    along: list[Column]
+    numbered: bool = False
+    chunks: DataFrame | None = None
+
+    def select(self, *columns) -> "Pieces":
+        """The same series with other columns; the ones for places stay."""
+        own = ["_rn", "_n"] if self.numbered else []
+        chunks = None if self.chunks is None else self.chunks.select(*columns, "_rn", "_n", "_chunk", "_copy")
+        return replace(self, ordinary=self.ordinary.select(*columns, *own), chunks=chunks)
+
+    def over(self, columns: Callable[[WindowSpec], dict[str, Column]], keep: Column | None = None) -> DataFrame:
+        """Add ``columns(window)``; ``keep`` may filter on ``_rn`` and ``_n``."""
+        keep = F.lit(True) if keep is None else keep
+        series = Window.partitionBy(*self.keys).orderBy(*self.along)
+        places = {} if self.numbered else {
+            "_rn": F.row_number().over(series),
+            "_n": F.count(F.lit(1)).over(series.rowsBetween(*WHOLE)),
+        }
+        whole = self.ordinary.withColumns({**places, **columns(series)}).where(keep).drop("_rn", "_n")
+        if self.chunks is None:
+            return whole
+        piece = Window.partitionBy(*self.keys, "_copy").orderBy("_rn")
+        done = self.chunks.withColumns(columns(piece)).where(keep & (F.col("_copy") == F.col("_chunk")))
+        return whole.unionByName(done.drop("_chunk", "_copy", "_rn", "_n"))
+
+    def sorted(self) -> list[DataFrame]:
+        """Every part with its series together and in order: ``_series`` tells them apart, ``_own`` marks no copies.
+
+        It is a window that asks for both, so that Spark can't take either away; its order lasts in what follows
+        row by row.
+        """
+        series = Window.partitionBy(*self.keys).orderBy(*self.along)
+        made = [self.ordinary.withColumns({"_series": F.xxhash64(*self.keys), "_own": F.row_number().over(series) > 0})]
+        if self.chunks is not None:
+            piece = Window.partitionBy(*self.keys, "_copy").orderBy("_rn")
+            own = (F.col("_copy") == F.col("_chunk")) & (F.row_number().over(piece) > 0)
+            made.append(self.chunks.withColumns({"_series": F.xxhash64(*self.keys, "_copy"), "_own": own}))
+        return made
+
+
+def overlapping(numbered_rows: DataFrame, size: int, before: int, after: int) -> DataFrame:
+    """Numbered rows with ``_chunk``, and a copy for every chunk whose frames reach them (``_copy``)."""
+    size = max(size, before + after)
+    place = (F.col("_rn") - 1) % size
+    chunk = F.floor((F.col("_rn") - 1) / size)
+    copies = F.array_compact(
+        F.array(
+            F.col("_chunk"),
+            F.when(place >= size - before, F.col("_chunk") + 1),
+            F.when((place < after) & (F.col("_chunk") > 0), F.col("_chunk") - 1),
+        )
+    )
+    return numbered_rows.withColumn("_chunk", chunk).withColumn("_copy", F.explode(copies))
+
+
+def in_pieces(df: DataFrame, keys, order, before: int = 0, after: int = 0, rows_per_task: int = ROWS_PER_TASK) -> Pieces:
+    """Series of ``df`` for frames that reach at most ``before`` rows back and ``after`` ahead."""
+    along = in_order(df, order)
+    long = long_series(df, keys, rows_per_task)
+    if long is None:
+        return Pieces(list(keys), df, along)
+    ordinary, hot = split_long(df, keys, long)
+    chunks = overlapping(number_long(hot, keys, order, long.rows_per_piece), long.rows_per_piece, before, after)
+    return Pieces(list(keys), ordinary, along, chunks=chunks)
+
+
 def over_series(
     df: DataFrame,
     keys,
@@ -133,46 +223,7 @@ def over_series(
 
     ``keep`` may filter on ``_rn`` (position in the series) and ``_n`` (series length).
     """
-    keep = F.lit(True) if keep is None else keep
-    series = Window.partitionBy(*keys).orderBy(*ascending(order))
-
-    def plain(rows: DataFrame) -> DataFrame:
-        return rows.withColumns(
-            {
-                "_rn": F.row_number().over(series),
-                "_n": F.count(F.lit(1)).over(series.rowsBetween(*WHOLE)),
-                **columns(series),
-            }
-        ).where(keep)
-
-    long = long_series(df, keys, rows_per_task)
-    if long is None:
-        return plain(df).drop("_rn", "_n")
-    ordinary, hot = split_long(df, keys, long)
-
-    # Every chunk also gets the rows its first and last frames reach into.
-    size = max(long.rows_per_piece, before + after)
-    place = (F.col("_rn") - 1) % size
-    chunk = F.floor((F.col("_rn") - 1) / size)
-    copies = F.array_compact(
-        F.array(
-            F.col("_chunk"),
-            F.when(place >= size - before, F.col("_chunk") + 1),
-            F.when((place < after) & (F.col("_chunk") > 0), F.col("_chunk") - 1),
-        )
-    )
-    pieces = (
-        number_long(hot, keys, order, long.rows_per_piece)
-        .withColumn("_chunk", chunk)
-        .withColumn("_copy", F.explode(copies))
-    )
-    piece = Window.partitionBy(*keys, "_copy").orderBy("_rn")
-    done = (
-        pieces.withColumns(columns(piece))
-        .where(keep & (F.col("_copy") == F.col("_chunk")))
-        .drop("_chunk", "_copy")
-    )
-    return plain(ordinary).unionByName(done).drop("_rn", "_n")
+    return in_pieces(df, keys, order, before, after, rows_per_task).over(columns, keep)
 
 
 def last_rows(df: DataFrame, keys, order, k: int) -> DataFrame:
@@ -181,5 +232,5 @@ def last_rows(df: DataFrame, keys, order, k: int) -> DataFrame:
     The filter on the row number lets Spark cut every map task to ``k`` rows per key before the
     shuffle, so the length of a series does not matter.
     """
-    newest = Window.partitionBy(*keys).orderBy(*[F.col(name).desc_nulls_first() for name in order])
+    newest = Window.partitionBy(*keys).orderBy(*[F.col(name).desc_nulls_first() for name in order], tie_break(df).desc())
     return df.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= k)

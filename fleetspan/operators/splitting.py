@@ -30,20 +30,33 @@ def split_by_engine(
     the cut is looked up once; after that a reading is assigned by its own hash, without a
     join or a shuffle of the readings.
     """
+    return df.withColumn("split", engine_side(engines(df, keys), share, seed, keys, order, rows_per_task))
+
+
+def engine_side(
+    fleet: DataFrame,
+    share: float = VALIDATION_SHARE,
+    seed: int = SEED,
+    keys=KEYS,
+    order: Callable[..., Column] | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> Column:
+    """``train`` or ``val`` for the readings of a fleet whose engines are given, one row each."""
     hashed = F.xxhash64(*keys, F.lit(seed)) if order is None else order(*map(F.col, keys))
-    fleet = settle(engines(df, keys).withColumn("_hash", hashed))
+    schema = fleet.schema
+    fleet = settle(fleet.withColumn("_hash", hashed))
     wanted = int(fleet.rows * share)
     if wanted == 0:
-        return df.withColumn("split", F.lit("train"))
+        return F.lit("train")
     cut = value_at(fleet.df, "_hash", wanted, rows_per_task)
     inside = F.col("_hash") < F.lit(cut)
     below = fleet.df.where(inside).count()
     # Engines that share the hash at the cut are taken in key order until the side is full.
     same = fleet.df.where(F.col("_hash") == F.lit(cut)).orderBy(*keys).limit(wanted - below)
     last = same.orderBy(*[F.col(key).desc() for key in keys]).first()
-    place = F.struct(*[F.lit(last[key]).cast(df.schema[key].dataType).alias(key) for key in keys])
+    place = F.struct(*[F.lit(last[key]).cast(schema[key].dataType).alias(key) for key in keys])
     chosen = (hashed < F.lit(cut)) | ((hashed == F.lit(cut)) & (F.struct(*keys) <= place))
-    return df.withColumn("split", F.when(chosen, F.lit("val")).otherwise(F.lit("train")))
+    return F.when(chosen, F.lit("val")).otherwise(F.lit("train"))
 
 
 def split_by_share(

@@ -1,19 +1,16 @@
 """Sliding windows of consecutive readings."""
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetspan.operators.series import ROWS_PER_TASK, last_rows, moment, number_rows, over_series
+from fleetspan.operators.layout import StoredSeries, pieces_of
+from fleetspan.operators.series import ROWS_PER_TASK, last_rows, moment, number_rows
+from fleetspan.operators.summaries import summarised
 from fleetspan.schema import HORIZON, KEYS, TARGET, TIME, WINDOW, remaining_columns
 
 # The row limit up to which Spark cuts ranked rows before the shuffle.
 RANK_LIMIT = 1000
-# Windows measured at a time: bounds the memory of a Python worker.
-WINDOWS_AT_ONCE = 512
 
 
 def _vector(features) -> Column:
@@ -21,7 +18,7 @@ def _vector(features) -> Column:
 
 
 def sliding_windows(
-    df: DataFrame,
+    df: DataFrame | StoredSeries,
     window: int = WINDOW,
     horizon: int = HORIZON,
     features=None,
@@ -30,6 +27,7 @@ def sliding_windows(
     target=TARGET,
     ties=(),
     rows_per_task: int = ROWS_PER_TASK,
+    keep=(),
 ) -> DataFrame:
     """Every run of ``window`` readings with the target ``horizon`` readings later.
 
@@ -37,26 +35,26 @@ def sliding_windows(
     and ``y``.  Readings follow each other in the order of ``time``; gaps do not matter.
     Engines with fewer than ``window + horizon`` readings give no window.  ``target=None`` leaves
     ``y`` out.  Where an engine can have several readings at one time, ``ties`` names the columns
-    that put them in order.
+    that put them in order; what is equal in these, too, goes by content.  ``keep`` names columns of the
+    window's last reading to add.  From :class:`StoredSeries` no reading is shuffled.
     """
     features = list(features or remaining_columns(df, keys, time, target))
     targets = [target] if target else []
-    rows = df.select(*keys, time, *ties, *targets, _vector(features).alias("_row"))
+    wanted = [*keys, *keep, time, *ties, *targets, _vector(features).alias("_row")]
+    pieces = pieces_of(df, wanted, keys, [time, *ties], window - 1, horizon, rows_per_task)
 
     def columns(series):
         made = {"x": F.collect_list("_row").over(series.rowsBetween(1 - window, 0))}
         return {**made, "y": F.lead(target, horizon).over(series)} if target else made
 
     full = (F.col("_rn") >= window) & (F.col("_rn") <= F.col("_n") - horizon)
-    cut = over_series(
-        rows, keys, [time, *ties], columns, window - 1, horizon, full, rows_per_task
-    )
+    cut = pieces.over(columns, full)
     answer = [F.col("y").cast("double").alias("y")] if target else []
-    return cut.select(*keys, F.col(time).alias("window_end"), "x", *answer)
+    return cut.select(*keys, *keep, F.col(time).alias("window_end"), "x", *answer)
 
 
 def window_summaries(
-    df: DataFrame,
+    df: DataFrame | StoredSeries,
     window: int = WINDOW,
     horizon: int = HORIZON,
     features=None,
@@ -65,65 +63,46 @@ def window_summaries(
     target=TARGET,
     ties=(),
     rows_per_task: int = ROWS_PER_TASK,
+    keep=(),
 ) -> DataFrame:
     """Mean, deviation, slope and last value of every feature over each sliding window.
 
-    The windows of :func:`sliding_windows`; missing values are left out of the measures.  The
-    measures are taken from whole batches of windows at once: as aggregates over sliding frames
-    Spark would work through every frame again for each of them.
+    The windows of :func:`sliding_windows`; missing values are left out of the measures.  Every reading goes to
+    Python once, sorted, and running moments give the measures: as aggregates over sliding frames Spark would work
+    through every frame again for each of them.  ``keep`` names columns of the window's last reading to add.
     """
     features = list(features or remaining_columns(df, keys, time, target))
-    targets = [target] if target else []
-    rows = df.select(
-        *keys, time, *ties, *targets, moment(df, time).alias("_time"), *features
-    )
-    made = sliding_windows(rows, window, horizon, ["_time", *features], keys, time, target, ties, rows_per_task)
-    measured = made.withColumn("_measures", _measures(window, len(features))(F.flatten("x")))
-    names = [f"{name}_{part}" for part in ("mean", "std", "slope") for name in features]
-    value = lambda i: F.get("_measures", F.lit(i))
-    return measured.select(
+    at = moment(df, time)
+    wanted = [
         *keys,
-        "window_end",
-        *[F.when(~F.isnan(value(i)), value(i)).alias(name) for i, name in enumerate(names)],
-        *[F.element_at("x", -1)[i + 1].alias(f"{name}_last") for i, name in enumerate(features)],
-        *(["y"] if target else []),
+        *keep,
+        time,
+        *ties,
+        at.alias("_time"),
+        *[F.col(name) for name in features],
+        *([F.col(target).alias("_y")] if target else []),
+    ]
+    pieces = pieces_of(df, wanted, keys, [time, *ties], window - 1, horizon, rows_per_task)
+    kinds = pieces.ordinary.schema
+    number = T.DoubleType()
+    schema = T.StructType(
+        [kinds[name] for name in (*keys, *keep)]
+        + [T.StructField("window_end", kinds[time].dataType)]
+        + [T.StructField(f"{name}_{part}", number) for part in ("mean", "std", "slope") for name in features]
+        + [T.StructField(f"{name}_last", number) for name in features]
+        + ([T.StructField("y", number)] if target else [])
     )
-
-
-def _measures(window: int, width: int):
-    """A function of flat windows (time first) to the means, deviations and slopes in one array."""
-
-    def summarise(x: np.ndarray) -> np.ndarray:
-        moment, values = x[:, :, :1], x[:, :, 1:]
-        known = ~(np.isnan(values) | np.isnan(moment))
-        present = ~np.isnan(values)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            n = present.sum(axis=1)
-            mean = np.where(present, values, 0.0).sum(axis=1) / n
-            apart = np.where(present, values - mean[:, None, :], 0.0)
-            deviation = np.sqrt((apart * apart).sum(axis=1) / n)
-            both = known.sum(axis=1)
-            time_mean = np.where(known, moment, 0.0).sum(axis=1) / both
-            value_mean = np.where(known, values, 0.0).sum(axis=1) / both
-            time_apart = np.where(known, moment - time_mean[:, None, :], 0.0)
-            value_apart = np.where(known, values - value_mean[:, None, :], 0.0)
-            slope = (time_apart * value_apart).sum(axis=1) / (time_apart * time_apart).sum(axis=1)
-        return np.concatenate([mean, deviation, slope], axis=1)
-
-    @F.pandas_udf("array<double>")
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            found = []
-            for start in range(0, len(batch), WINDOWS_AT_ONCE):
-                part = np.stack(batch.iloc[start : start + WINDOWS_AT_ONCE].to_numpy()).astype(float)
-                found.extend(summarise(part.reshape(-1, window, width + 1)))
-            yield pd.Series(found)
-
-    return measure
+    measure = summarised([*keys, *keep], window, horizon, features, bool(target), schema)
+    made = None
+    for part in pieces.sorted():
+        rows = part.select(*keys, *keep, "_series", "_own", F.col(time).alias("_end"), "_time", *features, *(["_y"] if target else []))
+        measured = rows.mapInArrow(measure, schema)
+        made = measured if made is None else made.unionByName(measured)
+    return made
 
 
 def latest_windows(
-    df: DataFrame,
+    df: DataFrame | StoredSeries,
     window: int = WINDOW,
     features=None,
     keys=KEYS,
@@ -134,12 +113,21 @@ def latest_windows(
     """The last ``window`` readings of every engine that has so many: ``keys, window_end, x``."""
     features = list(features or remaining_columns(df, keys, time))
     order = [time, *ties]
-    rows = df.select(*keys, *order, _vector(features).alias("_row"))
+    wanted = [*keys, *order, _vector(features).alias("_row")]
+    if isinstance(df, StoredSeries):
+        newest = df.tail(window).select(*wanted, "_rn", "_n")
+        tail = newest.withColumn("_back", F.col("_n") - F.col("_rn") + 1)
+        return _gathered(tail, keys, time, window)
+    rows = df.select(*wanted)
     if window <= RANK_LIMIT:
         tail = last_rows(rows, keys, order, window)
     else:
         numbered = number_rows(rows, keys, order, "_rn", "_n", rows_per_task)
         tail = numbered.withColumn("_back", F.col("_n") - F.col("_rn") + 1).where(F.col("_back") <= window)
+    return _gathered(tail, keys, time, window)
+
+
+def _gathered(tail: DataFrame, keys, time, window: int) -> DataFrame:
     gathered = tail.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("at"), F.col(time).alias("end"), F.col("_row").alias("row")))).alias("_rows")
     )

@@ -13,6 +13,7 @@ from fleetspan.operators import (
     history,
     importance,
     labels,
+    layout,
     profiling,
     scaling,
     scoring,
@@ -20,7 +21,7 @@ from fleetspan.operators import (
     windows,
 )
 from fleetspan.plans import views
-from fleetspan.plans.prepare import alert_stream, prepare_fleet, prepare_windows
+from fleetspan.plans.prepare import alert_stream, prepare_layout, prepare_windows
 from fleetspan.plans.views import GAPPY_SQL, LABELLED_SQL, PREDICTIONS_SQL, READINGS_SQL, WEIGHTS_SQL
 from fleetspan.schema import ALERT_THRESHOLD, CRITICAL_RUL
 from fleetspan.sources import tables, text
@@ -554,7 +555,7 @@ def prepared_windows(spark, folder):
     """Preparation as a whole: labels, scaling, engine split and windows of all three splits."""
     names = ["sensor_1", "sensor_2"]
     rows = views.readings(spark, folder)
-    fleet = prepare_fleet(rows, rows, views.rul_at_end(spark, folder), features=names, order=_multiplicative_hash)
+    fleet = prepare_layout(rows, rows, views.rul_at_end(spark, folder), features=names, order=_multiplicative_hash)
     made = prepare_windows(fleet, features=names)
     counted = made.groupBy("split", "dataset_id", "unit").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.count("y").alias("known"), F.sum(_column_sum(0)).alias("total")
@@ -568,6 +569,67 @@ def prepared_windows(spark, folder):
     return rounded(summary, "avg_target", "avg_total")
 
 
+# Small enough that every engine of the tables is cut.
+SMALL_PIECE = 40
+
+
+@query(
+    f"""
+WITH {LABELLED_SQL}, {STEPS_SQL}
+SELECT {SHAPES_SQL}, p.s_suppkey % 120 + y AS y FROM steps AS s LEFT JOIN supplier AS p ON p.s_suppkey = s.unit WHERE rn >= 30 AND rn <= n - 1
+"""
+)
+def stored_windows(spark, folder):
+    """Windows of truncated engines from a layout that is opened again, its engines cut."""
+    target = views.run_folder(spark)
+    rows = views.readings(spark, folder).select("dataset_id", "unit", "cycle", "sensor_1", "sensor_2")
+    layout.store_series(rows, target, rul_at_end=views.rul_at_end(spark, folder), rows_per_task=SMALL_PIECE)
+    stored = layout.open_series(spark, target).labelled(truncated=F.lit(True))
+    return _shape(windows.sliding_windows(stored, features=["sensor_1", "sensor_2"]), "y")
+
+
+@query(f"WITH {READINGS_SQL} SELECT dataset_id, unit, max(cycle) AS max_cycle FROM readings GROUP BY dataset_id, unit")
+def stored_lifetimes(spark, folder):
+    rows = views.readings(spark, folder).select("dataset_id", "unit", "cycle", "sensor_1")
+    return layout.store_series(rows).lifetimes()
+
+
+TIED_SQL = f"""
+{READINGS_SQL},
+-- Ten readings share a time.
+tied AS (SELECT dataset_id, unit, cycle // 10 AS cycle, sensor_1 FROM readings)
+"""
+
+
+@query(
+    f"""
+WITH {TIED_SQL},
+parts AS (SELECT dataset_id, unit, cycle, min(sensor_1) AS low, max(sensor_1) AS high, sum(sensor_1) AS total, count(*) AS n FROM tied GROUP BY ALL)
+SELECT dataset_id, unit, cycle, n, {r("total", "total")}, n AS windows, true AS agree FROM parts
+"""
+)
+def tied_windows(spark, folder):
+    """Windows over tied readings, with series whole and cut: both give the same, and every reading ends one window."""
+    rows = views.readings(spark, folder).select("dataset_id", "unit", F.floor((F.col("cycle")) / 10).alias("cycle"), "sensor_1")
+    spread = rows.repartition(7, "sensor_1")
+
+    def ends(df, rows_per_task):
+        made = windows.sliding_windows(df, 1, 0, ["sensor_1"], target=None, rows_per_task=rows_per_task)
+        longer = windows.sliding_windows(df, 7, 0, ["sensor_1"], target=None, rows_per_task=rows_per_task)
+        last = made.groupBy("dataset_id", "unit", "window_end").agg(
+            F.count(F.lit(1)).alias("windows"), F.sum(F.col("x")[0][0]).alias("total"))
+        digest = longer.groupBy("dataset_id", "unit", "window_end").agg(F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("digest"))
+        return last.join(digest, ["dataset_id", "unit", "window_end"], "left")
+
+    whole, cut = ends(rows, 250_000), ends(spread, SMALL_PIECE)
+    names = ["dataset_id", "unit", "window_end"]
+    both = whole.join(cut.select(*names, F.col("digest").alias("_cut")), names)
+    counted = rows.groupBy("dataset_id", "unit", "cycle").agg(F.count(F.lit(1)).alias("n"))
+    made = both.withColumnRenamed("window_end", "cycle").join(counted, ["dataset_id", "unit", "cycle"])
+    agree = F.col("digest").eqNullSafe(F.col("_cut")).alias("agree")
+    return rounded(made.select("dataset_id", "unit", "cycle", "n", "total", "windows", agree), "total")
+
+
 # --- engineered features, repair -----------------------------------------------------------
 
 ROLLING_SQL = ", ".join(

@@ -7,12 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspan.operators.labels import remaining_useful_life
+from fleetspan.operators.layout import StoredSeries, store_series
 from fleetspan.operators.profiling import missing_values
 from fleetspan.operators.scaling import apply_minmax, fit_minmax
 from fleetspan.operators.scoring import Predict, scale_windows, score_windows
-from fleetspan.operators.splitting import split_by_engine
+from fleetspan.operators.splitting import engine_side, split_by_engine
 from fleetspan.operators.windows import sliding_windows
 from fleetspan.schema import FEATURES, HORIZON, KEYS, SEED, VALIDATION_SHARE, WINDOW, feature_columns
+from fleetspan.shared import settle
 from fleetspan.streaming.alerts import rul_alerts
 from fleetspan.streaming.messages import decode_messages, valid_messages
 from fleetspan.streaming.windows import stream_windows
@@ -55,10 +57,63 @@ def prepare_fleet(
     return PreparedFleet(apply_minmax(whole, scaler), scaler)
 
 
+@dataclass(frozen=True)
+class PreparedLayout:
+    """The same from one layout by engine; ``kind`` tells training from test engines."""
+
+    series: StoredSeries
+    scaler: DataFrame
+
+    @property
+    def readings(self) -> DataFrame:
+        return self.series.readings().drop("kind")
+
+    def split(self, name: str) -> DataFrame:
+        return self.readings.where(F.col("split") == name)
+
+    def missing(self) -> DataFrame:
+        return missing_values(self.readings)
+
+
+def prepare_layout(
+    train: DataFrame,
+    test: DataFrame,
+    rul_at_end: DataFrame,
+    path: str | None = None,
+    share: float = VALIDATION_SHARE,
+    seed: int = SEED,
+    keys=KEYS,
+    features=None,
+    order: Callable[..., Column] | None = None,
+    window: int = WINDOW,
+    horizon: int = HORIZON,
+    **layout,
+) -> PreparedLayout:
+    """:func:`prepare_fleet` with one shuffle of the readings, that of the layout.
+
+    Both fleets are written by engine together.  Labels, scaler, split, windows and features then come from the
+    buckets as they lie; ``layout`` takes what :func:`store_series` takes.
+    """
+    features = list(features or feature_columns(train))
+    both = train.withColumn("kind", F.lit("train")).unionByName(test.withColumn("kind", F.lit("test")))
+    left = rul_at_end.withColumn("kind", F.lit("test"))
+    stored = store_series(both, path, ["kind", *keys], rul_at_end=left, before=window - 1, after=horizon, **layout)
+    training = F.col("kind") == "train"
+    scaler = settle(fit_minmax(stored.readings().where(training), features)).df
+    side = engine_side(stored.engines().where(training).select(*keys), share, seed, keys, order)
+    split = F.when(training, side).otherwise(F.lit("test"))
+    labelled = stored.labelled(truncated=~training)
+    return PreparedLayout(labelled.map(lambda rows: apply_minmax(rows.withColumn("split", split), scaler)), scaler)
+
+
 def prepare_windows(
-    fleet: PreparedFleet, window: int = WINDOW, horizon: int = HORIZON, features=None, keys=KEYS
+    fleet: PreparedFleet | PreparedLayout, window: int = WINDOW, horizon: int = HORIZON, features=None, keys=KEYS
 ) -> DataFrame:
     """The sliding windows of all splits with their ``split``."""
+    if isinstance(fleet, PreparedLayout):
+        features = list(features or feature_columns(fleet.series))
+        made = sliding_windows(fleet.series, window, horizon, features, ["kind", *keys], keep=["split"])
+        return made.select("split", *keys, "window_end", "x", "y")
     features = list(features or feature_columns(fleet.readings))
     return sliding_windows(fleet.readings, window, horizon, features, ["split", *keys])
 
