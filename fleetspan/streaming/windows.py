@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from fleetspan.schema import TIME, WINDOW
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+HDFS = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATE = ("keep", "drop", "report", "arrival")
 # Windows that share one run of readings on their way back to Spark.
@@ -71,6 +72,15 @@ class _LastReadings(StatefulProcessor):
         pass
 
 
+def require_rocksdb(df: DataFrame) -> None:
+    """State with its own variables lives on RocksDB only; a session with another store is told, not changed."""
+    conf = df.sparkSession.conf
+    if conf.get(STATE_STORE, None) not in (None, HDFS, ROCKSDB):
+        raise ValueError(f"set {STATE_STORE} to {ROCKSDB}")
+    if df.isStreaming and conf.get(STATE_STORE, None) != ROCKSDB:
+        conf.set(STATE_STORE, ROCKSDB)
+
+
 def stream_windows(
     df: DataFrame,
     keys=("engine_id",),
@@ -94,7 +104,7 @@ def stream_windows(
     """
     if late not in LATE:
         raise ValueError(f"unknown late {late!r}, expected one of {LATE}")
-    df.sparkSession.conf.set(STATE_STORE, ROCKSDB)
+    require_rocksdb(df)
     rows = df.select(*keys, F.col(time).cast("long").alias(time), "features")
     schema = T.StructType(
         [rows.schema[name] for name in keys]
@@ -112,6 +122,12 @@ def stream_windows(
     )
     spread = made.repartition(F.xxhash64(*keys, F.col("ends")[0]))
 
+    shaped = windows_of_runs(spread, keys, width, window, ["late"])
+    return shaped if late == "report" else shaped.drop("late")
+
+
+def windows_of_runs(runs: DataFrame, keys, width: int, window: int, keep=()) -> DataFrame:
+    """The windows that runs of readings (``ends``, ``flat``) stand for, with ``window_end``."""
     steps = F.sequence(F.lit(0), F.lit(window - 1))
 
     def window_at(place):
@@ -122,5 +138,4 @@ def stream_windows(
         )
 
     # Generated, so that each window is built once however often later columns use it.
-    shaped = spread.select(*keys, F.inline(F.transform(F.sequence(F.lit(1), F.size("ends")), window_at)), "late")
-    return shaped if late == "report" else shaped.drop("late")
+    return runs.select(*keys, F.inline(F.transform(F.sequence(F.lit(1), F.size("ends")), window_at)), *keep)
