@@ -1,5 +1,6 @@
 """Feature importance from attribution weights or from predictions."""
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetspan.functions.formulas import TINY
-from fleetspan.shared import numbered
+from fleetspan.shared import numbered, shared_folder
+
+# Windows handed to the model at a time.
+WINDOWS_AT_ONCE = 512
 
 
 def feature_importance(df: DataFrame) -> DataFrame:
@@ -75,6 +79,55 @@ def ranking_lines(ranked: DataFrame) -> DataFrame:
     return ranked.select("rank", line.alias("line"))
 
 
+def _kept_with_ids(windows: DataFrame) -> DataFrame:
+    """Windows with a number each, written once so that the numbers stay."""
+    spark = windows.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
+    windows.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _cells(stored: DataFrame, identity, count: int, hashed, *more: str) -> DataFrame:
+    """A row per feature and window with its place's hash; nothing of the windows but their keys."""
+    places = [F.struct(F.lit(i).alias("feature"), hashed(i).cast("long").alias("order")) for i in range(count)]
+    return stored.select("_id", *identity, *more, F.inline(F.array(*places)))
+
+
+def _donors(stored: DataFrame, identity, count: int, hashed) -> DataFrame:
+    """``feature, donor, recipient``: who passes its series on to whom."""
+    rows = stored.count()
+    placed = numbered(_cells(stored, identity, count, hashed), ["feature", "order", *identity])
+    # Every feature has as many places as there are windows, so that its first place is known.
+    first = F.col("feature") * rows
+    after = (first + (F.col("_index") - first + 1) % max(1, rows)).alias("_index")
+    passed = placed.select("feature", F.col("_id").alias("donor"), after)
+    return passed.join(placed.select("_index", F.col("_id").alias("recipient")), "_index").drop("_index")
+
+
+def _donors_in_blocks(stored: DataFrame, identity, count: int, hashed, rows_per_block: int) -> DataFrame:
+    blocks = max(1, stored.count() // rows_per_block)
+    dealt = stored.withColumn("_block", F.pmod(hashed(-1), F.lit(blocks)))
+    places = Window.partitionBy("feature", "_block").orderBy("order", *identity)
+    everyone = places.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = F.coalesce(F.lead("_id").over(places), F.first("_id").over(everyone))
+    return _cells(dealt, identity, count, hashed, "_block").select("feature", F.col("_id").alias("donor"), after.alias("recipient"))
+
+
+def _exchanged(stored: DataFrame, donors: DataFrame, count: int) -> DataFrame:
+    """``y``, the own readings (``own``) and the series got for each feature (``series``), flat, of every window."""
+    sends = donors.groupBy("donor").agg(F.collect_list(F.struct("feature", "recipient")).alias("_sends"))
+    own = F.struct(F.col("_id").alias("recipient"), F.lit(-1).alias("feature"), F.col("y"), F.flatten("x").alias("values"))
+    series = lambda at: F.transform("x", lambda row: F.get(row, at))
+    sent = F.transform(
+        "_sends",
+        lambda to: F.struct(to["recipient"].alias("recipient"), to["feature"].alias("feature"), F.lit(None).cast("double").alias("y"), series(to["feature"]).alias("values")),
+    )
+    parcels = stored.join(sends, F.col("_id") == F.col("donor")).select(F.inline(F.concat(F.array(own), sent)))
+    met = parcels.groupBy("recipient").agg(F.max("y").alias("y"), F.sort_array(F.collect_list(F.struct("feature", "values"))).alias("_parts"))
+    return met.select(
+        "y", F.col("_parts")[0]["values"].alias("own"), F.flatten(F.transform(F.slice("_parts", 2, count), lambda part: part["values"])).alias("series"))
+
+
 def permutation_importance(
     windows: DataFrame,
     features,
@@ -86,60 +139,49 @@ def permutation_importance(
     """How much the RMSE of ``predict`` grows when one feature's series is exchanged among windows.
 
     ``windows`` holds ``keys``, ``window_end``, ``x`` and ``y``.  Each feature is passed on by one
-    place in an order of its own over all windows, the last one's to the first: windows are numbered
-    by ranges and joined to the place before, once per feature.  ``order(i)`` replaces the hash of the
-    key that gives the order of feature ``i``.
+    place in an order of its own over all windows, the last one's to the first.  ``order(i)`` replaces the
+    hash of the key that gives the order of feature ``i``.
+
+    Only keys are put in order: one numbering of all features' keys gives a map of donors, then every window
+    sends each of its series to the window that gets it.  Windows are shuffled twice, whatever the number of features.
 
     With ``rows_per_block`` windows are dealt into random blocks of about that size (``order(-1)``) and
-    exchanged inside them: one shuffle for all features, but another figure, by the number of blocks.
+    exchanged inside them, which gives another figure, by the number of blocks.
     """
     features = list(features)
+    count = len(features)
     identity = [*keys, "window_end"]
-    windows = windows.where(F.col("y").isNotNull())
     hashed = order or (lambda i: F.xxhash64(*identity, F.lit(i)))
-    rows = windows.count()
-    dealt = windows.select(
-        *identity,
-        "x",
-        F.col("y").cast("double").alias("y"),
-        *[hashed(i).alias(f"_order_{i}") for i in range(len(features))],
-    )
-    exchanged = dealt
-    if rows_per_block is not None:
-        exchanged = dealt.withColumn("_block", F.pmod(hashed(-1), F.lit(max(1, rows // rows_per_block))))
-    for i in range(len(features)):
-        series = F.transform("x", lambda row: row[i])
-        if rows_per_block is None:
-            placed = numbered(exchanged, [f"_order_{i}", *identity])
-            passed = placed.select(((F.col("_index") + 1) % max(1, rows)).alias("_next"), series.alias(f"_series_{i}"))
-            exchanged = placed.join(passed, F.col("_index") == F.col("_next")).drop("_index", "_next")
-            continue
-        places = Window.partitionBy("_block").orderBy(f"_order_{i}", *identity)
-        everyone = places.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        exchanged = exchanged.withColumn(
-            f"_series_{i}", F.coalesce(F.lag(series).over(places), F.last(series).over(everyone))
-        )
-    count = len(features)
+    chosen = windows.where(F.col("y").isNotNull()).select(*identity, "x", F.col("y").cast("double").alias("y"))
+    stored = _kept_with_ids(chosen)
+    if rows_per_block is None:
+        donors = _donors(stored, identity, count, hashed)
+    else:
+        donors = _donors_in_blocks(stored, identity, count, hashed, rows_per_block)
+    exchanged = _exchanged(stored, donors, count)
 
     def squared_errors(batches):
         for batch in batches:
-            if batch.empty:
-                continue
-            truth = batch["y"].to_numpy(dtype=float)
-            x = np.stack([np.stack([np.asarray(row, dtype=float) for row in value]) for value in batch["x"]])
-            sums = [float(((predict(x) - truth) ** 2).sum())]
-            for i in range(count):
-                kept = x[:, :, i].copy()
-                x[:, :, i] = np.stack([np.asarray(value, dtype=float) for value in batch[f"_series_{i}"]])
-                sums.append(float(((predict(x) - truth) ** 2).sum()))
-                x[:, :, i] = kept
-            yield pd.DataFrame({"rows": [len(truth)], "sums": [sums]})
+            sums, rows = np.zeros(count + 1), 0
+            for start in range(0, len(batch), WINDOWS_AT_ONCE):
+                part = batch.iloc[start : start + WINDOWS_AT_ONCE]
+                truth = part["y"].to_numpy(dtype=float)
+                series = np.stack(part["series"].to_numpy()).astype(float).reshape(len(part), count, -1)
+                x = np.stack(part["own"].to_numpy()).astype(float).reshape(len(part), series.shape[2], -1)
+                rows += len(part)
+                sums[0] += float(((predict(x) - truth) ** 2).sum())
+                for i in range(count):
+                    kept = x[:, :, i].copy()
+                    x[:, :, i] = series[:, i]
+                    sums[i + 1] += float(((predict(x) - truth) ** 2).sum())
+                    x[:, :, i] = kept
+            if rows:
+                yield pd.DataFrame({"rows": [rows], "sums": [sums.tolist()]})
 
     schema = T.StructType(
         [T.StructField("rows", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType()))]
     )
-    made = exchanged.select("x", "y", *[f"_series_{i}" for i in range(count)])
-    errors = made.mapInPandas(squared_errors, schema).agg(
+    errors = exchanged.mapInPandas(squared_errors, schema).agg(
         *[F.sqrt(F.sum(F.col("sums")[i]) / F.sum("rows")).alias(f"rmse_{i}") for i in range(count + 1)]
     )
     cells = [

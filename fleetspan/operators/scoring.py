@@ -1,6 +1,8 @@
 """Scoring windows with a model, and fitting one."""
 
+import signal
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,11 @@ Predict = Callable[[np.ndarray], np.ndarray]
 SCORE = T.StructType([T.StructField("rul", T.DoubleType()), T.StructField("error", T.StringType())])
 # Windows handed to the model at a time.
 MODEL_BATCH = 1024
+# The seconds that a scoring call may take, and the error of one that took longer.
+DEADLINE = 10.0
+TIMEOUT = "timeout"
+# Calls of a batch that may run out of time; enough to find one hanging window among MODEL_BATCH.
+TRIES = 12
 
 
 def scale_windows(df: DataFrame, scaler: DataFrame, features) -> DataFrame:
@@ -42,8 +49,33 @@ def scale_windows(df: DataFrame, scaler: DataFrame, features) -> DataFrame:
     return df.withColumn("x", F.transform("x", lambda row: F.zip_with(row, pairs, scaled)))
 
 
+@contextmanager
+def time_limit(seconds: float | None):
+    """Raise :class:`TimeoutError` in the block once its time is up.  For the main thread, where tasks run their Python."""
+    if seconds is None:
+        yield
+        return
+
+    def stop(*_):
+        raise TimeoutError(TIMEOUT)
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def score_windows(
-    df: DataFrame, load: Callable[[], Predict], width: int, window: int = WINDOW, output: str = "rul"
+    df: DataFrame,
+    load: Callable[[], Predict],
+    width: int,
+    window: int = WINDOW,
+    output: str = "rul",
+    deadline: float | None = None,
+    tries: int = TRIES,
 ) -> DataFrame:
     """Add the predicted RUL of every window in ``x`` and an ``error`` where there is none.
 
@@ -51,19 +83,35 @@ def score_windows(
     ``n`` numbers.  Only the windows travel to Python, flattened; all other columns stay in the
     JVM.  A batch on which the model fails is scored window by window, so that one bad window
     costs only its own score.  Works on streams as well.
+
+    ``deadline`` limits the seconds of a call of the model.  A batch that takes longer is halved, so that the windows
+    on which the model hangs are found; after ``tries`` calls that ran out of time the rest of the batch is given up.
+    Windows without a score for that reason have the error ``timeout``.
     """
 
     @F.pandas_udf(SCORE)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predict = load()
+        left = tries
 
         def attempt(values) -> tuple[list, list]:
+            nonlocal left
+            if left <= 0:
+                return [None] * len(values), [TIMEOUT] * len(values)
             try:
                 matrix = np.stack(values).astype(float).reshape(-1, window, width)
-                found = np.asarray(predict(matrix), dtype=float).reshape(-1)
+                with time_limit(deadline):
+                    found = np.asarray(predict(matrix), dtype=float).reshape(-1)
                 if len(found) != len(values):
                     raise ValueError(f"{len(found)} predictions for {len(values)} windows")
                 return list(found), [None] * len(values)
+            except TimeoutError as problem:
+                left -= deadline is not None
+                if len(values) == 1:
+                    return [None], [str(problem)]
+                half = len(values) // 2
+                first, second = attempt(values[:half]), attempt(values[half:])
+                return first[0] + second[0], first[1] + second[1]
             except Exception as problem:
                 if len(values) == 1:
                     return [None], [str(problem)]
@@ -75,7 +123,7 @@ def score_windows(
             error = np.full(len(batch), None, dtype=object)
             present = np.flatnonzero(batch.notna().to_numpy())
             for start in range(0, len(present), MODEL_BATCH):
-                places = present[start : start + MODEL_BATCH]
+                places, left = present[start : start + MODEL_BATCH], tries
                 rul[places], error[places] = attempt([batch.iloc[i] for i in places])
             yield pd.DataFrame({"rul": pd.Series(rul, dtype="Float64"), "error": error})
 

@@ -1,5 +1,6 @@
 """Every operator as a query over whole tables, with the SQL it must agree with."""
 
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -26,6 +27,8 @@ from fleetspan.plans.views import GAPPY_SQL, LABELLED_SQL, PREDICTIONS_SQL, READ
 from fleetspan.schema import ALERT_THRESHOLD, CRITICAL_RUL
 from fleetspan.sources import tables, text
 from fleetspan.streaming import alerts, messages
+from fleetspan.streaming.ordered import ordered_stream_windows
+from fleetspan.streaming.statistics import fleet_statistics
 from fleetspan.streaming.windows import stream_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1207,12 +1210,10 @@ def _place_sql(i: int) -> str:
 @query(
     f"""
 WITH {LABELLED_SQL}, {STEPS_SQL},
-dealt AS (
-  SELECT *, {_place_sql(-1)} % (SELECT greatest(1, count(*) // 5000) FROM steps WHERE rn >= 30 AND rn <= n - 1) AS block, {_place_sql(0)} AS place
-  FROM steps WHERE rn >= 30 AND rn <= n - 1),
+dealt AS (SELECT *, {_place_sql(0)} AS place FROM steps WHERE rn >= 30 AND rn <= n - 1),
 exchanged AS (
-  SELECT y, tail_1, coalesce(lag(tail_1) OVER (PARTITION BY block ORDER BY place, dataset_id, unit, cycle),
-         last_value(tail_1) OVER (PARTITION BY block ORDER BY place, dataset_id, unit, cycle ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS other
+  SELECT y, tail_1, coalesce(lag(tail_1) OVER (ORDER BY place, dataset_id, unit, cycle),
+         last_value(tail_1) OVER (ORDER BY place, dataset_id, unit, cycle ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS other
   FROM dealt),
 errors AS (
   SELECT sqrt(avg((y - {FACTOR} * tail_1) ** 2)) AS before, sqrt(avg((y - {FACTOR} * other) ** 2)) AS after FROM exchanged)
@@ -1350,19 +1351,18 @@ def recent_alerts(spark, folder):
     return alerts.recent_alerts(_batch_alerts(spark, folder)).select("engine_id", "cycle", "severity")
 
 
-def _event_stream(spark, folder) -> DataFrame:
-    schema = views.table(spark, folder, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{folder}/event*.parquet")
+# Bounds what one trigger takes in.
+TRIGGER_BYTES = 1 << 30
 
 
-# A bounded stream that has not ended by then is stopped.
-DRAIN_SECONDS = 600
+def _event_stream(spark, folder) -> DataFrame:
+    schema = views.table(spark, folder, "events").schema
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", TRIGGER_BYTES).parquet(f"{folder}/event*.parquet")
 
 
 def _finish(running) -> None:
-    if not running.awaitTermination(DRAIN_SECONDS):
-        running.stop()
-        raise TimeoutError(f"the stream did not end within {DRAIN_SECONDS} s")
+    """Wait for a stream over what is there; it ends by itself, however long its tables take."""
+    running.awaitTermination()
 
 
 def _drain(made: DataFrame, folder: str) -> DataFrame:
@@ -1417,11 +1417,12 @@ def stream_late(spark, folder):
     """Every fifth message comes one trigger after the others; what is late by then has a table of its own."""
     events, target = views.table(spark, folder, "events"), views.run_folder(spark)
     for part in (F.col("event_id") % 5 != 0, F.col("event_id") % 5 == 0):
-        events.where(part).coalesce(1).write.mode("append").parquet(f"{target}/source")
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/source")
-    came = messages.valid_messages(messages.decode_messages(_messages(source), STREAM_FEATURES))
-    made = stream_windows(came, ["engine_id"], len(STREAM_FEATURES), late="report")
-    kept = _drain(made.where("late").select("engine_id", "window_end"), target)
+        # The second run of the stream goes on from the first one's checkpoint.
+        events.where(part).write.mode("append").parquet(f"{target}/source")
+        source = spark.readStream.schema(events.schema).parquet(f"{target}/source")
+        came = messages.valid_messages(messages.decode_messages(_messages(source), STREAM_FEATURES))
+        made = stream_windows(came, ["engine_id"], len(STREAM_FEATURES), late="report")
+        kept = _drain(made.where("late").select("engine_id", "window_end"), target)
     return kept.groupBy("engine_id").agg(F.count(F.lit(1)).alias("late"))
 
 
@@ -1459,6 +1460,130 @@ def alerts_stream(spark, folder):
     return rounded(_drain(made, views.run_folder(spark)).drop("timestamp"), "rul")
 
 
+# Parts in which the disordered events come.
+PARTS = 5
+
+
+def _disordered(spark, folder, target: str, parts=range(PARTS), close: bool = True) -> str:
+    """Write events in parts whose times overlap, so that triggers bring them out of order; returns the delay to wait.
+
+    The last file holds a message of no engine, long after all others, which moves the watermark past them.
+    """
+    events = views.table(spark, folder, "events")
+    start, stop = events.agg(F.min("ts").cast("timestamp").cast("double"), F.max("ts").cast("timestamp").cast("double")).first()
+    span = max(1.0, (stop or 0.0) - (start or 0.0))
+    share = (F.col("ts").cast("timestamp").cast("double") - (start or 0.0)) / span
+    part = F.floor(F.least(F.lit(PARTS - 0.01), share * (PARTS - 1) + F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 1000))
+    for i in parts:
+        events.where(part == i).write.mode("append").parquet(f"{target}/source")
+    if close:
+        last = {"event_id": F.lit(-1), "ts": F.timestamp_seconds(F.lit((stop or 0.0) + 2 * span)), "user_id": F.lit(-1), "event_type": F.lit("view"), "value": F.lit(0.0), "props": F.lit('{"k": 0}')}
+        closing = spark.range(1).select(*[last[field.name].cast(field.dataType).alias(field.name) for field in events.schema])
+        closing.coalesce(1).write.mode("append").parquet(f"{target}/source")
+    return f"{int(0.6 * span) + 1} seconds"
+
+
+def _disordered_stream(spark, folder, target: str) -> DataFrame:
+    schema = views.table(spark, folder, "events").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{target}/source")
+
+
+@query(
+    f"""
+WITH {STREAM_SQL}
+SELECT CAST(user_id AS INTEGER) AS engine_id, event_id AS window_end, first_1, value AS last_1, {r("sum_1", "sum_1")}
+FROM arrivals WHERE rn >= 30
+"""
+)
+def stream_in_order(spark, folder):
+    """Windows of events that come out of order in many triggers, put in order by event time."""
+    target = views.run_folder(spark)
+    delay = _disordered(spark, folder, target)
+    came = messages.valid_messages(messages.decode_messages(_messages(_disordered_stream(spark, folder, target)), STREAM_FEATURES))
+    made = ordered_stream_windows(came, ["engine_id"], len(STREAM_FEATURES), delay=delay)
+    reduced = made.select(
+        "engine_id",
+        "window_end",
+        F.element_at("x", 1)[1].alias("first_1"),
+        F.element_at("x", -1)[1].alias("last_1"),
+        _column_sum(1).alias("sum_1"),
+    )
+    return rounded(_drain(reduced, target), "sum_1")
+
+
+@query(f"WITH {ALERTS_SQL} SELECT {ALERT_ROWS_SQL} FROM alerts")
+def stream_recovery(spark, folder):
+    """A stream that ends after some parts and goes on from its checkpoint in a second run, with no row lost or twice."""
+    target = views.run_folder(spark)
+    delay = _disordered(spark, folder, target, range(PARTS // 2), close=False)
+    for parts in (None, range(PARTS // 2, PARTS)):
+        if parts is not None:
+            _disordered(spark, folder, target, parts)
+        made = alert_stream(_messages(_disordered_stream(spark, folder, target)), load_stream_model, STREAM_FEATURES, delay=delay)
+        found = _drain(made, target)
+    return rounded(found.drop("timestamp"), "rul")
+
+
+@query(
+    f"""
+WITH sound AS (SELECT * FROM events WHERE event_id % 11 <> 0 AND event_type <> 'error'),
+arrivals AS (
+  SELECT user_id, event_id, row_number() OVER w AS rn, avg(value) OVER g AS tail_1 FROM sound
+  WINDOW w AS (PARTITION BY user_id ORDER BY event_id), g AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+alerts AS (
+  SELECT user_id, event_id, CASE WHEN {FACTOR} * tail_1 <= {CRITICAL_RUL} THEN 'CRITICAL' ELSE 'WARNING' END AS severity
+  FROM arrivals WHERE rn >= 30 AND {FACTOR} * tail_1 <= {ALERT_THRESHOLD}),
+newest AS (SELECT string_agg(user_id || '@' || event_id || ' ' || severity, ', ' ORDER BY event_id DESC, user_id DESC) AS recent
+           FROM (SELECT * FROM alerts ORDER BY event_id DESC, user_id DESC LIMIT 10))
+SELECT count(*) AS total_alerts, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical_alerts,
+       count(*) FILTER (WHERE severity = 'WARNING') AS warning_alerts,
+       (SELECT count(DISTINCT user_id) FROM events WHERE event_id % 11 <> 0) AS engines_monitored, coalesce((SELECT recent FROM newest), '') AS recent
+FROM alerts
+"""
+)
+def running_statistics(spark, folder):
+    """Counters, engines heard of and the newest alerts, kept by the stream of messages, of which some are rejected."""
+    target = views.run_folder(spark)
+    delay = _disordered(spark, folder, target)
+    came = _flawed_messages(spark, folder, _disordered_stream(spark, folder, target))
+    raised = alert_stream(came, load_stream_model, STREAM_FEATURES, delay=delay)
+    heard = messages.decode_messages(came, STREAM_FEATURES).where("engine_id >= 0 or engine_id is null")
+    kept = _drain(fleet_statistics(raised, heard), target)
+    newest = kept.orderBy(F.col("updates").desc()).limit(1)
+    line = lambda a: F.concat(a["engine_id"], F.lit("@"), a["cycle"], F.lit(" "), a["severity"])
+    return newest.select("total_alerts", "critical_alerts", "warning_alerts", "engines_monitored", F.array_join(F.transform("recent", line), ", ").alias("recent"))
+
+
+def load_hanging_model():
+    """A model that never answers where the last reading is a whole number that 50 divides."""
+    predict = load_model()
+
+    def hang(x: np.ndarray) -> np.ndarray:
+        last = x[:, -1, 1]
+        if ((last % 50 == 0) & (last > 0)).any():
+            time.sleep(3600)
+        return predict(x)
+
+    return hang
+
+
+@query(
+    f"""
+WITH {LABELLED_SQL}, {STEPS_SQL}
+SELECT dataset_id, unit, cycle AS window_end, CASE WHEN NOT hangs THEN {r(f"{FACTOR} * tail_1", "rul").removesuffix(" AS rul")} END AS rul,
+       CASE WHEN hangs THEN 'timeout' END AS error
+FROM (SELECT *, sensor_2 % 50 = 0 AND sensor_2 > 0 AS hangs FROM steps WHERE rn = n AND rn >= 30)
+"""
+)
+def score_with_deadline(spark, folder):
+    """The newest windows scored with a model that hangs on some of them: these alone have no score."""
+    rows = views.readings(spark, folder).select("dataset_id", "unit", "cycle", "sensor_1", "sensor_2")
+    made = windows.latest_windows(rows)
+    # Every window may hang: as many tries as it takes to single each out.
+    scored = scoring.score_windows(made, load_hanging_model, 2, deadline=0.5, tries=2 * scoring.MODEL_BATCH)
+    return rounded(scored.select("dataset_id", "unit", "window_end", "rul", "error"), "rul")
+
+
 # --- flagship ------------------------------------------------------------------------------
 
 

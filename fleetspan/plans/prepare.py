@@ -10,13 +10,14 @@ from fleetspan.operators.labels import remaining_useful_life
 from fleetspan.operators.layout import StoredSeries, store_series
 from fleetspan.operators.profiling import missing_values
 from fleetspan.operators.scaling import apply_minmax, fit_minmax
-from fleetspan.operators.scoring import Predict, scale_windows, score_windows
+from fleetspan.operators.scoring import DEADLINE, Predict, scale_windows, score_windows
 from fleetspan.operators.splitting import engine_side, split_by_engine
 from fleetspan.operators.windows import sliding_windows
 from fleetspan.schema import FEATURES, HORIZON, KEYS, SEED, VALIDATION_SHARE, WINDOW, feature_columns
 from fleetspan.shared import settle
 from fleetspan.streaming.alerts import rul_alerts
 from fleetspan.streaming.messages import decode_messages, valid_messages
+from fleetspan.streaming.ordered import ordered_stream_windows
 from fleetspan.streaming.windows import stream_windows
 
 
@@ -125,14 +126,23 @@ def alert_stream(
     window: int = WINDOW,
     scaler: DataFrame | None = None,
     late: str = "keep",
+    delay: str | None = None,
+    forget_after: str | None = None,
+    deadline: float | None = DEADLINE,
     **alerting,
 ) -> DataFrame:
-    """Messages to alerts in one query: decode, keep windows, scale, score, compare."""
+    """Messages to alerts in one query: decode, keep windows, scale, score, compare.
+
+    With ``delay`` readings are put in order by event time, see :func:`ordered_stream_windows`.
+    """
     readings = valid_messages(decode_messages(messages, features))
-    windows = stream_windows(readings, ["engine_id"], len(features), window, late=late)
-    if late == "report":
-        windows = windows.where(~F.col("late"))
+    if delay is not None:
+        windows = ordered_stream_windows(readings, ["engine_id"], len(features), window, delay=delay, forget_after=forget_after)
+    else:
+        windows = stream_windows(readings, ["engine_id"], len(features), window, late=late)
+        if late == "report":
+            windows = windows.where(~F.col("late"))
     if scaler is not None:
         windows = scale_windows(windows, scaler, features)
-    scored = score_windows(windows, load, len(features), window)
+    scored = score_windows(windows, load, len(features), window, deadline=deadline)
     return rul_alerts(scored, cycle="window_end", **alerting)

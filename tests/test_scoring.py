@@ -1,4 +1,5 @@
 import json
+import time
 
 import numpy as np
 import pytest
@@ -133,3 +134,42 @@ def test_permutation_importance_exchanges_over_all_windows(spark):
     assert {row["feature"]: row["importance"] for row in found} == {"sensor_1": pytest.approx(expected, rel=1e-12), "sensor_2": 0.0}
     empty = importance.permutation_importance(made.limit(0), ["sensor_1"], lambda x: x[:, -1, 0], KEYS).collect()
     assert [row["importance"] for row in empty] == [None]
+
+
+def test_a_hanging_model_costs_only_its_windows(spark):
+    rows = spark.range(40).select("id", F.array(F.array(F.col("id").cast("double"))).alias("x")).coalesce(1)
+
+    def load():
+        def predict(x):
+            if (x % 13 == 5).any():
+                time.sleep(60)
+            return x[:, -1, 0]
+
+        return predict
+
+    found = {row["id"]: (row["rul"], row["error"]) for row in scoring.score_windows(rows, load, 1, 1, deadline=0.2, tries=40).collect()}
+    assert found == {i: (None, "timeout") if i % 13 == 5 else (float(i), None) for i in range(40)}
+    # Without tries left the rest of the batch is given up, and nothing waits for longer.
+    start = time.time()
+    given_up = scoring.score_windows(rows, load, 1, 1, deadline=0.2, tries=2).where("error = 'timeout'").count()
+    assert 20 <= given_up <= 40 and time.time() - start < 30
+
+
+def test_importance_sends_windows_twice_whatever_the_number_of_features(spark):
+    names = [f"sensor_{i}" for i in range(1, 13)]
+    frame = with_rul(fleet({("FD001", u): 40 for u in range(4)}, sensors=names))
+    made = windows.sliding_windows(spark.createDataFrame(frame), 5, 1, names)
+    predict = lambda x: x[:, -1, 0] + 2 * x[:, 0, 11]
+    found = {row["feature"]: row["importance"] for row in importance.permutation_importance(made, names, predict, KEYS).collect()}
+    keyed = made.select("y", "x", *[F.xxhash64(*KEYS, "window_end", F.lit(i)).alias(f"p{i}") for i in range(12)]).toPandas()
+    x, y = np.stack([np.stack(v) for v in keyed["x"]]), keyed["y"].to_numpy()
+    base = np.sqrt(((predict(x) - y) ** 2).mean())
+    for i, name in enumerate(names):
+        order = np.argsort(keyed[f"p{i}"].to_numpy())
+        other = x.copy()
+        other[order, :, i] = x[np.roll(order, 1), :, i]
+        assert found[name] == pytest.approx(np.sqrt(((predict(other) - y) ** 2).mean()) - base, abs=1e-9)
+    stored = importance._kept_with_ids(made.select(*KEYS, "window_end", "x", "y"))
+    donors = importance._donors(stored, [*KEYS, "window_end"], 12, lambda i: F.xxhash64(*KEYS, "window_end", F.lit(i)))
+    text = importance._exchanged(stored, donors, 12)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in line for line in text.splitlines() if "values" in line or "x#" in line) <= 2

@@ -1,5 +1,7 @@
+import datetime
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 from fleetspan.plans.prepare import alert_stream
 from fleetspan.schema import FEATURES
 from fleetspan.streaming import alerts, messages
+from fleetspan.streaming.ordered import ordered_stream_windows
+from fleetspan.streaming.statistics import fleet_statistics
 from fleetspan.streaming.windows import stream_windows
 
 NAMES = ["op_setting_1", "sensor_1"]
@@ -147,3 +151,67 @@ def test_running_statistics(spark, tmp_path):
     )
     assert query.awaitTermination(120)
     assert seen[-1] == (2, 1, 1)
+
+
+def timed(engine, cycle, seconds, names=NAMES):
+    at = datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=seconds)
+    values = {name: float(cycle + i) for i, name in enumerate(names)}
+    return json.dumps({"engine_id": engine, "cycle": cycle, "timestamp": at.strftime("%Y-%m-%dT%H:%M:%S.%f"), "sensors": values})
+
+
+def in_order(spark, folder, files, window=5, **options):
+    """Windows in event order of one file per trigger, closed by a message of no engine."""
+    (folder / "in").mkdir(parents=True)
+    lines = [[timed(*row) for row in rows] for rows in [*files, [(-1, 0, 1_000_000)]]]
+    came = messages.valid_messages(messages.decode_messages(stream(spark, folder / "in", lines), NAMES))
+    made = drain(ordered_stream_windows(came, ["engine_id"], len(NAMES), window, **options), folder)
+    return sorted((row["engine_id"], row["window_end"], [step[0] for step in row["x"]]) for row in made.collect())
+
+
+def test_windows_in_event_order_do_not_depend_on_triggers(spark, tmp_path):
+    rows = [(engine, c, 10 * c + engine) for engine in (1, 2) for c in range(1, 40)]
+    # An engine that is silent for more than five minutes, and one with equal times.
+    rows += [(3, c, 10 * c + (500 if c > 20 else 0)) for c in range(1, 40)] + [(4, c, 7) for c in range(1, 9)]
+    shuffled = random.Random(1).sample(rows, len(rows))
+    by_time = sorted(rows, key=lambda row: row[2])
+    options = {"delay": "1 day", "forget_after": "5 minutes"}
+    one = in_order(spark, tmp_path / "one", [rows], **options)
+    five = in_order(spark, tmp_path / "five", [shuffled[i::5] for i in range(5)], **options)
+    many = in_order(spark, tmp_path / "many", [by_time[i : i + 25] for i in range(0, len(by_time), 25)], delay="1 second", forget_after="5 minutes")
+    wanted = [(engine, c, [float(x) for x in range(c - 4, c + 1)]) for engine in (1, 2) for c in range(5, 40)]
+    wanted += [(3, c, [float(x) for x in range(c - 4, c + 1)]) for c in range(5, 40) if not 21 <= c <= 24]
+    wanted += [(4, c, [float(x) for x in range(c - 4, c + 1)]) for c in range(5, 9)]
+    assert one == five == many == sorted(wanted)
+
+
+def test_silent_engines_leave_the_state(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    files = [[timed(engine, c, c) for engine in range(1, 9) for c in range(1, 4)], [timed(1, 4, 5000)], [timed(1, 5, 10_000)], [timed(-1, 0, 10_100)]]
+    came = messages.valid_messages(messages.decode_messages(stream(spark, tmp_path / "in", files), NAMES))
+    made = ordered_stream_windows(came, ["engine_id"], len(NAMES), 2, delay="10 seconds", forget_after="1 minute")
+    query = alerts.write_alerts(made, str(tmp_path / "rows"), str(tmp_path / "checkpoint"), availableNow=True)
+    assert query.awaitTermination(180)
+    rows = [progress["stateOperators"][0]["numRowsTotal"] for progress in map(lambda p: json.loads(p.json), query.recentProgress) if progress["stateOperators"]]
+    assert max(rows) >= 8 and rows[-1] <= 6
+    found = spark.read.parquet(str(tmp_path / "rows")).where("engine_id = 1").collect()
+    # Readings 4 and 5 come after a silence: each starts anew.
+    assert sorted(row["window_end"] for row in found) == [2, 3]
+
+
+def test_fleet_statistics_after_every_trigger(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    files = [
+        [body(e, c, {"op_setting_1": 0.0, "sensor_1": 40.0 - 4 * c + e}) for c in range(k, k + 3) for e in (1, 2)] + [body(9 + k, 1, {}), "{"]
+        for k in (1, 4, 7)
+    ]
+    raw = stream(spark, tmp_path / "in", files)
+    raised = alert_stream(raw, lambda: lambda x: x[:, -1, 1], NAMES, 3)
+    found = drain(fleet_statistics(raised, messages.decode_messages(raw, NAMES), newest=3), tmp_path).orderBy("updates").collect()
+    ruls = [(c, e, 40.0 - 4 * c + e) for c in range(3, 10) for e in (1, 2) if 40 - 4 * c + e <= 25]
+    for i, row in enumerate(found):
+        seen = [alert for alert in ruls if alert[0] <= 3 * (i + 1)]
+        critical = sum(rul <= 10 for _, _, rul in seen)
+        assert (row["updates"], row["total_alerts"], row["critical_alerts"], row["warning_alerts"], row["engines_monitored"]) == (
+            i + 1, len(seen), critical, len(seen) - critical, 3 + i)
+        assert [(a["cycle"], a["engine_id"], a["rul"]) for a in row["recent"]] == sorted(seen, reverse=True)[:3]
+    assert len(found) == 3
