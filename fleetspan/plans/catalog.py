@@ -18,6 +18,7 @@ from fleetspan.operators import (
     profiling,
     scaling,
     scoring,
+    sketches,
     splitting,
     windows,
 )
@@ -1010,6 +1011,92 @@ def recommendations(spark, folder):
     return evaluation.recommendations(training=history.training_history(views.losses(spark, folder)))
 
 
+RANKED_SQL = f"""
+{WEIGHTS_SQL}, means AS (SELECT feature, avg(weight) AS importance FROM weights GROUP BY feature),
+ranked AS (SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS rank, count(*) OVER () AS n FROM means)
+"""
+
+
+@query(
+    f"""
+WITH {HISTORY_SQL}, {PREDICTIONS_SQL}, {RANKED_SQL},
+shares AS (SELECT importance / (sum(importance) OVER () + 1e-8) AS p FROM means),
+used AS (SELECT avg(CASE WHEN p > 0.01 THEN 1.0 ELSE 0.0 END) AS ratio FROM shares),
+judged AS (SELECT 1 - {SQUARES} / (var_pop(y_true) * count(*)) AS r2, {RANGES_SQL} FROM predictions)
+SELECT CAST(run_id AS VARCHAR) AS run_id, 'training' AS area, 'overfitting: regularise, stop earlier or add data' AS advice FROM history WHERE epochs > 1 AND overfit > 0.3
+UNION ALL SELECT CAST(run_id AS VARCHAR), 'training', 'stop earlier: the best epoch lies well before the end' FROM history WHERE epochs > 1 AND early
+UNION ALL SELECT CAST(run_id AS VARCHAR), 'training', 'unstable validation loss: schedule the learning rate or change the optimiser'
+FROM history WHERE epochs > 1 AND 1 / (1 + vv) < 0.5
+UNION ALL SELECT NULL, 'prediction', 'low r2: improve features, model or data' FROM judged WHERE r2 < 0.7
+UNION ALL SELECT NULL, 'prediction', 'biased predictions: balance samples or correct the bias' FROM judged WHERE bias_warning
+UNION ALL SELECT NULL, 'prediction', 'prediction range is off: scale outputs or change the loss' FROM judged WHERE range_warning
+UNION ALL SELECT NULL, 'architecture', 'many unused features: select features' FROM used WHERE ratio < 0.3
+UNION ALL SELECT NULL, 'architecture', 'nearly all features used: watch for fitted noise' FROM used WHERE ratio > 0.9
+"""
+)
+def recommendations_of_all_areas(spark, folder):
+    return evaluation.recommendations(
+        evaluation.prediction_analysis(views.predictions(spark, folder)),
+        history.training_history(views.losses(spark, folder)),
+        importance.importance_summary(_ranked(spark, folder).drop("rank")),
+    )
+
+
+@query(
+    f"""
+WITH {PREDICTIONS_SQL}, counts AS (SELECT dataset_id, count(*) AS n FROM predictions GROUP BY dataset_id)
+SELECT dataset_id, n, CAST(share AS DOUBLE) AS share, true AS within FROM counts, (VALUES (0.5), (0.95), (0.99)) AS s(share)
+"""
+)
+def sketched_percentiles(spark, folder):
+    """Percentiles of absolute errors from sketches kept per part of the table; ``within``: ranks are off by half a percent at most."""
+    shares, target = [0.5, 0.95, 0.99], views.run_folder(spark)
+    rows = views.predictions(spark, folder)
+    part = F.pmod(F.xxhash64("y_true", "y_pred"), F.lit(3))
+    miss = F.abs(F.col("y_pred").cast("double") - F.col("y_true").cast("double"))
+    for i in range(3):
+        sketches.value_sketches(rows.where(part == i), miss, ["dataset_id"]).write.mode("append").parquet(target)
+    merged = sketches.merged_sketches(spark.read.parquet(target), ["dataset_id"])
+    found = sketches.sketched_percentiles(merged, shares, ["dataset_id"])
+    pairs = F.transform(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("percentiles").alias("value")), lambda x: x)
+    bounds = found.select("dataset_id", "n", F.inline(pairs))
+    ranked = rows.select("dataset_id", miss.alias("miss")).join(F.broadcast(bounds), "dataset_id")
+    counted = ranked.groupBy("dataset_id", "n", "share").agg(
+        F.count_if(F.col("miss") < F.col("value")).alias("below"), F.count_if(F.col("miss") <= F.col("value")).alias("up_to"))
+    slack = 0.005 * F.col("n") + 1
+    within = (F.col("below") <= F.col("share") * F.col("n") + slack) & (F.col("up_to") >= F.col("share") * F.col("n") - slack)
+    return counted.select("dataset_id", "n", "share", within.alias("within"))
+
+
+@query("SELECT count(DISTINCT user_id) AS engines, true AS within FROM events")
+def sketched_engines(spark, folder):
+    """Engines heard of, from sketches of parts that are merged; ``within``: off by three percent at most."""
+    target = views.run_folder(spark)
+    heard = _messages(views.table(spark, folder, "events")).select(F.col("key").alias("engine_id"))
+    for i in range(3):
+        part = heard.where(F.pmod(F.xxhash64("engine_id", F.lit(i)), F.lit(3)) != i)
+        sketches.engine_sketches(part).write.mode("append").parquet(target)
+    estimated = sketches.engines_estimated(spark.read.parquet(target))
+    exact = alerts.engines_monitored(heard).first()[0]
+    return estimated.select(F.lit(exact).alias("engines"), (F.abs(F.col("engines_monitored") - exact) <= 0.03 * exact + 1).alias("within"))
+
+
+@query(
+    f"WITH {READINGS_SQL} "
+    + per_feature(f"min({{c}}) AS min, max({{c}}) AS max, {r('avg({c})', 'mean')}, {r('stddev_pop({c})', 'std')}")
+)
+def merged_scaler(spark, folder):
+    """Scalers from moments of parts, of which each is read once; the last part comes after the first were merged."""
+    target, rows = views.run_folder(spark), views.readings(spark, folder)
+    for parts in ((0, 1), (2,)):
+        for i in parts:
+            sketches.moments(rows.where(F.pmod("unit", F.lit(3)) == i), views.SENSORS).write.mode("append").parquet(target)
+        merged = sketches.merged_moments(spark.read.parquet(target))
+    both = sketches.minmax_of(merged).join(sketches.standard_of(merged), "feature")
+    named = both.select("feature", "min", "max", F.col("centre").alias("mean"), F.col("spread").alias("std"))
+    return rounded(named, "mean", "std")
+
+
 RUNS_SQL = """
 runs AS (
   SELECT o_custkey AS experiment, 'tft-epoch=' || CAST(o_orderkey AS VARCHAR) || '-val_loss=' || printf('%.2f', o_totalprice) || '.ckpt' AS name,
@@ -1048,12 +1135,6 @@ def latest_run(spark, folder):
 
 # --- importance ----------------------------------------------------------------------------
 
-RANKED_SQL = f"""
-{WEIGHTS_SQL}, means AS (SELECT feature, avg(weight) AS importance FROM weights GROUP BY feature),
-ranked AS (SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS rank, count(*) OVER () AS n FROM means)
-"""
-
-
 def _ranked(spark, folder):
     return importance.feature_importance(views.weights(spark, folder))
 
@@ -1441,7 +1522,7 @@ def stream_statistics(spark, folder):
     came = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/alerts")
     running = alerts.write_statistics(alerts.alert_statistics(came), f"{target}/totals", f"{target}/checkpoint", availableNow=True)
     _finish(running)
-    return spark.read.parquet(f"{target}/totals")
+    return alerts.read_statistics(spark, f"{target}/totals")
 
 
 def load_stream_model():

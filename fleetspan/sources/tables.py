@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from fleetspan.operators.importance import ranking_lines
 from fleetspan.schema import HORIZON, READING_SCHEMA, WINDOW
+from fleetspan.sources import versions
 
 PROCESSED_SCHEMA = T.StructType(
     READING_SCHEMA.fields + [T.StructField("dataset_id", T.StringType()), T.StructField("RUL", T.DoubleType())]
@@ -15,11 +16,21 @@ PROCESSED_SCHEMA = T.StructType(
 
 
 def write_splits(df: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite") -> None:
-    """Write prepared readings, one folder per ``split``."""
-    writer = df.write.mode(mode).partitionBy("split")
-    if format == "csv":
-        writer = writer.option("header", True)
-    writer.format(format).save(path)
+    """Write prepared readings, one folder per ``split``.
+
+    ``overwrite`` makes a new version, see :mod:`versions`; until it is whole, readers see the one before.
+    """
+
+    def write(folder: str) -> None:
+        writer = df.write.mode(mode).partitionBy("split")
+        if format == "csv":
+            writer = writer.option("header", True)
+        writer.format(format).save(folder)
+
+    if mode == "overwrite":
+        versions.replace(df.sparkSession, path, write)
+    else:
+        write(versions.current(df.sparkSession, path))
 
 
 def read_splits(spark: SparkSession, path: str, split: str | None = None, format: str = "parquet", schema=None) -> DataFrame:
@@ -29,7 +40,7 @@ def read_splits(spark: SparkSession, path: str, split: str | None = None, format
         reader = reader.option("header", True).schema(
             T.StructType([*(schema or PROCESSED_SCHEMA).fields, T.StructField("split", T.StringType())])
         )
-    rows = reader.format(format).load(path)
+    rows = reader.format(format).load(versions.current(spark, path))
     return rows if split is None else rows.where(F.col("split") == split)
 
 
@@ -45,8 +56,7 @@ def read_processed_csv(spark: SparkSession, path: str, schema=PROCESSED_SCHEMA)
 def write_windows(
     df: DataFrame, path: str, features, window: int = WINDOW, horizon: int = HORIZON, mode: str = "overwrite"
 ) -> None:
-    """Write windows by ``split`` and what they consist of."""
-    df.write.mode(mode).partitionBy("split").parquet(f"{path}/windows")
+    """Write windows by ``split`` and what they consist of; both become readable at once."""
     metadata = {
         "window_size": window,
         "horizon": horizon,
@@ -54,19 +64,27 @@ def write_windows(
         "feature_columns": list(features),
     }
     spark = df.sparkSession
-    spark.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/metadata")
+
+    def write(folder: str) -> None:
+        df.write.mode(mode).partitionBy("split").parquet(f"{folder}/windows")
+        spark.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/metadata")
+
+    if mode == "overwrite":
+        versions.replace(spark, path, write)
+    else:
+        write(versions.current(spark, path))
 
 
 def read_windows(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """Read windows; one split reads only its own folder."""
-    rows = spark.read.parquet(f"{path}/windows")
+    rows = spark.read.parquet(f"{versions.current(spark, path)}/windows")
     return rows if split is None else rows.where(F.col("split") == split)
 
 
 def read_metadata(spark: SparkSession, path: str) -> dict:
     """Window size, horizon and feature names; features without names are called ``feature_i``."""
     schema = "window_size int, horizon int, num_features int, feature_columns array<string>"
-    found = spark.read.schema(schema).json(f"{path}/metadata").first().asDict()
+    found = spark.read.schema(schema).json(f"{versions.current(spark, path)}/metadata").first().asDict()
     if found["feature_columns"] is None:
         found["feature_columns"] = [f"feature_{i}" for i in range(found["num_features"])]
     return found
@@ -89,9 +107,13 @@ def write_predictions(df: DataFrame, path: str, format: str = "csv", mode: str =
 
 def write_scaler(scaler: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Keep a fitted scaler beside the windows it was applied to.  One row per feature."""
-    scaler.coalesce(1).write.mode(mode).parquet(path)
+    write = lambda folder: scaler.coalesce(1).write.mode(mode).parquet(folder)
+    if mode == "overwrite":
+        versions.replace(scaler.sparkSession, path, write)
+    else:
+        write(versions.current(scaler.sparkSession, path))
 
 
 def read_scaler(spark: SparkSession, path: str) -> DataFrame:
     """A kept scaler, to be applied to later windows or messages."""
-    return spark.read.parquet(path)
+    return spark.read.parquet(versions.current(spark, path))

@@ -82,6 +82,14 @@ def read_fleet(
     return tagged.select("dataset_id", "unit", "cycle", *FEATURES, *corrupt)
 
 
+def _whole_number(field):
+    """A field as int; what is no whole number, or too large for one, fails the read."""
+    number = field.try_cast("double").try_cast("int")
+    sound = number == field.try_cast("double")
+    stop = F.raise_error(F.concat(F.lit("unreadable remaining life: "), field)).cast("int")
+    return F.when(F.coalesce(sound, F.lit(False)), number).otherwise(stop)
+
+
 def read_rul_at_end(
     spark: SparkSession, folder: str, datasets=DATASETS, continuous: bool = False
 ) -> DataFrame:
@@ -92,7 +100,7 @@ def read_rul_at_end(
 
     A file may also be a folder of part files, whose lines follow each other in name order.
     Lines are numbered inside their file block and shifted by the counts of the blocks before,
-    so that a long list is still read in parallel.
+    so that a long list is still read in parallel.  A line that does not begin with a whole number fails the read.
     """
     paths = [f"{folder}/RUL_{dataset}.txt" for dataset in datasets]
     lines = _read_lines(spark, paths)
@@ -122,6 +130,6 @@ def read_rul_at_end(
         .select(
             "dataset_id",
             (F.col("_before") + F.col("_at")).cast("int").alias("unit"),
-            F.split("_line", r"\s+")[0].try_cast("double").try_cast("int").alias("rul_at_end"),
+            _whole_number(F.split("_line", r"\s+")[0]).alias("rul_at_end"),
         )
     )

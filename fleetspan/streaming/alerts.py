@@ -1,10 +1,11 @@
 """Maintenance alerts from predicted remaining life; for batches and streams alike."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetspan.schema import ALERT_THRESHOLD, CRITICAL_RUL
+from fleetspan.sources import versions
 
 
 def rul_alerts(
@@ -66,11 +67,18 @@ def write_alerts(alerts: DataFrame, path: str, checkpoint: str, format: str = "p
 def write_statistics(statistics: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Keep running statistics up to date in a table: every trigger replaces the row by the totals so far.
 
-    A trigger that is repeated after a failure writes the same totals again.
+    A trigger that is repeated after a failure writes the same totals again.  Readers of :func:`read_statistics`
+    always meet a whole version; the two newest stay.
     """
 
     def replace(totals: DataFrame, _: int) -> None:
-        totals.coalesce(1).write.mode("overwrite").parquet(path)
+        versions.replace(totals.sparkSession, path, lambda folder: totals.coalesce(1).write.parquet(folder))
+        versions.forget(totals.sparkSession, path)
 
     writer = statistics.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(replace)
     return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def read_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """The totals that :func:`write_statistics` wrote last."""
+    return spark.read.parquet(versions.current(spark, path))

@@ -10,7 +10,7 @@ from fleetspan.operators.splitting import split_by_engine
 from fleetspan.operators.windows import sliding_windows
 from fleetspan.plans.prepare import prepare_fleet, prepare_windows
 from fleetspan.schema import FEATURES
-from fleetspan.sources import tables, text
+from fleetspan.sources import tables, text, versions
 
 
 def write(folder, name, lines):
@@ -188,3 +188,42 @@ def test_ranking_and_prediction_files(spark, tmp_path):
         assert spark.read.option("header", True).format(kind).load(str(tmp_path / kind)).count() == 2
     with pytest.raises(ValueError):
         tables.write_predictions(means, str(tmp_path / "x"), "npy")
+
+
+def test_a_failed_overwrite_leaves_the_version_before(spark, tmp_path):
+    path = str(tmp_path / "splits")
+    rows = spark.createDataFrame([(1, 2.0, "train"), (2, 3.0, "val")], "unit int, sensor_1 double, split string")
+    tables.write_splits(rows, path)
+    reading = tables.read_splits(spark, path)
+    broken = rows.withColumn("sensor_1", F.when(F.col("unit") == 2, F.raise_error(F.lit("lost")).cast("double")).otherwise(0.0))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_splits(broken, path)
+    assert sorted(map(tuple, tables.read_splits(spark, path).collect())) == [(1, 2.0, "train"), (2, 3.0, "val")]
+    tables.write_splits(rows.where("unit = 1"), path)
+    # Who read the version before still can.
+    assert reading.count() == 2 and tables.read_splits(spark, path).count() == 1
+    tables.write_splits(rows.where("unit = 2"), path, mode="append")
+    assert tables.read_splits(spark, path, "val").count() == 1
+    assert len(versions.versions(spark, path)) == 2
+    versions.forget(spark, path, 1)
+    assert len(versions.versions(spark, path)) == 1 and tables.read_splits(spark, path).count() == 2
+    with pytest.raises(ValueError):
+        versions.forget(spark, path, 0)
+    assert versions.current(spark, str(tmp_path / "none")) == str(tmp_path / "none")
+
+
+def test_windows_and_what_they_consist_of_change_together(spark, tmp_path):
+    path = str(tmp_path / "windows")
+    rows = spark.createDataFrame([([[1.0]], 1.0, "train")], "x array<array<double>>, y double, split string")
+    tables.write_windows(rows, path, ["sensor_1"], 1, 1)
+    broken = rows.withColumn("y", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_windows(broken, path, ["sensor_2"], 1, 1)
+    assert tables.read_metadata(spark, path)["feature_columns"] == ["sensor_1"] and tables.read_windows(spark, path).count() == 1
+
+
+@pytest.mark.parametrize("line", ["1.7", "abc", "3000000000", "NaN"])
+def test_remaining_life_that_is_no_whole_number_fails(spark, tmp_path, line):
+    (tmp_path / "RUL_FD001.txt").write_text(f"12 \n 7.0\n{line}\n")
+    with pytest.raises(Exception, match="unreadable remaining life"):
+        text.read_rul_at_end(spark, str(tmp_path), ["FD001"]).collect()
