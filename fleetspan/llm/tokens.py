@@ -13,12 +13,14 @@ The vocabulary file is a parameter, read on the driver and broadcast (a fixed si
 
 import hashlib
 import json
+import re
 import unicodedata
 from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +28,13 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 IDS = ArrayType(IntegerType())
 
-# Words remembered by a worker; beyond that it starts anew.
-REMEMBERED = 300_000
+# Words of each of two generations, and pairs of tokens, that a worker remembers.
+REMEMBERED = 150_000
+PAIRS = 1_000_000
 ROWS_AT_ONCE = 500
+BYTES_AT_ONCE = 2 << 20
+# Stands before an added token among words; no word holds a blank.
+SPECIAL = " "
 # The Unicode property White_Space, which the tokenizer's \s stands for.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -56,10 +62,13 @@ class BytePairs:
         patterns = sorted(map(regex.escape, self.special), key=len, reverse=True)
         self.cut = regex.compile(f"({'|'.join(patterns)})") if patterns else None
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-        self.blanks = regex.compile(f"[{SPACE}]+")
+        # The same for texts of ASCII letters only, in lower case.
+        self.ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
         # Every symbol is one character of its own, also the last one of a word together with its end.
         self.codes = {s: chr(0x4000 + i) for i, s in enumerate(self.symbols)}
         self.codes |= {s + self.end: chr(0x5000 + i) for i, s in enumerate(self.symbols)} if self.end else {}
+        self.inner = {i: self.codes[symbol] for i, symbol in enumerate(self.symbols)}
+        self.last = [self.codes[symbol + self.end] for symbol in self.symbols]
         self.finder = ahocorasick.Automaton()
         self.parts: dict = {}
         for token, number in self.vocab.items():
@@ -69,8 +78,18 @@ class BytePairs:
             if self.merged(symbols) == [token]:  # others are never made by merges
                 self.finder.add_word(coded, (len(coded), number))
         self.finder.make_automaton()
+        # Rank of the merge that makes a token, and the tokens it is made of; rank by the two tokens.
+        self.made = {number: (-1, number, number) for number in self.parts}
+        self.joined: dict = {}
+        for (one, other), rank in self.ranks.items():
+            whole, a, b = (self.vocab.get(text) for text in (one + other, one, other))
+            if None not in (whole, a, b):
+                self.joined[a, b] = rank
+                if self.made[whole][0] < 0 and self.merged(self.parts[whole]) == [one + other]:
+                    self.made[whole] = (rank, a, b)
         self.compatible: dict = {}
         self.memory: dict = {}
+        self.older: dict = {}
         texts = {**{i: t for t, i in self.vocab.items()}, **{i: t for t, i in self.special.items()}}
         pieces = [(texts.get(i, "") + " ").encode() for i in range(max(texts) + 1)]
         self.buffer = np.frombuffer(b"".join(pieces), np.uint8)
@@ -95,74 +114,147 @@ class BytePairs:
         return symbols
 
     def fits(self, left: int, right: int) -> bool:
-        key = left << 20 | right
-        known = self.compatible.get(key)
-        if known is None:
-            first, second = self.parts[left], self.parts[right]
-            known = self.merged([*first, *second]) == ["".join(first), "".join(second)]
-            self.compatible[key] = known
+        """Whether merges make these two tokens of their joined symbols; remembered, as pairs come again and again.
+
+        They don't if some merge across the border comes before those that complete the tokens on its two sides.
+        From the last merge backwards, the side made later is opened at the border, and what then meets is looked at.
+        """
+        first, second = left, right
+        limit = len(self.ranks)
+        known = True
+        while True:
+            if self.joined.get((first, second), limit) < limit:
+                known = False
+                break
+            a, b = self.made[first], self.made[second]
+            if a[0] < 0 and b[0] < 0:
+                break
+            # On the left a merge of the same rank comes first, as merges go from left to right.
+            if a[0] > b[0]:
+                limit, first = a[0], a[2]
+            else:
+                limit, second = b[0] + 1, b[1]
+        if len(self.compatible) >= PAIRS:
+            self.compatible.clear()
+        self.compatible[left, right] = known
         return known
 
     def encode_word(self, word: str) -> list:
-        symbols = [self.symbols[b] for b in word.encode("utf-8")]
-        symbols[-1] += self.end
-        coded = "".join(map(self.codes.get, symbols))
+        data = word.encode("utf-8")
+        coded = data[:-1].decode("latin-1").translate(self.inner) + self.last[data[-1]]
         n = len(coded)
+        compatible, fits = self.compatible, self.fits
+        # Mostly the longest tokens one after the other fit at once.
+        numbers: list = []
+        covered = 0
+        for _, (length, number) in self.finder.iter_long(coded):
+            if numbers:
+                known = compatible.get((numbers[-1], number))
+                if not (fits(numbers[-1], number) if known is None else known):
+                    break
+            numbers.append(number)
+            covered += length
+        if covered == n:
+            return numbers
         found: list = [[] for _ in range(n)]  # per start the tokens, shorter ones first
-        for last, (length, number) in self.finder.iter(coded):
-            found[last - length + 1].append((length, number))
+        for last, token in self.finder.iter(coded):
+            found[last - token[0] + 1].append(token)
         taken: list = []  # (start, rank among the tokens from there)
         start, at = 0, len(found[0]) - 1
+        previous = None
         dead: set = set()
         while start < n:
-            previous = found[taken[-1][0]][taken[-1][1]][1] if taken else None
+            here = found[start]
             while at >= 0:
-                length, number = found[start][at]
-                if start + length not in dead and (previous is None or self.fits(previous, number)):
-                    break
+                length, number = here[at]
+                if start + length not in dead:
+                    if previous is None:
+                        break
+                    known = compatible.get((previous, number))
+                    if fits(previous, number) if known is None else known:
+                        break
                 at -= 1
             if at >= 0:
                 taken.append((start, at))
+                previous = number
                 start += length
                 at = len(found[start]) - 1 if start < n else 0
             elif taken:
                 dead.add(start)
                 start, at = taken.pop()
                 at -= 1
+                previous = found[taken[-1][0]][taken[-1][1]][1] if taken else None
             else:
                 raise ValueError(f"no tokens for {word!r}")
         return [found[start][at][1] for start, at in taken]
 
-    def normal(self, text: str) -> str:
-        text = self.blanks.sub(" ", unicodedata.normalize("NFC", text))
-        return text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
+    def split_words(self, text: str) -> list:
+        """The words of a text in lower case; blanks between them don't matter."""
+        if text.isascii():
+            return self.ascii_words.findall(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        return self.words.findall(text.replace("Σ", "σ").lower())  # letter by letter: no final sigma
 
     def word_ids(self, word: str) -> list:
         ids = self.memory.get(word)
         if ids is None:
+            ids = self.older.get(word)
             if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            ids = self.memory[word] = self.encode_word(word)
+                # Words that come again move over; the others are forgotten with the next turn.
+                self.older, self.memory = self.memory, {}
+            ids = self.memory[word] = self.encode_word(word) if ids is None else ids
         return ids
 
-    def encode(self, text) -> list:
+    def items(self, text) -> list:
+        """Words and, with SPECIAL before them, added tokens of a text."""
         if not text:
             return []
+        if not any(map(text.__contains__, self.special)):
+            return self.split_words(text)
         made: list = []
-        for part in self.cut.split(text) if self.cut else [text]:
+        for part in self.cut.split(text):
             if part in self.special:
-                made.append(self.special[part])
+                made.append(SPECIAL + part)
             elif part:
-                made.extend(chain.from_iterable(map(self.word_ids, self.words.findall(self.normal(part)))))
+                made.extend(self.split_words(part))
         return made
 
-    def decode(self, ids) -> str:
-        if not len(ids):
-            return ""
+    def encode_all(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text ends: every different word is encoded once."""
+        words: list = []
+        ends = np.zeros(len(texts) + 1, np.int64)
+        for i, text in enumerate(texts):
+            words += self.items(text)
+            ends[i + 1] = len(words)
+        if not words:
+            return np.zeros(0, np.int32), ends
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        made = [[self.special[w[1:]]] if w[0] == SPECIAL else self.word_ids(w) for w in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        starts = np.cumsum(sizes) - sizes
+        known = np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum()))
+        at = coded.indices.to_numpy()
+        lengths = sizes[at]
+        stops = np.cumsum(lengths)
+        place = np.repeat(starts[at] - (stops - lengths), lengths) + np.arange(stops[-1])
+        return known[place], np.append(0, stops)[ends]
+
+    def encode(self, text) -> list:
+        return self.encode_all([text])[0].tolist()
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts that rows of ids stand for; ``ends`` begins with 0."""
         sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        at = np.repeat(self.offsets[ids] - (ends - sizes), sizes) + np.arange(ends[-1])
-        return self.buffer[at].tobytes()[:-1].decode()
+        # The blank after a text's last token is no part of it.
+        sizes[ends[1:][ends[1:] > ends[:-1]] - 1] -= 1
+        stops = np.cumsum(sizes)
+        total = int(stops[-1]) if len(stops) else 0
+        place = np.repeat(self.offsets[ids] - (stops - sizes), sizes) + np.arange(total)
+        bounds = np.append(0, stops)[ends].astype(np.int32)
+        return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(bounds.tobytes()), pa.py_buffer(self.buffer[place].tobytes()))
+
+    def decode(self, ids) -> str:
+        return self.decode_all(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0].as_py()
 
 
 _LOADED: dict = {}
@@ -177,16 +269,27 @@ def _loaded(shared) -> BytePairs:
 
 
 def _encoded(tokenizer: BytePairs, texts: pa.Array) -> pa.Array:
-    rows = [np.array(tokenizer.encode(t.as_py()), np.int32) for t in texts]
-    ends = np.cumsum([0, *map(len, rows)])
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+    ids, ends = tokenizer.encode_all(texts.to_pylist())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def _decoded(tokenizer: BytePairs, rows: pa.Array) -> pa.Array:
-    flat = rows.flatten().to_numpy(zero_copy_only=False)
+    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum([0, *rows.value_lengths().fill_null(0).to_pylist()])
-    return pa.array([tokenizer.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.string())
+    return tokenizer.decode_all(flat, ends)
+
+
+def _slices(batch: pa.RecordBatch, column: str):
+    """Rows of a batch, ``ROWS_AT_ONCE`` or ``BYTES_AT_ONCE`` at a time; a longer text goes by itself."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, size = 0, 0
+    for at in range(len(batch)):
+        if at > start and (at - start >= ROWS_AT_ONCE or size + sizes[at] > BYTES_AT_ONCE):
+            yield batch.slice(start, at - start)
+            start, size = at, 0
+        size += sizes[at]
+    if start < len(batch):
+        yield batch.slice(start)
 
 
 class Tokenizer:
@@ -220,8 +323,7 @@ class Tokenizer:
 
         def run(batches):
             for batch in batches:
-                for start in range(0, len(batch), ROWS_AT_ONCE):
-                    part = batch.slice(start, ROWS_AT_ONCE)
+                for part in _slices(batch, text):
                     ids = _encoded(_loaded(shared), part.column(text))
                     columns = [*(part.column(c) for c in others), ids, _decoded(_loaded(shared), ids)]
                     yield pa.RecordBatch.from_arrays(columns, names=[*others, "token_ids", "decoded"])
