@@ -11,14 +11,13 @@ with one class only, every score is that class.  Rows are judged by themselves,
 """
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
 from fleetspan.llm.common import kept, small
@@ -32,6 +31,7 @@ SEED = 20_240_229
 PARTS = 32
 BINS = 400
 STATISTICS = 22
+TEXTS_AT_ONCE = 256
 
 
 def text_statistics(text) -> list:
@@ -82,9 +82,18 @@ def text_statistics(text) -> list:
     ]
 
 
-@pandas_udf(ArrayType(DoubleType()))
-def _statistics(texts: pd.Series) -> pd.Series:
-    return texts.map(text_statistics)
+def _measured(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Statistics of some texts at a time: only so many are Python strings at once."""
+    for start in range(0, len(texts), TEXTS_AT_ONCE):
+        part = texts.slice(start, TEXTS_AT_ONCE).to_pylist()
+        yield np.array([text_statistics(text) for text in part], float).reshape(-1, STATISTICS)
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def _statistics(texts: pa.Array) -> pa.Array:
+    flat = np.concatenate([np.zeros((0, STATISTICS)), *_measured(texts)]).reshape(-1)
+    ends = np.arange(len(texts) + 1, dtype=np.int32) * STATISTICS
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
 def statistics(text: Column) -> Column:
@@ -195,16 +204,15 @@ def fit_quality(stats: DataFrame, labels: DataFrame) -> QualityModel:
 def _scorer(model: QualityModel, from_text: bool):
     if from_text:
 
-        @pandas_udf(DoubleType())
-        def score(texts: pd.Series) -> pd.Series:
-            stats = np.array([text_statistics(t) for t in texts], float).reshape(-1, STATISTICS)
-            return pd.Series(model.score(stats), index=texts.index)
+        @F.arrow_udf(DoubleType())
+        def score(texts: pa.Array) -> pa.Array:
+            return pa.array(np.concatenate([np.zeros(0), *map(model.score, _measured(texts))]))
 
         return score
 
-    @pandas_udf(DoubleType())
-    def score_statistics(stats: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array(list(stats), float).reshape(-1, STATISTICS)), index=stats.index)
+    @F.arrow_udf(DoubleType())
+    def score_statistics(stats: pa.Array) -> pa.Array:
+        return pa.array(model.score(stats.flatten().to_numpy(zero_copy_only=False).reshape(-1, STATISTICS)))
 
     return score_statistics
 

@@ -327,6 +327,9 @@ class Tokenizer:
                     ids = _encoded(_loaded(shared), part.column(text))
                     columns = [*(part.column(c) for c in others), ids, _decoded(_loaded(shared), ids)]
                     yield pa.RecordBatch.from_arrays(columns, names=[*others, "token_ids", "decoded"])
+            # The worker goes on with other stages: it keeps the words of one generation only.
+            _loaded(shared).older = {}
+            pa.default_memory_pool().release_unused()
 
         return run
 
