@@ -34,7 +34,6 @@ FLUSH_SHINGLES = 4_000_000
 OFTEN = 4
 # More classes under one shingle are compared in blocks of this size.
 BLOCK = 3000
-ROUNDS = 60
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -181,8 +180,8 @@ def _store_frequent(frequencies: Frequencies):
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """Parity of the set's members per hash slot; a power of two of slots, at least one for a member."""
-    bits = max(128, 1 << int(len(own) - 1).bit_length())
+    """Parity of the set's members per hash slot; a power of two of slots, at least four for a member."""
+    bits = max(512, 4 << int(len(own) - 1).bit_length())
     return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
 
 
@@ -397,11 +396,12 @@ def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node in ``links`` (``a, b``); nodes of one component have one root.
 
     In each round every node hooks onto its smallest neighbour, if that is smaller, hooks are followed some
-    steps, and the links are moved along until none is left.
+    steps, and the links are moved along until none is left.  Every round hooks a node of each open component,
+    so the loop ends.
     """
     edges = kept(links.where("a <> b").select("a", "b"), "components")
     open_, rounds = edges, []
-    for _ in range(ROUNDS):
+    while True:
         hooks = kept(open_.groupBy(F.greatest("a", "b").alias("u")).agg(F.min(F.least("a", "b")).alias("v")), "components")
         count = hooks.count()
         if not count:
@@ -412,8 +412,6 @@ def components(links: DataFrame) -> DataFrame:
         hooks = small(kept(hooks, "components"), 16, count)
         rounds.append(hooks)
         open_ = kept(_follow(_follow(open_, "a", hooks), "b", hooks).where("a <> b").distinct(), "components")
-    else:
-        raise RuntimeError("components did not settle")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
     for hooks in rounds:
         nodes = _follow(nodes, "root", hooks)
@@ -434,20 +432,23 @@ def _cross(batches):
         sizes = np.array([r[2] for r in rows])
         roots = np.array([r[1] for r in rows])
         side = np.array([r[4] for r in rows])
-        short = min(len(r[3]) for r in rows)
-        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[3], np.uint8).reshape(-1, short), axis=0) for r in rows])
-        words = folded.view(np.uint64)
+        # Signatures grow with the sets.  A pair of possible sizes has signatures of one length or of twice that
+        # length, so each length is a level of its own: a short text doesn't blur the signatures of long ones.
+        lengths = np.array([len(r[3]) for r in rows])
         made = []
-        for i in range(len(rows) - 1):
-            last = np.searchsorted(sizes, sizes[i] * 100 // PERCENT, side="right")
-            js = np.arange(i + 1, last)
-            js = js[(roots[js] != roots[i]) & ((side[js] != side[i]) | (side[i] == 0))]
-            if len(js):
-                n = sizes[i] + sizes[js]
-                most = n - 2 * -(-PERCENT * n // (100 + PERCENT))
-                near = np.bitwise_count(words[js] ^ words[i]).sum(axis=1) <= most
-                for j in js[near]:
-                    made.append((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])))
+        for length in np.unique(lengths):
+            begin, own, end = np.searchsorted(lengths, [length, length + 1, 2 * length + 1])
+            words = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[3], np.uint8).reshape(-1, length), axis=0) for r in rows[begin:end]]).view(np.uint64)
+            for i in range(begin, own):
+                last = min(np.searchsorted(sizes, sizes[i] * 100 // PERCENT, side="right"), end)
+                js = np.arange(i + 1, last)
+                js = js[(roots[js] != roots[i]) & ((side[js] != side[i]) | (side[i] == 0))]
+                if len(js):
+                    n = sizes[i] + sizes[js]
+                    most = n - 2 * -(-PERCENT * n // (100 + PERCENT))
+                    near = np.bitwise_count(words[js - begin] ^ words[i - begin]).sum(axis=1) <= most
+                    for j in js[near]:
+                        made.append((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])))
         return made
 
     current, rows, made = None, [], set()
