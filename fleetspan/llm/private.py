@@ -8,7 +8,8 @@ entity's canonical form, so equal entities get equal surrogates in all documents
 a phone number in any format below, an IPv6 address in any spelling, a surname with or without given name).
 
 Distinct entities are checked together: of several with one surrogate all but the first in code point
-order, and every one whose surrogate is somebody's real entity, draw again until none is left.  After
+order, and every one whose surrogate is somebody's real entity, draw again until none is left.  Names are
+checked word by word, given names by gender and surnames, so different whole names stay different.  After
 some draws of the entity's own length every further one is longer (an IPv4 address gets an IPv6 one), so
 a form space that is full ends the search too.  The replacements of its entities are joined to each text
 that has some.
@@ -22,15 +23,16 @@ A null text stays null, an empty one empty; texts without entities are returned
 treated by themselves, equal texts alike; other columns are kept, columns named like a result replaced.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetspan.llm.common import kept, small
+from fleetspan.llm.common import free, kept, small
 
 # So many draws keep the length of the form; every later one has WIDER more digits than the one before.
 DRAWS = 12
 WIDER = 4
-# Titles by gender, given names by gender and script, and the syllables of surnames.
+# Titles by gender, given names by gender and script (of the first draw), the syllables of further
+# given names and of surnames, and the endings of further given names.
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Г-жа"]
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Г-н"]
 GIVEN = {
@@ -44,6 +46,8 @@ SYLLABLES = {
     "cyrillic": ["бар", "бел", "вол", "дор", "зар", "кал", "лан", "мар", "нов", "пол", "рад", "сел", "тар", "фен"],
 }
 
+ENDINGS = {("f", "latin"): "a", ("m", "latin"): "o", ("f", "cyrillic"): "а", ("m", "cyrillic"): "о"}
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NAME = r"\p{Lu}[\p{Ll}'’-]+"
 _GROUP = r"[0-9A-Fa-f]{1,4}"
@@ -215,11 +219,19 @@ def surrogate(key: str, what: Column, form: Column, draw: Column, seed: Column |
     def pick(words, n):
         return F.element_at(F.array(*map(F.lit, words)), n % len(words) + 1)
 
+    def syllables(last):
+        return F.array_join(F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.when(
+            cyrillic, pick(SYLLABLES["cyrillic"], number(i))).otherwise(pick(SYLLABLES["latin"], number(i)))), "")
+
     def given(gender):
-        return F.when(cyrillic, pick(GIVEN[gender, "cyrillic"], number(F.lit(0)))).otherwise(pick(GIVEN[gender, "latin"], number(F.lit(0))))
+        # The lists are short; after the first draw every name has one syllable more than the draw before.
+        def of(script):
+            return F.when(draw == 0, pick(GIVEN[gender, script], number(F.lit(0)))).otherwise(
+                F.initcap(F.concat(syllables(draw), F.lit(ENDINGS[gender, script]))))
+
+        return F.when(cyrillic, of("cyrillic")).otherwise(of("latin"))
 
-    surname = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2) + F.floor(draw / 2).cast("int")), lambda i: F.when(
-        cyrillic, pick(SYLLABLES["cyrillic"], number(i))).otherwise(pick(SYLLABLES["latin"], number(i)))), "")
+    surname = syllables(F.lit(2) + F.floor(draw / 2))
     return (
         F.when(what == "email", F.concat(local, F.lit("@"), new_host, F.regexp_extract(form, r"\.[^.]*$", 0)))
         .when((what == "ip") & ((wider > 0) | form.contains(":")), groups).when(what == "ip", octets)
@@ -236,21 +248,21 @@ def surrogate(key: str, what: Column, form: Column, draw: Column, seed: Column |
 def dictionary(forms: DataFrame, key: str) -> DataFrame:
     """``kind, form, new``: a surrogate of its own for every distinct canonical form.
 
-    Given names may be shared by several people, as in life.  The space of surrogates grows with every draw
-    beyond ``DRAWS``, so the loop ends for any number of forms.
+    A form is real to its own kind only.  The space of surrogates grows with the draws (that of names with each or
+    every second one, any other beyond ``DRAWS``), so the loop ends for any number of forms.  The first form of a
+    surrogate is an aggregate and no rank: many forms may draw from a short list at first.
     """
-    strict = ~F.col("kind").startswith("given")
     drawn = surrogate(key, F.col("kind"), F.col("form"), F.col("draw"), F.col("seed"), F.col("host"))
     host = F.when(F.col("kind") == "email", _seed(key, F.lit("host"), _host(F.col("form"))))
     seeded = forms.select("kind", "form", F.lit(0).alias("draw")).distinct().withColumns({"seed": _seed(key, F.col("kind"), F.col("form")), "host": host})
     # Kept first, so that no step takes the hashes apart again.
     state = kept(kept(seeded, "private-seeded").withColumn("new", drawn), "private-drawn")
+    real = state.select(F.col("kind").alias("_kind"), F.col("form").alias("_form"))
     while True:
-        order = Window.partitionBy("kind", "new").orderBy("form")
-        ranked = state.withColumn("_taken", F.row_number().over(order) > 1)
-        real = state.select(F.col("kind").alias("_kind"), F.col("form").alias("_form"))
+        first = state.groupBy("kind", "new").agg(F.min("form").alias("_first"))
+        ranked = state.join(first, ["kind", "new"])
         judged = ranked.join(real, (F.col("kind") == F.col("_kind")) & (F.col("new") == F.col("_form")), "left")
-        again = strict & (F.col("_taken") | F.col("_form").isNotNull())
+        again = (F.col("form") != F.col("_first")) | F.col("_form").isNotNull()
         judged = kept(judged.select("kind", "form", "new", "draw", "seed", "host", again.alias("_again")), "private-judged")
         if judged.where("_again").isEmpty():
             return judged.select("kind", "form", "new")
@@ -284,24 +296,25 @@ def replace_private(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     Texts stay where they are while the table of replacements, one row per text with entities, fits the
     broadcast bound; beyond it they are joined by the hash of the text.
     """
-    docs = docs.drop("n_entities", "_found", "_map", "_hash", "_key")
+    docs = docs.drop("n_entities")
+    found_, map_, hash_, key_ = free(docs, "_found", "_map", "_hash", "_key")
     digest = F.sha2("text", 256)
     held = docs.where(F.col("text").rlike(HINT)).select("text", find(F.col("text")).alias("_found")).where(F.size("_found") > 0)
     pieces = held.select(digest.alias("_key"), F.explode(F.array_distinct("_found")).alias("entity")).distinct()
     pieces = kept(pieces.where(genuine(F.col("entity"))), "private-found")
     new = kept(replacements(pieces.select("entity").distinct(), key), "private-replacements")
     octets = F.octet_length("entity") + F.octet_length("replacement")
-    maps = pieces.join(new, "entity").groupBy("_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("_map"), F.sum(octets.cast("long")).alias("_octets"))
+    maps = pieces.join(new, "entity").groupBy(F.col("_key").alias(key_)).agg(
+        F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias(map_), F.sum(octets.cast("long")).alias("_octets"))
     maps = kept(maps, "private-maps")
     octets = maps.agg(F.coalesce(F.sum(F.col("_octets") + 400), F.lit(0))).first()[0]
-    found = docs.withColumn("_found", find(F.col("text")))
+    found = docs.withColumn(found_, find(F.col("text")))
     # Texts without entities get keys of their own that match nothing and spread evenly.
-    found = found.withColumn("_hash", F.when(F.size("_found") > 0, digest).otherwise(F.xxhash64("text").cast("string")))
-    ready = found.join(small(maps.drop("_octets"), 1, octets), F.col("_hash") == F.col("_key"), "left")
-    new_ones = F.transform("_found", lambda e: F.coalesce(F.try_element_at(F.col("_map"), e), e))
+    found = found.withColumn(hash_, F.when(F.size(found_) > 0, digest).otherwise(F.xxhash64("text").cast("string")))
+    ready = found.join(small(maps.drop("_octets"), 1, octets), F.col(hash_) == F.col(key_), "left")
+    new_ones = F.transform(found_, lambda e: F.coalesce(F.try_element_at(F.col(map_), e), e))
     between = F.split("text", PATTERN, -1)
     woven = F.array_join(F.flatten(F.zip_with(between, new_ones, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    text = F.when(F.size("_found") > 0, woven).otherwise(F.col("text"))
-    count = F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.filter("_found", genuine))), F.lit(0)).cast("long")
-    return ready.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], count.alias("n_entities"))
+    text = F.when(F.size(found_) > 0, woven).otherwise(F.col("text"))
+    count = F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.filter(found_, genuine))), F.lit(0)).cast("long")
+    return ready.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], count.alias("n_entities"))

@@ -1,5 +1,6 @@
 """Surrogates: kinds and forms, coreference, distinctness, and untouched clean texts."""
 
+import itertools
 import re
 import time
 
@@ -142,5 +143,37 @@ def test_draws_end_in_a_full_space(spark):
     assert re.fullmatch(r"2[0-9a-f]{3}(:[0-9a-f]{4}){7}", forms.limit(1).select(late).first()[0])
 
 
+def test_names_stay_distinct_and_refer_alike(spark):
+    syllables = ["an", "be", "ci", "do", "el", "fu", "ga", "hi", "jo", "ka"]
+    given = ["".join(w).capitalize() for w in itertools.product(syllables, repeat=3)]
+    people = [f"{g} Weber" for g in given] + [f"{g} {s}" for g in given[:30] for s in ("Smith", "Kuhn", "Weberin")] + ["Weber", "Hanna Weber", "Hanna Lena Weber"]
+    found = replaced(spark, [f"saw Mrs. {p}, then" for p in people] + [f"Ms. {p} left" for p in people])
+    new = [found[i]["text"][len("saw Mrs. "):-len(", then")] for i in range(len(people))]
+    assert len(set(new)) == len(people)
+    assert [found[len(people) + i]["text"] for i in range(len(people))] == [f"Ms. {n} left" for n in new]
+    # Every word refers alike: one surrogate for a given name and one for a surname, whoever has them.
+    words = {}
+    for old, now in zip(people, new):
+        old, now = old.split(" "), now.split(" ")
+        assert len(old) == len(now) and not set(old) & set(now)
+        for i, (o, n) in enumerate(zip(old, now)):
+            assert words.setdefault((i == len(old) - 1, o), n) == n and n.isalpha() and n.istitle()
+    for last in (True, False):
+        assert len({n for (at, _), n in words.items() if at == last}) == sum(at == last for at, _ in words)
+
+
+def test_cyrillic_names_stay_distinct(spark):
+    people = [f"{a}{b}{c} Петрова" for a in "АБВГД" for b in "аеиоу" for c in "кмнт"]
+    found = replaced(spark, [f"Г-жа {p}." for p in people])
+    new = {found[i]["text"] for i in range(len(people))}
+    assert len(new) == len(people) and all(re.fullmatch(r"Г-жа [А-Я][а-я]+ [А-Я][а-я]+\.", n) for n in new)
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "Mr. John Smith", "a", "b", "c", "d")]
+    row = replace_private(spark.createDataFrame(rows, "doc_id long, text string, _found string, _MAP string, _hash string, _key string")).first()
+    assert tuple(row)[2:6] == ("a", "b", "c", "d") and "Smith" not in row["text"] and row["n_entities"] == 1
+
+
 def test_empty_table(spark):
     assert replace_private(spark.createDataFrame([], SCHEMA)).count() == 0
