@@ -2,12 +2,14 @@
 
 Statistics of a text (lengths, letters, symbols, repetition) are standardised and mapped by random
 Fourier features, which approximate a Gaussian kernel.  Every partition sums its part of the normal
-equations, at most ``PARTS`` sums of fixed size are added up, and ridge regression gives raw scores.
-Isotonic regression on binned raw scores turns them into probabilities of label 1.
+equations, tasks add up these parts one row of the equations at a time, and ridge regression gives raw
+scores.  Isotonic regression on binned raw scores turns them into probabilities of label 1.
 
 Labels with null quality or null id are left out, several labels of one id count by the highest, and
 ids without a document are ignored.  A null text counts as empty.  Without any label every score is 0.5;
-with one class only, every score is that class.  Rows are judged by themselves, repeated or not.
+with one class only, every score is that class.  Rows are judged by themselves, repeated or not, and by
+their whole texts, however long.  An empty table gives an empty result.  ``good_documents`` keeps further
+columns of any name.
 """
 
 from collections import Counter
@@ -16,19 +18,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from fleetspan.llm.common import kept, small
+from fleetspan.llm.common import free, kept, small
 
 THRESHOLD = 0.3
 FEATURES = 256
 LENGTH_SCALE = 6.0
 RIDGE = 1e-3
 SEED = 20_240_229
-# Sums of the normal equations that are added up, and bins of the raw scores for the calibration.
-PARTS = 32
+# Bins of the raw scores for the calibration.
 BINS = 400
 STATISTICS = 22
 TEXTS_AT_ONCE = 256
@@ -144,20 +146,56 @@ def _matrix(batch, name="_stats") -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
 
 
+EQUATIONS = "i int, part int, terms binary"
+
+
 def _sums(model: QualityModel):
+    """A partition's part of the normal equations: a row for each of them, its right side last."""
+
     def run(batches):
-        width = len(model.phases) + 1
-        square, right = np.zeros((width, width)), np.zeros(width)
+        width, seen = len(model.phases) + 1, 0
+        sums = np.zeros((width, width + 1))
         for batch in batches:
             if len(batch):
                 waves, label = model.features(_matrix(batch)), batch.column("_label").to_numpy()
-                square += waves.T @ waves
-                right += waves.T @ label
-        yield pa.RecordBatch.from_arrays([pa.array([square.tobytes()]), pa.array([right.tobytes()])], names=["square", "right"])
+                sums += waves.T @ np.column_stack([waves, label])
+                seen += len(batch)
+        if seen:
+            part = TaskContext.get().partitionId()
+            yield _equations(list(range(width)), [part] * width, [row.tobytes() for row in sums])
 
     return run
 
 
+def _equations(i: list, part: list, terms: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(part, pa.int32()), pa.array(terms, pa.binary())], names=["i", "part", "terms"])
+
+
+def _added(batches):
+    """Each equation summed over all parts; rows come sorted by equation and part, one sum is held."""
+    current, total = None, np.zeros(0)
+    for batch in batches:
+        for i, terms in zip(batch.column("i").to_pylist(), batch.column("terms")):
+            own = np.frombuffer(terms.as_buffer())
+            if i == current:
+                total = total + own
+                continue
+            if current is not None:
+                yield _equations([current], [0], [total.tobytes()])
+            current, total = i, own
+    if current is not None:
+        yield _equations([current], [0], [total.tobytes()])
+
+
+def normal_equations(rows: DataFrame, model: QualityModel) -> tuple[np.ndarray, np.ndarray]:
+    """The square and the right side over rows ``_stats, _label``; the driver gets their sums only."""
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.mapInArrow(_sums(model), EQUATIONS).repartition(count, "i").sortWithinPartitions("i", "part")
+    found = parts.mapInArrow(_added, EQUATIONS).orderBy("i").collect()
+    sums = np.stack([np.frombuffer(row["terms"]) for row in found])
+    return sums[:, :-1], sums[:, -1]
+
+
 def _bins(model: QualityModel, low: float, high: float):
     def run(batches):
         for batch in batches:
@@ -172,7 +210,9 @@ def fit_quality(stats: DataFrame, labels: DataFrame) -> QualityModel:
     """Fit on rows ``doc_id, _stats`` that have a label and are not held out."""
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("_label"))
     rows = stats.select("doc_id", "_stats").where(~held_out(F.col("doc_id"))).join(marks, "doc_id")
-    rows = rows.repartition(PARTS, "doc_id").sortWithinPartitions("doc_id", "_stats").select("_stats", "_label")
+    # Dealt and sorted by content, so that a rerun sums in the same order.
+    count = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(count, "doc_id").sortWithinPartitions("doc_id", "_stats").select("_stats", "_label")
     column = lambda i: F.col("_stats")[i]
     sizes = rows.agg(
         F.count("*"), F.avg("_label"), *[f(column(i)) for i in range(STATISTICS) for f in (F.avg, F.stddev_pop)]).first()
@@ -186,11 +226,8 @@ def fit_quality(stats: DataFrame, labels: DataFrame) -> QualityModel:
     model = QualityModel(mean, spread, directions, phases, np.append(np.zeros(FEATURES), level), np.array([0.0, 1.0]), np.array([level] * 2))
     if not sizes[0] or level in (0.0, 1.0):
         return model
-    parts = rows.mapInArrow(_sums(model), "square binary, right binary").collect()
-    width = FEATURES + 1
-    square = sum(np.frombuffer(part[0]).reshape(width, width) for part in parts)
-    right = sum(np.frombuffer(part[1]) for part in parts)
-    penalty = RIDGE * sizes[0] * np.eye(width)
+    square, right = normal_equations(rows, model)
+    penalty = RIDGE * sizes[0] * np.eye(FEATURES + 1)
     penalty[-1, -1] = 0
     weights = np.linalg.solve(square + penalty, right)
     model = QualityModel(mean, spread, directions, phases, weights, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
@@ -232,8 +269,9 @@ def score_column(model: QualityModel, text: Column) -> Column:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; it is fitted on the labels of these rows."""
-    ids = kept(labels.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct(), "quality-ids")
-    marked = docs.join(small(ids, 16), F.col("doc_id") == F.col("_id"), "left_semi")
+    (own,) = free(docs, "_id")
+    ids = kept(labels.where("doc_id is not null").select(F.col("doc_id").alias(own)).distinct(), "quality-ids")
+    marked = docs.join(small(ids, 16), F.col("doc_id") == F.col(own), "left_semi")
     stats = kept(marked.select("doc_id", statistics(F.col("text")).alias("_stats")), "quality-statistics")
     model = fit_quality(stats, labels)
     return docs.where(score_column(model, F.col("text")) >= THRESHOLD)
