@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspan.llm.common import kept, new_folder, small
+from fleetspan.llm.common import free, kept, new_folder, small
 from fleetspan.llm.kneser_ney import mapped, pack, store, unpack
 
 SHINGLE = 5
@@ -537,16 +537,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of every component: the smallest id, ids before null; empty sets all stay."""
     found = kept(jaccard_components(docs).where("root is not null").select("doc_id", "ticket", "root"), "jaccard-components")
+    own, other = free(docs, "_own", "_ticket")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "ticket")
     first = found.groupBy("root").agg(F.min(order).alias("_first")).select(F.col("_first.ticket").alias("ticket"))
-    gone = kept(found.select("ticket").distinct().join(first, "ticket", "left_anti").select(F.col("ticket").alias("_ticket")), "jaccard-gone")
+    gone = kept(found.select("ticket").distinct().join(first, "ticket", "left_anti").select(F.col("ticket").alias(other)), "jaccard-gone")
     # Rows that are equal in all columns share a ticket; one of them stays.
-    equal = kept(found.groupBy("ticket").count().where("count > 1").select(F.col("ticket").alias("_ticket")), "jaccard-equal")
-    own = docs.withColumn("_own", F.xxhash64(*docs.columns))
-    stay = own.join(small(gone, 16), F.col("_own") == F.col("_ticket"), "left_anti")
+    equal = kept(found.groupBy("ticket").count().where("count > 1").select(F.col("ticket").alias(other)), "jaccard-equal")
+    marked = docs.withColumn(own, F.xxhash64(*docs.columns))
+    stay = marked.join(small(gone, 16), F.col(own) == F.col(other), "left_anti")
     if equal.isEmpty():
-        return stay.drop("_own")
+        return stay.drop(own)
     several = small(equal, 16)
-    single = stay.join(several, F.col("_own") == F.col("_ticket"), "left_anti")
-    one = stay.join(several, F.col("_own") == F.col("_ticket"), "left_semi").dropDuplicates(["_own"])
-    return single.unionByName(one).drop("_own")
+    single = stay.join(several, F.col(own) == F.col(other), "left_anti")
+    one = stay.join(several, F.col(own) == F.col(other), "left_semi").dropDuplicates([own])
+    return single.unionByName(one).drop(own)

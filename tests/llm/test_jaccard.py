@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from fleetspan.llm import jaccard
-from fleetspan.llm.jaccard import jaccard_components, least_difference, overlap_needed, shingles, signature, similar, tree_overlaps
+from fleetspan.llm.jaccard import (
+    jaccard_components, least_difference, overlap_needed, shingles, signature, similar, tree_overlaps, without_near_copies)
 
 SCHEMA = "doc_id long, text string, node string, n string"
 
@@ -96,3 +97,12 @@ def test_shingles_of_short_texts():
 
 def test_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_near_copies_go_and_further_columns_of_any_name_stay(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, 5, 6), (2, long + " more", 5, 6), (3, "", 5, 6), (4, "quite another text of words", 5, 6)] + [(7, "one row that comes twice", 5, 6)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _own int, _ticket int")
+    found = without_near_copies(docs)
+    assert found.columns == docs.columns
+    assert sorted(map(tuple, found.collect())) == sorted([rows[0], *rows[2:5]])
