@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,22 +15,44 @@ from fleetspan.streaming.windows import WINDOWS_PER_RUN, require_rocksdb, window
 
 # Names that begin with an underscore don't reach a processor.
 MICROS = "event_micros"
+ENGINE = "event_engine"
+GROUP = "event_group"
+# Groups of engines that share a state: every call of the processor and every read of its state costs some
+# milliseconds, whatever it holds.  Fixed, as the state of a stream outlives its settings.
+GROUPS = 256
+# Numbers that one batch of runs holds at least before it is sent on.
+RUN_NUMBERS = 1 << 20
+# Keys as text, exact in every type.
+KEY_FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _packed(columns: dict) -> bytes:
+    rows = pa.record_batch(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blocks: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(block).read_all() for block in blocks]).combine_chunks()
 
 
 class _InEventOrder(StatefulProcessor):
-    """Readings of one engine wait until the watermark has passed them, then join the series in order.
+    """Readings of a group of engines wait until the watermark has passed them, then join their series in order.
 
-    ``waiting`` holds what the watermark has not reached, ``held`` the last ``window - 1`` readings that it has.  One
-    timer at a time stands for the engine: at its next waiting reading, or where it falls silent.
+    ``waiting`` holds what the watermark has not reached, in blocks of many readings, ``held`` the last ``window - 1``
+    readings of every engine that it has.  One timer at a time stands for the group: at its next waiting reading, or
+    where one of its engines falls silent.
     """
 
-    def __init__(self, keys, time, window, width, forget_ms):
-        self.keys, self.time, self.window, self.width, self.forget_ms = keys, time, window, width, forget_ms
+    def __init__(self, time, window, width, forget_ms):
+        self.time, self.window, self.width, self.forget_ms = time, window, width, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, place bigint, reading array<double>")
-        self.held = handle.getValueState("held", "last bigint, flat array<double>")
+        self.waiting = handle.getListState("waiting", "block binary")
+        self.held = handle.getValueState("held", "block binary")
         self.timer = handle.getValueState("timer", "at bigint")
 
     def _wake(self, at_ms: int) -> None:
@@ -42,64 +65,110 @@ class _InEventOrder(StatefulProcessor):
         self.handle.registerTimer(at_ms)
         self.timer.update((at_ms,))
 
+    def _block(self, engines, at, places, readings) -> tuple[bytes]:
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(readings.reshape(-1)), self.width)
+        return (_packed({"engine": engines, "at": pa.array(at), "place": pa.array(places), "reading": flat}),)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        blocks, first = [], None
         for part in rows:
             if len(part):
                 at = part[MICROS].to_numpy(dtype=np.int64)
-                items = zip(at.tolist(), part[self.time].astype("int64").tolist(), part["features"])
-                self.waiting.appendList([(when, place, [float(x) for x in reading]) for when, place, reading in items])
-                self._wake(-int(-at.min() // 1000))
+                readings = np.stack(part["features"].to_numpy()).astype(float).reshape(-1, self.width)
+                places = part[self.time].astype("int64").to_numpy()
+                blocks.append(self._block(pa.array(part[ENGINE], pa.string()), at, places, readings))
+                first = int(at.min()) if first is None else min(first, int(at.min()))
+        if blocks:
+            self.waiting.appendList(blocks)
+            self._wake(-(-first // 1000))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        due, rest = [], []
-        for item in self.waiting.get():
-            (due if item[0] <= passed else rest).append(item)
-        last, held = None, np.empty((0, self.width))
-        if self.held.exists():
-            last, flat = self.held.get()
-            held = np.asarray(flat, dtype=float).reshape(-1, self.width)
-        if due:
-            due.sort(key=lambda item: (item[0], item[1], tuple(item[2])))
-            at = np.array([item[0] for item in due], dtype=np.int64)
-            places = np.array([item[1] for item in due], dtype=np.int64)
-            readings = np.array([list(item[2]) for item in due], dtype=float).reshape(-1, self.width)
-            cuts = [0]
-            if self.forget_ms is not None:
-                gaps = np.diff(at, prepend=at[0] if last is None else last)
-                cuts += [int(i) for i in np.flatnonzero(gaps > self.forget_ms * 1000)]
-                if 0 in cuts[1:]:
-                    held, cuts = held[:0], cuts[1:]
-            for start, stop in zip(cuts, [*cuts[1:], len(due)]):
-                if start:
-                    held = held[:0]
-                line = np.concatenate([held, readings[start:stop]])
-                yield from self._runs(key, places[start:stop], line, len(held))
-                held = line[max(0, len(line) - self.window + 1) :]
-            last = int(at[-1])
-            if rest:
-                self.waiting.put(rest)
-            else:
-                self.waiting.clear()
-        silent = None if self.forget_ms is None or last is None else -(-last // 1000) + self.forget_ms
-        if silent is not None and silent * 1000 <= passed:
-            self.held.clear()
-            silent = None
-        elif last is not None:
-            self.held.update((last, held.reshape(-1).tolist()))
-        following = [-(-min(item[0] for item in rest) // 1000)] if rest else []
-        if silent is not None:
-            following.append(silent)
+        held = self._held()
+        following = []
+        blocks = [bytes(item[0]) for item in self.waiting.get()]
+        if blocks:
+            waiting = _unpacked(blocks)
+            at = waiting["at"].to_numpy()
+            due = at <= passed
+            if due.any():
+                yield from self._joined(waiting.filter(pa.array(due)), held)
+                if due.all():
+                    self.waiting.clear()
+                else:
+                    rest = waiting.filter(pa.array(~due)).combine_chunks()
+                    self.waiting.put([(_packed({name: rest[name].chunk(0) for name in rest.column_names}),)])
+            if not due.all():
+                following.append(-(-int(at[~due].min()) // 1000))
+        if self.forget_ms is not None:
+            silent = {engine: -(-last // 1000) + self.forget_ms for engine, (last, _) in held.items()}
+            held = {engine: series for engine, series in held.items() if silent[engine] * 1000 > passed}
+            following += [silent[engine] for engine in held]
+        self._hold(held)
         if following:
             self._wake(min(following))
 
-    def _runs(self, key, places, line, held: int) -> Iterator[pd.DataFrame]:
-        for start in range(max(0, self.window - 1 - held), len(places), WINDOWS_PER_RUN):
-            stop = min(start + WINDOWS_PER_RUN, len(places))
-            flat = line[held + start + 1 - self.window : held + stop].reshape(-1)
-            yield pd.DataFrame({**dict(zip(self.keys, ([part] for part in key))), "ends": [places[start:stop]], "flat": [flat]})
+    def _held(self) -> dict[str, tuple[int, np.ndarray]]:
+        """The time of the last reading and the readings held, by engine."""
+        if not self.held.exists():
+            return {}
+        rows = _unpacked([bytes(self.held.get()[0])])
+        ends = np.cumsum(rows["n"].to_numpy()) * self.width
+        flat = rows["flat"].chunk(0).flatten().to_numpy()
+        parts = zip(rows["engine"].to_pylist(), rows["last"].to_pylist(), np.split(flat, ends[:-1]))
+        return {engine: (last, part.reshape(-1, self.width)) for engine, last, part in parts}
+
+    def _hold(self, held: dict[str, tuple[int, np.ndarray]]) -> None:
+        if not held:
+            self.held.clear()
+            return
+        lengths = np.array([len(readings) for _, readings in held.values()], dtype=np.int64)
+        starts = np.concatenate(([0], np.cumsum(lengths))) * self.width
+        flat = np.concatenate([readings.reshape(-1) for _, readings in held.values()])
+        lists = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(flat))
+        last = pa.array([last for last, _ in held.values()], pa.int64())
+        self.held.update((_packed({"engine": pa.array(list(held), pa.string()), "last": last, "n": pa.array(lengths), "flat": lists}),))
+
+    def _joined(self, due: pa.Table, held: dict) -> Iterator[pd.DataFrame]:
+        """Put readings in order behind those held, which change with them, and cut the runs."""
+        names = due["engine"].combine_chunks().dictionary_encode()
+        code, names = names.indices.to_numpy(), names.dictionary.to_pylist()
+        at, places = due["at"].to_numpy(), due["place"].to_numpy()
+        readings = due["reading"].combine_chunks().flatten().to_numpy().reshape(-1, self.width)
+        order = np.lexsort((*readings.T[::-1], places, at, code))
+        code, at, places, readings = code[order], at[order], places[order], readings[order]
+        bounds = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+        engines, ends, flats, numbers = [], [], [], 0
+        for begin, end in zip(bounds, bounds[1:]):
+            engine = names[code[begin]]
+            last, line = held.get(engine, (None, readings[:0]))
+            cuts = [begin]
+            if self.forget_ms is not None:
+                gaps = np.diff(at[begin:end], prepend=at[begin] if last is None else last)
+                fresh = begin + np.flatnonzero(gaps > self.forget_ms * 1000)
+                if len(fresh) and fresh[0] == begin:
+                    line, fresh = line[:0], fresh[1:]
+                cuts += fresh.tolist()
+            for start, stop in zip(cuts, [*cuts[1:], end]):
+                if start > begin:
+                    line = line[:0]
+                before = len(line)
+                line = np.concatenate([line, readings[start:stop]])
+                for run in range(max(0, self.window - 1 - before), stop - start, WINDOWS_PER_RUN):
+                    following = min(run + WINDOWS_PER_RUN, stop - start)
+                    engines.append(engine)
+                    ends.append(places[start + run : start + following])
+                    flats.append(line[before + run + 1 - self.window : before + following].reshape(-1))
+                    numbers += flats[-1].size
+                    if numbers >= RUN_NUMBERS:
+                        yield pd.DataFrame({ENGINE: engines, "ends": ends, "flat": flats})
+                        engines, ends, flats, numbers = [], [], [], 0
+                line = line[max(0, len(line) - self.window + 1) :]
+            held[engine] = (int(at[end - 1]), line)
+        if engines:
+            yield pd.DataFrame({ENGINE: engines, "ends": ends, "flat": flats})
 
     def close(self) -> None:
         pass
@@ -124,7 +193,9 @@ def ordered_stream_windows(
     of a stream stay until something moves the watermark past them.
 
     ``forget_after`` starts an engine anew when it was silent for longer by event time, and takes its state away once
-    the watermark says so.  An engine's state is its last ``window - 1`` readings and those within ``delay``.
+    the watermark says so.  An engine's state is its last ``window - 1`` readings and those within ``delay``; engines
+    share the state of one of ``GROUPS`` groups, so that a trigger costs as many calls, however many engines there are.
+    A checkpoint of a stream with a state by engine can't be taken up.
     """
     require_rocksdb(df)
     forget_ms = None
@@ -132,16 +203,17 @@ def ordered_stream_windows(
         seconds = df.sparkSession.sql(f"SELECT timestampdiff(MILLISECOND, TIMESTAMP '2000-01-01', TIMESTAMP '2000-01-01' + INTERVAL {forget_after})")
         forget_ms = int(seconds.first()[0])
     known = df.where(F.col(event_time).isNotNull()).withWatermark(event_time, delay)
-    rows = known.select(*keys, event_time, F.unix_micros(event_time).alias(MICROS), F.col(time).cast("long").alias(time), "features")
-    schema = T.StructType(
-        [rows.schema[name] for name in keys]
-        + [T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("flat", T.ArrayType(T.DoubleType()))]
-    )
-    made = rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_InEventOrder(list(keys), time, window, width, forget_ms),
-        outputStructType=schema,
+    engine = F.to_json(F.struct(*keys), KEY_FORMATS)
+    rows = known.select(
+        engine.alias(ENGINE), event_time, F.unix_micros(event_time).alias(MICROS), F.col(time).cast("long").alias(time), "features"
+    ).withColumn(GROUP, F.pmod(F.xxhash64(ENGINE), F.lit(GROUPS)))
+    made = rows.groupBy(GROUP).transformWithStateInPandas(
+        statefulProcessor=_InEventOrder(time, window, width, forget_ms),
+        outputStructType=f"{ENGINE} string, ends array<bigint>, flat array<double>",
         outputMode="Append",
         timeMode="EventTime",
     )
-    spread = made.repartition(F.xxhash64(*keys, F.col("ends")[0]))
-    return windows_of_runs(spread, keys, width, window)
+    spread = made.repartition(F.xxhash64(ENGINE, F.col("ends")[0]))
+    kinds = T.StructType([known.schema[name] for name in keys])
+    named = spread.withColumn(ENGINE, F.from_json(ENGINE, kinds, KEY_FORMATS)).select(f"{ENGINE}.*", "ends", "flat")
+    return windows_of_runs(named, keys, width, window)

@@ -6,9 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fleetspan.plans import catalog
 from fleetspan.plans.prepare import alert_stream
 from fleetspan.schema import FEATURES
-from fleetspan.streaming import alerts, messages
+from fleetspan.streaming import alerts, messages, ordered
 from fleetspan.streaming.ordered import ordered_stream_windows
 from fleetspan.streaming.statistics import fleet_statistics
 from fleetspan.streaming.windows import stream_windows
@@ -215,3 +216,36 @@ def test_fleet_statistics_after_every_trigger(spark, tmp_path):
             i + 1, len(seen), critical, len(seen) - critical, 3 + i)
         assert [(a["cycle"], a["engine_id"], a["rul"]) for a in row["recent"]] == sorted(seen, reverse=True)[:3]
     assert len(found) == 3
+
+
+def test_engines_share_a_bounded_number_of_states(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordered, "GROUPS", 3, raising=False)
+    keys = ["if(e = 7, null, concat('a\"', e)) as site", "if(e = 8, null, shiftleft(cast(e as bigint), 55)) as unit"]
+    rows = [(e, c, 10 * c + e) for c in range(1, 13) for e in range(40)]
+    for i in range(3):
+        mine = [row for row in rows if (row[0] + row[1]) % 3 == i] + ([(-1, 0, 1_000_000)] if i == 2 else [])
+        made = spark.createDataFrame(mine, "e int, cycle int, s int").coalesce(1)
+        made.selectExpr(*keys, "cycle", "timestamp_seconds(s) as timestamp", "array(double(cycle), double(e)) as features").write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    made = ordered_stream_windows(source, ["site", "unit"], 2, 4, delay="1 hour", forget_after="1 hour")
+    query = alerts.write_alerts(made, str(tmp_path / "rows"), str(tmp_path / "checkpoint"), availableNow=True)
+    assert query.awaitTermination(180)
+    found = spark.read.schema(made.schema).parquet(str(tmp_path / "rows")).collect()
+    name = lambda e: (None if e == 7 else f'a"{e}', None if e == 8 else e << 55)
+    wanted = [(*name(e), c, [[float(k), float(e)] for k in range(c - 3, c + 1)]) for e in range(40) for c in range(4, 13)]
+    assert sorted(map(repr, [(row["site"], row["unit"], row["window_end"], row["x"]) for row in found])) == sorted(map(repr, wanted))
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in (json.loads(p.json) for p in query.recentProgress) if p["stateOperators"]]
+    # A few rows for each group: blocks of readings, readings held, and a timer.
+    assert 0 < max(states) <= 3 * 8
+
+
+def test_disordered_events_come_in_as_many_triggers_however_many_files(spark, tmp_path):
+    events = spark.range(600).selectExpr("id as event_id", "timestamp_seconds(id) as ts", "id % 7 as user_id", "'view' as event_type", "double(id) as value", "'{\"k\": 1}' as props")
+    events.repartition(24).write.parquet(str(tmp_path / "events.parquet"))
+    catalog._disordered(spark, str(tmp_path), str(tmp_path))
+    came = catalog._disordered_stream(spark, str(tmp_path), str(tmp_path))
+    query = alerts.write_alerts(came.select("event_id"), str(tmp_path / "rows"), str(tmp_path / "checkpoint"), availableNow=True)
+    assert query.awaitTermination(180)
+    triggers = [p["numInputRows"] for p in (json.loads(p.json) for p in query.recentProgress) if p["numInputRows"]]
+    assert sum(triggers) == 601 and 3 <= len(triggers) <= 2 * catalog.PARTS
+    assert spark.read.parquet(str(tmp_path / "rows")).distinct().count() == 601
