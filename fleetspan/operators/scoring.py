@@ -25,7 +25,7 @@ MODEL_BATCH = 1024
 # The seconds that a scoring call may take, and the error of one that took longer.
 DEADLINE = 10.0
 TIMEOUT = "timeout"
-# Calls of a batch that may run out of time; enough to find one hanging window among MODEL_BATCH.
+# Calls of a batch that may run out of time: that of the batch, and one for each hanging window in it.
 TRIES = 12
 
 
@@ -84,9 +84,10 @@ def score_windows(
     JVM.  A batch on which the model fails is scored window by window, so that one bad window
     costs only its own score.  Works on streams as well.
 
-    ``deadline`` limits the seconds of a call of the model.  A batch that takes longer is halved, so that the windows
-    on which the model hangs are found; after ``tries`` calls that ran out of time the rest of the batch is given up.
-    Windows without a score for that reason have the error ``timeout``.
+    ``deadline`` limits the seconds of a call of the model.  A batch that takes longer is scored window by window, too:
+    every window on which the model hangs is waited for once, after the once for their batch.  After ``tries`` calls
+    that ran out of time the rest of the batch is given up.  Windows without a score for that reason have the error
+    ``timeout``.
     """
 
     @F.pandas_udf(SCORE)
@@ -105,14 +106,9 @@ def score_windows(
                 if len(found) != len(values):
                     raise ValueError(f"{len(found)} predictions for {len(values)} windows")
                 return list(found), [None] * len(values)
-            except TimeoutError as problem:
-                left -= deadline is not None
-                if len(values) == 1:
-                    return [None], [str(problem)]
-                half = len(values) // 2
-                first, second = attempt(values[:half]), attempt(values[half:])
-                return first[0] + second[0], first[1] + second[1]
             except Exception as problem:
+                if isinstance(problem, TimeoutError):
+                    left -= deadline is not None
                 if len(values) == 1:
                     return [None], [str(problem)]
                 pairs = [attempt([value]) for value in values]
@@ -121,10 +117,10 @@ def score_windows(
         for batch in batches:
             rul = np.full(len(batch), None, dtype=object)
             error = np.full(len(batch), None, dtype=object)
-            present = np.flatnonzero(batch.notna().to_numpy())
+            present, given = np.flatnonzero(batch.notna().to_numpy()), batch.to_numpy()
             for start in range(0, len(present), MODEL_BATCH):
                 places, left = present[start : start + MODEL_BATCH], tries
-                rul[places], error[places] = attempt([batch.iloc[i] for i in places])
+                rul[places], error[places] = attempt([given[i] for i in places])
             yield pd.DataFrame({"rul": pd.Series(rul, dtype="Float64"), "error": error})
 
     shape = window_error(F.col("x"), window, width)

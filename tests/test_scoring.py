@@ -155,6 +155,22 @@ def test_a_hanging_model_costs_only_its_windows(spark):
     assert 20 <= given_up <= 40 and time.time() - start < 30
 
 
+def test_a_hanging_window_is_waited_for_once_besides_its_batch(spark):
+    rows = spark.range(200).select("id", F.array(F.array(F.col("id").cast("double"))).alias("x")).coalesce(1)
+
+    def load():
+        def predict(x):
+            if (x % 40 == 7).any():
+                time.sleep(60)
+            return x[:, -1, 0]
+
+        return predict
+
+    # One call for the batch, one for each of five windows, and one that is left.
+    found = {row["id"]: (row["rul"], row["error"]) for row in scoring.score_windows(rows, load, 1, 1, deadline=0.3, tries=7).collect()}
+    assert found == {i: (None, "timeout") if i % 40 == 7 else (float(i), None) for i in range(200)}
+
+
 def test_importance_sends_windows_twice_whatever_the_number_of_features(spark):
     names = [f"sensor_{i}" for i in range(1, 13)]
     frame = with_rul(fleet({("FD001", u): 40 for u in range(4)}, sensors=names))
