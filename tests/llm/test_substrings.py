@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from fleetspan.llm import substrings
@@ -60,3 +61,12 @@ def test_matches_brute_force(spark, monkeypatch, contents, piece, gather):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_tables_of_powers_are_no_longer_than_a_piece_needs(monkeypatch):
+    monkeypatch.setattr(substrings, "_TABLES", {})
+    data = np.zeros(substrings.PIECE + substrings.LENGTH, np.uint8)
+    substrings.hasher(data)
+    kept = sum(table.nbytes for name in ("powers", "inverse") for table in substrings._TABLES[name])
+    # Every worker keeps them, beside the heap of its executor.
+    assert kept <= 40 << 20
