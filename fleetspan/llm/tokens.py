@@ -30,7 +30,7 @@ IDS = ArrayType(IntegerType())
 
 # Words of each of two generations, and pairs of tokens, that a worker remembers.
 REMEMBERED = 150_000
-PAIRS = 1_000_000
+PAIRS = 250_000
 ROWS_AT_ONCE = 500
 BYTES_AT_ONCE = 2 << 20
 # Stands before an added token among words; no word holds a blank.
@@ -87,6 +87,9 @@ class BytePairs:
                 self.joined[a, b] = rank
                 if self.made[whole][0] < 0 and self.merged(self.parts[whole]) == [one + other]:
                     self.made[whole] = (rank, a, b)
+        # What only the tables above are made from: every worker of an executor holds a tokenizer.
+        self.n_ranks = len(self.ranks)
+        del self.ranks, self.parts
         self.compatible: dict = {}
         self.memory: dict = {}
         self.older: dict = {}
@@ -120,7 +123,7 @@ class BytePairs:
         From the last merge backwards, the side made later is opened at the border, and what then meets is looked at.
         """
         first, second = left, right
-        limit = len(self.ranks)
+        limit = self.n_ranks
         known = True
         while True:
             if self.joined.get((first, second), limit) < limit:

@@ -4,6 +4,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer as Library
 
+from fleetspan.llm import tokens
 from fleetspan.llm.tokens import encode_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -30,3 +31,10 @@ def test_equal_to_library(spark, shuffle):
 
 def test_empty_table(spark):
     assert encode_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_a_worker_keeps_no_tables_that_only_building_needs():
+    with open(PATH, encoding="utf-8") as file:
+        built = tokens.BytePairs(file.read())
+    assert not hasattr(built, "ranks") and not hasattr(built, "parts")
+    assert built.decode(built.encode("low lower lowest")).strip() == "low lower lowest"
