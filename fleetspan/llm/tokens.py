@@ -3,10 +3,11 @@
 An Aho-Corasick automaton finds all tokens in a word.  The encoder goes on with the longest token that
 starts where the last one ended and that is compatible with it: two tokens are compatible if the merges
 of their joined symbols give these two tokens again.  Where nothing fits it takes the last token back and
-tries the next shorter one; no end position is tried twice, so the work is linear in the word.  A sequence
-of pairwise compatible tokens is exactly what the merges in rank order give.
+tries the next shorter one, by a table of the next shorter token that begins a token; no end position is
+tried twice, so the work is linear in the word.  A sequence of pairwise compatible tokens is exactly what
+the merges in rank order give.
 
-Decoding gathers bytes from one buffer of all token texts by their offsets.  A null or empty text has no
+Decoding gathers bytes from one array of all token texts by their offsets.  A null or empty text has no
 tokens and decodes to the empty text.  Rows are encoded by themselves; ids may be null or repeated.
 The vocabulary file is a parameter, read on the driver and broadcast (a fixed size of some MB).
 """
@@ -15,7 +16,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from itertools import chain
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -71,33 +72,41 @@ class BytePairs:
         self.last = [self.codes[symbol + self.end] for symbol in self.symbols]
         self.finder = ahocorasick.Automaton()
         self.parts: dict = {}
+        known_codes: dict = {}
         for token, number in self.vocab.items():
             symbols = self.split(token)
             coded = "".join(map(self.codes.get, symbols))
             self.parts[number] = symbols
             if self.merged(symbols) == [token]:  # others are never made by merges
-                self.finder.add_word(coded, (len(coded), number))
+                known_codes[coded] = (len(coded), number)
+                self.finder.add_word(coded, known_codes[coded])
         self.finder.make_automaton()
+        # Of each token that is found: its length, and the next shorter one that it begins with.
+        self.n_ids = max([*self.vocab.values(), *self.special.values()]) + 1
+        self.lengths = [0] * self.n_ids
+        self.shorter: list = [None] * self.n_ids
+        for coded, (length, number) in known_codes.items():
+            self.lengths[number] = length
+            begins = (known_codes.get(coded[:size]) for size in range(length - 1, 0, -1))
+            self.shorter[number] = next(filter(None, begins), None)
         # Rank of the merge that makes a token, and the tokens it is made of; rank by the two tokens.
         self.made = {number: (-1, number, number) for number in self.parts}
         self.joined: dict = {}
         for (one, other), rank in self.ranks.items():
             whole, a, b = (self.vocab.get(text) for text in (one + other, one, other))
             if None not in (whole, a, b):
-                self.joined[a, b] = rank
+                self.joined[a * self.n_ids + b] = rank
                 if self.made[whole][0] < 0 and self.merged(self.parts[whole]) == [one + other]:
                     self.made[whole] = (rank, a, b)
         # What only the tables above are made from: every worker of an executor holds a tokenizer.
         self.n_ranks = len(self.ranks)
-        del self.ranks, self.parts
         self.compatible: dict = {}
         self.memory: dict = {}
         self.older: dict = {}
         texts = {**{i: t for t, i in self.vocab.items()}, **{i: t for t, i in self.special.items()}}
-        pieces = [(texts.get(i, "") + " ").encode() for i in range(max(texts) + 1)]
-        self.buffer = np.frombuffer(b"".join(pieces), np.uint8)
-        self.sizes = np.array([len(p) for p in pieces])
-        self.offsets = np.cumsum(self.sizes) - self.sizes
+        self.pieces = pa.array([texts.get(i, "") + " " for i in range(self.n_ids)], pa.large_binary())
+        self.sizes = pc.binary_length(self.pieces).to_numpy()
+        del self.ranks, self.parts, self.vocab
 
     def split(self, token: str) -> list:
         """The symbols of a token."""
@@ -126,7 +135,7 @@ class BytePairs:
         limit = self.n_ranks
         known = True
         while True:
-            if self.joined.get((first, second), limit) < limit:
+            if self.joined.get(first * self.n_ids + second, limit) < limit:
                 known = False
                 break
             a, b = self.made[first], self.made[second]
@@ -139,57 +148,60 @@ class BytePairs:
                 limit, second = b[0] + 1, b[1]
         if len(self.compatible) >= PAIRS:
             self.compatible.clear()
-        self.compatible[left, right] = known
+        self.compatible[left * self.n_ids + right] = known
         return known
 
+    def longest(self, coded: str, start: int):
+        """The longest token from a place on, with its length."""
+        for last, token in self.finder.iter_long(coded, start):
+            return token if last + 1 - token[0] == start else None
+        return None
+
     def encode_word(self, word: str) -> list:
         data = word.encode("utf-8")
         coded = data[:-1].decode("latin-1").translate(self.inner) + self.last[data[-1]]
         n = len(coded)
-        compatible, fits = self.compatible, self.fits
+        compatible, fits, n_ids = self.compatible, self.fits, self.n_ids
         # Mostly the longest tokens one after the other fit at once.
-        numbers: list = []
-        covered = 0
-        for _, (length, number) in self.finder.iter_long(coded):
-            if numbers:
-                known = compatible.get((numbers[-1], number))
-                if not (fits(numbers[-1], number) if known is None else known):
+        taken: list = []
+        start, previous = 0, None
+        for last, (length, number) in self.finder.iter_long(coded):
+            if start + length != last + 1:
+                break
+            if previous is not None:
+                known = compatible.get(previous * n_ids + number)
+                if not (fits(previous, number) if known is None else known):
                     break
-            numbers.append(number)
-            covered += length
-        if covered == n:
-            return numbers
-        found: list = [[] for _ in range(n)]  # per start the tokens, shorter ones first
-        for last, token in self.finder.iter(coded):
-            found[last - token[0] + 1].append(token)
-        taken: list = []  # (start, rank among the tokens from there)
-        start, at = 0, len(found[0]) - 1
-        previous = None
+            taken.append(number)
+            previous = number
+            start += length
+        if start == n:
+            return taken
+        shorter, lengths = self.shorter, self.lengths
+        token = self.longest(coded, start)
         dead: set = set()
         while start < n:
-            here = found[start]
-            while at >= 0:
-                length, number = here[at]
+            while token is not None:
+                length, number = token
                 if start + length not in dead:
-                    if previous is None:
+                    if not taken:
                         break
-                    known = compatible.get((previous, number))
-                    if fits(previous, number) if known is None else known:
+                    known = compatible.get(taken[-1] * n_ids + number)
+                    if fits(taken[-1], number) if known is None else known:
                         break
-                at -= 1
-            if at >= 0:
-                taken.append((start, at))
-                previous = number
+                token = shorter[number]
+            if token is not None:
+                taken.append(number)
                 start += length
-                at = len(found[start]) - 1 if start < n else 0
+                token = self.longest(coded, start) if start < n else None
             elif taken:
                 dead.add(start)
-                start, at = taken.pop()
-                at -= 1
-                previous = found[taken[-1][0]][taken[-1][1]][1] if taken else None
+                number = taken.pop()
+                start -= lengths[number]
+                token = shorter[number]
             else:
                 raise ValueError(f"no tokens for {word!r}")
-        return [found[start][at][1] for start, at in taken]
+        return taken
 
     def split_words(self, text: str) -> list:
         """The words of a text in lower case; blanks between them don't matter."""
@@ -198,15 +210,21 @@ class BytePairs:
         text = unicodedata.normalize("NFC", text)
         return self.words.findall(text.replace("Σ", "σ").lower())  # letter by letter: no final sigma
 
-    def word_ids(self, word: str) -> list:
-        ids = self.memory.get(word)
-        if ids is None:
-            ids = self.older.get(word)
-            if len(self.memory) >= REMEMBERED:
-                # Words that come again move over; the others are forgotten with the next turn.
-                self.older, self.memory = self.memory, {}
-            ids = self.memory[word] = self.encode_word(word) if ids is None else ids
-        return ids
+    def word_ids(self, words: list) -> list:
+        """Packed ids of every word; those of words met before are remembered."""
+        made = list(map(self.memory.get, words))
+        for i, ids in enumerate(made):
+            if ids is None:
+                word = words[i]
+                ids = self.older.get(word)
+                if ids is None:
+                    ids = [self.special[word[1:]]] if word[0] == SPECIAL else self.encode_word(word)
+                    ids = array("i", ids).tobytes()
+                if len(self.memory) >= REMEMBERED:
+                    # Words that come again move over; the others are forgotten with the next turn.
+                    self.older, self.memory = self.memory, {}
+                made[i] = self.memory[word] = ids
+        return made
 
     def items(self, text) -> list:
         """Words and, with SPECIAL before them, added tokens of a text."""
@@ -232,10 +250,10 @@ class BytePairs:
         if not words:
             return np.zeros(0, np.int32), ends
         coded = pa.array(words, pa.string()).dictionary_encode()
-        made = [[self.special[w[1:]]] if w[0] == SPECIAL else self.word_ids(w) for w in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        made = self.word_ids(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
         starts = np.cumsum(sizes) - sizes
-        known = np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum()))
+        known = np.frombuffer(b"".join(made), np.int32)
         at = coded.indices.to_numpy()
         lengths = sizes[at]
         stops = np.cumsum(lengths)
@@ -247,14 +265,11 @@ class BytePairs:
 
     def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         """The texts that rows of ids stand for; ``ends`` begins with 0."""
-        sizes = self.sizes[ids]
+        stops = np.append(0, np.cumsum(self.sizes[ids]))[ends]
+        data = self.pieces.take(pa.array(ids)).buffers()[2]
+        rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(stops), data])
         # The blank after a text's last token is no part of it.
-        sizes[ends[1:][ends[1:] > ends[:-1]] - 1] -= 1
-        stops = np.cumsum(sizes)
-        total = int(stops[-1]) if len(stops) else 0
-        place = np.repeat(self.offsets[ids] - (stops - sizes), sizes) + np.arange(total)
-        bounds = np.append(0, stops)[ends].astype(np.int32)
-        return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(bounds.tobytes()), pa.py_buffer(self.buffer[place].tobytes()))
+        return pc.binary_slice(rows, 0, -1).cast(pa.string())
 
     def decode(self, ids) -> str:
         return self.decode_all(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0].as_py()

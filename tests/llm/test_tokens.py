@@ -1,5 +1,7 @@
 """BPE against the tokenizers library and an exact round trip of ids."""
 
+import random
+
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer as Library
@@ -38,3 +40,23 @@ def test_a_worker_keeps_no_tables_that_only_building_needs():
         built = tokens.BytePairs(file.read())
     assert not hasattr(built, "ranks") and not hasattr(built, "parts")
     assert built.encode("low lower lowest") == Library.from_file(PATH).encode("low lower lowest", add_special_tokens=False).ids
+
+
+def test_taking_tokens_back_looks_up_the_longest_match_only():
+    """No list of all matches of a word, and packed ids for the words that are remembered."""
+    with open(PATH, encoding="utf-8") as file:
+        built = tokens.BytePairs(file.read())
+    whole, starts = built.finder, []
+
+    class Longest:
+        def iter_long(self, coded, start=0):
+            starts.append(start)
+            return whole.iter_long(coded, start)
+
+    built.finder = Longest()
+    draw = random.Random(7)
+    words = ["".join(draw.choices("abcdeghilmnorstuvwy", k=draw.randint(1, 14))) for _ in range(3000)]
+    known = Library.from_file(PATH)
+    assert [built.encode(word) for word in words] == [known.encode(word, add_special_tokens=False).ids for word in words]
+    assert any(starts)
+    assert all(isinstance(ids, bytes) for ids in built.memory.values())
