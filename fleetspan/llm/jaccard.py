@@ -3,8 +3,9 @@
 A text's set holds the 64-bit hashes of its word shingles; sets are put in one global order, rare shingles
 first.  Texts with equal sets form one class.  Two sets that are similar enough share a shingle among the
 first ones of both (prefix filter), so each class sends only these to shards, packed.  In a shard, the
-classes under one shingle are first compared with a centre, the class of the most frequent shingles, which
-links a crowd of near copies in linear work.  Classes under one shingle that are then still in different
+classes under one shingle fall apart where, in the order of their sizes, one is too small for the next; a
+class by itself is done.  The classes of such a part are first compared with a centre, the class of the most
+frequent shingles, which links a crowd of near copies in linear work.  Classes of one part that are then still in different
 components are compared with each other, in blocks if they are many.  Every comparison passes two exact
 bounds first: sizes, and the least symmetric difference that parity signatures leave possible.
 
@@ -205,7 +206,8 @@ def overlap_needed(n: int, m: int) -> int:
     return -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
-SECOND = "shard int, tokens binary, nodes binary, scores binary, node long, n long, sig binary"
+PACKED = {"tokens": np.uint64, "places": np.int32, "nodes": np.int64, "sizes": np.int32, "scores": np.uint8}
+SECOND = f"shard int, {', '.join(f'{name} binary' for name in PACKED)}, node long, n long, sig binary"
 
 
 def _prefixes(frequencies: Frequencies):
@@ -217,26 +219,28 @@ def _prefixes(frequencies: Frequencies):
         def info_rows():
             none, columns = pa.nulls(len(infos)), list(zip(*infos))
             return pa.RecordBatch.from_arrays(
-                [none.cast(pa.int32()), *[none.cast(pa.binary())] * 3, pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=names)
+                [none.cast(pa.int32()), *[none.cast(pa.binary())] * len(PACKED), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=names)
 
         def blobs():
             tokens = np.concatenate([p[0] for p in parts])
-            sizes = [len(p[0]) for p in parts]
-            nodes = np.repeat(np.array([p[1] for p in parts], np.int64), sizes)
-            scores = np.repeat(np.array([p[2] for p in parts], np.uint8), sizes)
+            owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+            of_parts = [np.array([p[i] for p in parts], kind) for i, kind in enumerate(list(PACKED.values())[2:], 1)]
             shards = frequencies.shard(tokens)
             order = np.lexsort((tokens, shards))
             edges = np.flatnonzero(np.append(True, np.diff(shards[order]) != 0)).tolist() + [len(order)]
             for begin, end in zip(edges, edges[1:]):
                 at = order[begin:end]
                 none = pa.nulls(1)
+                # What belongs to a class is sent once, and its place with every shingle.
+                here, places = np.unique(owner[at], return_inverse=True)
+                columns = (tokens[at], places.astype(np.int32), *(x[here] for x in of_parts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(shards[at[0]])], pa.int32()), *(pa.array([pack(x[at])], pa.binary()) for x in (tokens, nodes, scores)), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary())], names=names)
+                    [pa.array([int(shards[at[0]])], pa.int32()), *(pa.array([pack(x)], pa.binary()) for x in columns), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary())], names=names)
 
         for batch, i, ordered, times in frequencies.ordered(batches):
             n, node = len(ordered), batch.column("node")[i].as_py()
             score = min(255, int(8 * np.log2(times.astype(float) + 1).mean()))
-            parts.append((ordered[: n + (-PERCENT * n // 100) + 1], node, score))
+            parts.append((ordered[: n + (-PERCENT * n // 100) + 1], node, n, score))
             infos.append((node, n, signature(ordered).tobytes()))
             size += len(parts[-1][0])
             if len(infos) == 2000:
@@ -253,20 +257,42 @@ def _prefixes(frequencies: Frequencies):
     return run
 
 
+def size_parts(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers of the parts of rows sorted by shingle and size: sets of two parts can't be similar.
+
+    Between neighbours of impossible sizes all smaller sets are too small for all larger ones.
+    """
+    if not len(tokens):
+        return np.zeros(0, np.int64)
+    apart = (tokens[1:] != tokens[:-1]) | (100 * sizes[:-1] < PERCENT * sizes[1:])
+    return np.cumsum(np.append(0, apart))
+
+
 def _shard_groups(key, table):
-    """Members of shingles that several classes have, and pairs of every member with its centre."""
-    tokens, nodes, scores = (np.concatenate([unpack(x.as_py(), kind) for x in table.column(name)]) for name, kind in (("tokens", np.uint64), ("nodes", np.int64), ("scores", np.uint8)))
-    order = np.lexsort((nodes, scores, tokens))
-    tokens, nodes = tokens[order], nodes[order]
+    """Members of shingles that several classes of possible sizes have, and pairs of every member with its centre."""
+    blobs = [[unpack(table.column(name)[i].as_py(), kind) for name, kind in PACKED.items()] for i in range(len(table))]
+    tokens = np.concatenate([blob[0] for blob in blobs])
+    nodes, sizes, scores = (np.concatenate([blob[i][blob[1]] for blob in blobs]) for i in (2, 3, 4))
+    del blobs
+    sizes = sizes.astype(np.int64)
+    order = np.lexsort((nodes, sizes, tokens))
+    tokens, nodes, sizes, scores = tokens[order], nodes[order], sizes[order], scores[order]
     again = np.append(False, (tokens[1:] == tokens[:-1]) & (nodes[1:] == nodes[:-1]))  # equal rows of the table
-    tokens, nodes = tokens[~again], nodes[~again]
-    edge = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
-    size = np.diff(np.append(edge, len(tokens)))
-    centre = np.repeat(nodes[edge + size - 1] if len(edge) else nodes, size)  # the last has the highest score
-    several = np.repeat(size > 1, size)
-    a, b = nodes[several], centre[several]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1) if len(a) else np.zeros((2, 0), np.int64)
-    members = tokens[several].view(np.int64)
+    tokens, nodes, sizes, scores = tokens[~again], nodes[~again], sizes[~again], scores[~again]
+    part = size_parts(tokens, sizes)
+    several = np.bincount(part)[part] > 1 if len(part) else np.zeros(0, bool)
+    tokens, nodes, sizes, scores, part = (x[several] for x in (tokens, nodes, sizes, scores, part))
+    # The first part of a shingle keeps its name.
+    edge = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    count = np.diff(np.append(edge, len(part)))
+    further = np.append(False, tokens[edge][1:] == tokens[edge][:-1]) if len(edge) else np.zeros(0, bool)
+    names = np.where(further, _mixed(tokens[edge] ^ _mixed(sizes[edge].astype(np.uint64))), tokens[edge])
+    order = np.lexsort((nodes, scores, part))
+    centre, most = (np.repeat(x[order][edge + count - 1], count) for x in (nodes, sizes))  # the last has the highest score
+    a, b = nodes, centre
+    met = (a != b) & (100 * np.minimum(sizes, most) >= PERCENT * np.maximum(sizes, most))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, met], axis=1) if met.any() else np.zeros((2, 0), np.int64)
+    members = np.repeat(names, count).view(np.int64)
     return pa.table({"is_pair": np.append(np.ones(pairs.shape[1], bool), np.zeros(len(members), bool)), "a": np.append(pairs[0], members), "b": np.append(pairs[1], a)})
 
 
@@ -515,7 +541,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = rows.join(held, F.col("ticket") == F.col("_ticket")).select("node", "text")
     second = kept(sets.mapInArrow(_prefixes(frequencies), SECOND), "jaccard-prefixes")
     nodes = second.where("node is not null").select("node", "n", "sig")
-    grouped = second.where("shard is not null").select("shard", "tokens", "nodes", "scores").groupBy("shard").applyInArrow(_shard_groups, "is_pair boolean, a long, b long")
+    grouped = second.where("shard is not null").select("shard", *PACKED).groupBy("shard").applyInArrow(_shard_groups, "is_pair boolean, a long, b long")
     grouped = kept(grouped, "jaccard-members")
     stars = kept(grouped.where("is_pair").select("a", "b").distinct(), "jaccard-stars")
     links = _verified(stars, sets, nodes, frequencies)

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fleetspan.llm import jaccard
@@ -106,3 +107,28 @@ def test_near_copies_go_and_further_columns_of_any_name_stay(spark):
     found = without_near_copies(docs)
     assert found.columns == docs.columns
     assert sorted(map(tuple, found.collect())) == sorted([rows[0], *rows[2:5]])
+
+
+def test_classes_under_one_shingle_fall_apart_by_size():
+    draw = np.random.default_rng(1)
+    tokens = np.repeat(np.arange(1, 40, dtype=np.uint64), 25)
+    sizes = np.exp(draw.uniform(0, 9, len(tokens))).astype(np.int64) + 1
+    order = np.lexsort((sizes, tokens))
+    tokens, sizes = tokens[order], sizes[order]
+    part = jaccard.size_parts(tokens, sizes)
+    for i in range(len(tokens)):
+        for j in range(i):
+            if tokens[i] == tokens[j] and jaccard.possible(int(sizes[i]), int(sizes[j])):
+                assert part[i] == part[j]
+            if part[i] == part[j]:
+                assert tokens[i] == tokens[j]
+    assert len(np.unique(part)) > 100
+    nodes = np.arange(len(tokens))
+    columns = {"tokens": tokens, "places": nodes[::-1], "nodes": nodes[::-1], "sizes": sizes[::-1], "scores": nodes[::-1] % 7}
+    blob = {name: pa.array([jaccard.pack(values.astype(jaccard.PACKED[name]))], pa.binary()) for name, values in columns.items()}
+    found = jaccard._shard_groups((pa.scalar(0),), pa.table(blob)).to_pydict()
+    rows = list(zip(*found.values()))
+    assert len({name for is_pair, name, _ in rows if not is_pair}) == sum(np.bincount(part) > 1)
+    assert sorted(node for is_pair, _, node in rows if not is_pair) == np.flatnonzero(np.bincount(part)[part] > 1).tolist()
+    for is_pair, a, b in rows:
+        assert not is_pair or (part[a] == part[b] and jaccard.possible(int(sizes[a]), int(sizes[b])))
